@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, jaccard_join, language_id, mixing, packing, window_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_language_id": language_id.op2_language_id,
         "op3_source_mix": mixing.op3_source_mix,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+        "op10_window_dedup": window_dedup.op10_window_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": mixing.OP3_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
+    return {
+        "op3_source_mix": mixing.OP3_SQL,
+        "op5_exact_dedup": exact_dedup.OP5_SQL,
+        "op9_jaccard_join": jaccard_join.OP9_SQL,
+        "op10_window_dedup": window_dedup.OP10_SQL,
+    }
