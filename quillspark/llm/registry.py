@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, mixing, packing, window_dedup
+from . import exact_dedup, jaccard_join, language_id, mixing, packing, suffix_dedup, window_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": language_id.op2_language_id,
         "op3_source_mix": mixing.op3_source_mix,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_window_dedup": window_dedup.op10_window_dedup,
     }
