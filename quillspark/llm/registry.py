@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, mixing, packing, suffix_dedup, window_dedup
+from . import exact_dedup, jaccard_join, language_id, mixing, nearest, packing, pii, suffix_dedup, token_rollup, window_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": packing.op1_packing,
         "op2_language_id": language_id.op2_language_id,
         "op3_source_mix": mixing.op3_source_mix,
+        "op4_token_rollup": token_rollup.op4_token_rollup,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+        "op7_personal_data": pii.op7_personal_data,
+        "op8_nearest": nearest.op8_nearest,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_window_dedup": window_dedup.op10_window_dedup,
     }
@@ -25,6 +28,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_source_mix": mixing.OP3_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
+        "op7_personal_data": pii.op7_personal_data,
+        "op8_nearest": nearest.op8_nearest,
         "op9_jaccard_join": jaccard_join.OP9_SQL,
         "op10_window_dedup": window_dedup.OP10_SQL,
     }

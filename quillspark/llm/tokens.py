@@ -77,18 +77,28 @@ class WordEncoder:
         self.start[first : len(self.index)] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and where each text's begin (one entry more). Null: none."""
-        coded, starts = words(texts)
-        if not len(coded):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+    def _numbers(self, coded: pa.DictionaryArray) -> np.ndarray:
+        """The number of every word in the cache, which gets those it lacks."""
         distinct = coded.dictionary.to_pylist()
         if len(self.index) + len(distinct) > CACHED:
             self._clear()
         if new := [w for w in distinct if w not in self.index]:
             self._add(new)
         own = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
-        word = own[coded.indices.to_numpy(zero_copy_only=False)]
+        return own[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        coded, starts = words(texts)
+        ends = np.concatenate([[0], np.cumsum(self.length[self._numbers(coded)])]) if len(coded) else np.zeros(1, np.int64)
+        return np.diff(ends[starts])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin (one entry more). Null: none."""
+        coded, starts = words(texts)
+        if not len(coded):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        word = self._numbers(coded)
         length = self.length[word]
         ends = np.concatenate([[0], np.cumsum(length)])
         at = np.repeat(self.start[word] - ends[:-1], length) + np.arange(ends[-1])
