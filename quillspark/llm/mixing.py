@@ -21,7 +21,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2.0
 #: Documents of a source in a bucket of the ranking, on average.
-BUCKET = 20_000
+BUCKET = 2_000
 
 
 def word_count(text: str = "text") -> Column:
