@@ -76,6 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage{i}")
-        if i > 1:
+        if i:
             scratch.drop(f"stage{i - 1}")
     return docs

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, column, columns_or_null, row_key
-from .tokens import WordEncoder
+from .tokens import CHUNK, WordEncoder
 
 CAPACITY = 2048
 STEP = 8
@@ -112,7 +112,7 @@ def cut(tokenizer: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer)
         for whole in batches:
-            for batch in chunks(whole):
+            for batch in chunks(whole, CHUNK):
                 ids, ends = encoder.encode(column(batch, "text"))
                 doc_ids, keys = column(batch, "doc_id"), column(batch, "rk")
                 docs, start, length, crc, tokens = [], [], [], [], []

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, column, columns_or_null
 from .mixing import word_count
-from .tokens import WordEncoder
+from .tokens import CHUNK, WordEncoder
 
 KEY = ("source", "lang", "tokenizer_version")
 TOTALS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -80,7 +80,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, text: str = "tex
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer)
         for whole in batches:
-            for b in chunks(whole):
+            for b in chunks(whole, CHUNK):
                 n = encoder.count(column(b, text))
                 yield pa.record_batch([*b.columns, pa.array(n.astype(np.int64))], [*b.schema.names, "n_bpe"])
 

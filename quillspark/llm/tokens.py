@@ -16,6 +16,12 @@ from .common import words
 
 TOKENIZER = "word_bpe_49k.json"
 CACHED = 1_500_000
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Its lower case depends on what follows it, in Python alone.
+FINAL_SIGMA = "\u03a3"
+#: Bytes of text encoded at once.
+CHUNK = 16_000_000
+LOW = 24
 
 
 class WordEncoder:
@@ -45,47 +51,76 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.cores: dict[str, int] = {}  # where a string's ids begin, and in the low bits how many there are
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
         self.start, self.length = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
-    def _add(self, new: list[str]) -> None:
-        # A word of letters alone ends at its only end-of-word id, so many are encoded as one text.
+    def _keep(self, ids: np.ndarray) -> int:
+        """Appends ids; where they begin."""
+        at = self.used
+        if at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        self.ids[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes strings without white space. Those of letters end at their only end-of-word id, so many are one text."""
         letters = [w for w in new if w.isalpha()]
         other = [w for w in new if not w.isalpha()]
-        found, lengths = [], []
         for i in range(0, len(letters), 1000):
             own = letters[i : i + 1000]
             ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(own):
-                found.append(ids), lengths.append(np.diff(cuts, prepend=0))
+                starts = self._keep(ids) + np.concatenate([[0], cuts[:-1]])
+                self.cores.update(zip(own, ((starts << LOW) + np.diff(cuts, prepend=0)).tolist(), strict=True))
             else:  # a letter that the tokenizer splits or drops
-                for e in self.tokenizer.encode_batch(own, add_special_tokens=False):
-                    found.append(np.array(e.ids, np.uint32)), lengths.append([len(e.ids)])
+                other += own
         for i in range(0, len(other), 1000):
-            for e in self.tokenizer.encode_batch(other[i : i + 1000], add_special_tokens=False):
-                found.append(np.array(e.ids, np.uint32)), lengths.append([len(e.ids)])
-        ids, lengths = np.concatenate(found), np.concatenate(lengths).astype(np.int64)
+            own = other[i : i + 1000]
+            for w, e in zip(own, self.tokenizer.encode_batch(own, add_special_tokens=False), strict=True):
+                self.cores[w] = (self._keep(np.array(e.ids, np.uint32)) << LOW) + len(e.ids)
+
+    def _add(self, new: list[str]) -> None:
+        """Numbers new words. Letters and the punctuation after them are encoded apart: many words differ only in that."""
+        split = []
+        for w in new:
+            core = w.rstrip(PUNCTUATION)
+            if core.isalpha():
+                split.append((core if FINAL_SIGMA in core else core.lower(), w[len(core) :]))
+            else:
+                split.append((w, ""))
+        parts = dict.fromkeys([x for pair in split for x in pair if x])
+        self._learn([x for x in parts if x not in self.cores])
+        places = np.array([self.cores[core] for core, _ in split], np.int64)
+        starts, lengths = places >> LOW, places & ((1 << LOW) - 1)
+        for i, (_, tail) in enumerate(split):
+            if tail:
+                at, n, (t, m) = starts[i], lengths[i], divmod(self.cores[tail], 1 << LOW)
+                starts[i], lengths[i] = self._keep(np.concatenate([self.ids[at : at + n], self.ids[t : t + m]])), n + m
         first = len(self.index)
-        self.index.update(zip(letters + other, range(first, first + len(new)), strict=True))
-        for name, want in (("ids", self.used + len(ids)), ("start", len(self.index)), ("length", len(self.index))):
+        self.index.update(zip(new, range(first, first + len(new)), strict=True))
+        for name, values in (("start", starts), ("length", lengths)):
             have = getattr(self, name)
-            if want > len(have):
-                setattr(self, name, np.concatenate([have, np.zeros(max(want, len(have)), have.dtype)]))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.length[first : len(self.index)] = lengths
-        self.start[first : len(self.index)] = self.used + np.cumsum(lengths) - lengths
-        self.used += len(ids)
+            if len(self.index) > len(have):
+                have = np.concatenate([have, np.zeros(max(len(self.index), len(have)), np.int64)])
+                setattr(self, name, have)
+            have[first : len(self.index)] = values
 
     def _numbers(self, coded: pa.DictionaryArray) -> np.ndarray:
         """The number of every word in the cache, which gets those it lacks."""
         distinct = coded.dictionary.to_pylist()
         if len(self.index) + len(distinct) > CACHED:
             self._clear()
-        if new := [w for w in distinct if w not in self.index]:
-            self._add(new)
-        own = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
-        return own[coded.indices.to_numpy(zero_copy_only=False)]
+        own = list(map(self.index.get, distinct))
+        lacking = [i for i, n in enumerate(own) if n is None]
+        if lacking:
+            first = len(self.index)
+            self._add([distinct[i] for i in lacking])
+            for n, i in enumerate(lacking, first):
+                own[i] = n
+        return np.array(own, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
 
     def count(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text has."""
