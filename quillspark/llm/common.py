@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 BLOB = "part int, blob binary"
 #: Characters of text behind one partition of blobs. Reducers hold one such partition at a time.
-CHARS_PER_PART = 8_000_000
+CHARS_PER_PART = 16_000_000
 #: Characters that a map task works on at once.
 CHUNK = 4_000_000
 
@@ -74,10 +74,10 @@ def parts_for(docs: DataFrame, chars: int = CHARS_PER_PART) -> int:
     return max(1, math.ceil(total / chars))
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Compresses arrays of equal or different lengths into one value; see ``unpack``."""
     head = struct.pack("<H", len(arrays)) + b"".join(struct.pack("<3sQ", a.dtype.str[1:].encode().ljust(3, b"\0"), a.nbytes) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -183,6 +183,47 @@ def window_starts(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     return starts[:-1][doc] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), doc
 
 
+def text_blobs(docs: DataFrame, parts: int) -> DataFrame:
+    """Texts dealt by row key, as blobs of ``texts_of``: the columns are rk, doc_id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, 4 * CHUNK):
+                keys, ids, text = column(batch, "rk").to_numpy(zero_copy_only=False).astype(np.int64), column(batch, "doc_id"), pc.cast(column(batch, "text"), pa.binary())
+                known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+                part, out = np.abs(keys % parts), []
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+                for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                    mine = order[a:b]
+                    own = [x or b"" for x in text.take(pa.array(mine)).to_pylist()]
+                    size = np.array([len(x) for x in own], np.int64)
+                    out.append((int(part[mine[0]]), pack(keys[mine], ids[mine].astype(np.int64), known[mine].astype(np.int8), size, np.frombuffer(b"".join(own), np.uint8), level=3)))
+                yield blob_batch(out)
+
+    return docs.select("rk", "doc_id", "text").mapInArrow(run, BLOB)
+
+
+def texts_of(frame: pd.DataFrame) -> Iterator[tuple[int, int | None, bytes]]:
+    """Row key, doc_id and the text's bytes of every document in a frame of ``text_blobs``. Null text: empty."""
+    for blob in frame["blob"]:
+        keys, ids, known, size, data = unpack(blob)
+        ends = np.cumsum(size)
+        raw = data.tobytes()
+        for i in range(len(keys)):
+            yield int(keys[i]), int(ids[i]) if known[i] else None, raw[ends[i] - size[i] : ends[i]]
+
+
+def by_key(keys: np.ndarray, *values: np.ndarray) -> dict[int, tuple[np.ndarray, ...]]:
+    """For each key the values it has, in their order."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    cuts = np.flatnonzero(first)
+    return {int(keys[a]): tuple(v[order[a:b]] for v in values) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)}
+
+
 def together(left: DataFrame, right: DataFrame, key: str, function, schema: str) -> DataFrame:
     """Cogroups two frames. The right one's columns are renamed apart first: columns that both
     sides take from the same table would otherwise be dropped from it."""

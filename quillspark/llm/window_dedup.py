@@ -15,9 +15,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import BLOB, blob_batch, blob_frame, chunks, column, columns_or_null, covered, gather, mix, parts_for, rolling, row_key, scatter, together, window_starts, word_hashes
+from .common import BLOB, blob_batch, blob_frame, by_key, chunks, column, columns_or_null, covered, gather, mix, parts_for, rolling, row_key, scatter, text_blobs, texts_of, together, window_starts, word_hashes
 
 WINDOW = 35
 
@@ -55,28 +54,23 @@ def _count(parts: int):
     return run
 
 
-def _cut(window: int):
+def _cut(window: int, texts: bool):
     def run(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        at: dict[int, np.ndarray] = {}
-        if len(found):
-            keys, place = gather(found["blob"])
-            order = np.argsort(keys, kind="stable")
-            keys, place = keys[order], place[order]
-            cuts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1 if keys[0] > -(2**63) else 0))
-            at = {int(keys[a]): place[a:b] for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)}
+        at = by_key(*gather(found["blob"])) if len(found) else {}
         out = []
-        for key, text in zip(docs["rk"], docs["text"], strict=True):
-            own = (text or "").encode("utf-8", "surrogatepass").split()
-            gone = covered(len(own), at[key].astype(np.int64), window) if key in at else np.zeros(len(own), bool)
+        for key, doc_id, text in texts_of(docs):
+            own = text.split()
+            gone = covered(len(own), at[key][0].astype(np.int64), window) if key in at else np.zeros(len(own), bool)
             kept = b" ".join(w for w, g in zip(own, gone, strict=True) if not g) if gone.any() else b" ".join(own)
-            out.append((len(own), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
-        return pd.DataFrame({"doc_id": docs["doc_id"], **{c: [x[i] for x in out] for i, c in enumerate(("n_words", "n_removed", "kept_sha256", "kept_text"))}})
+            out.append((doc_id, len(own), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if texts else None))
+        frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+        return frame.astype({"doc_id": "Int64"})
 
     return run
 
 
-def remove_repeated_windows(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_removed, kept_sha256, kept_text``.
+def remove_repeated_windows(spark: SparkSession, docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
+    """One row per document: ``doc_id, n_words, n_removed, kept_sha256, kept_text`` (null unless ``texts``).
 
     A word goes if a window of ``window`` words that covers it also starts anywhere else, in
     another or the same document. Repeated rows are repeats of each other. Null and empty texts
@@ -85,13 +79,12 @@ def remove_repeated_windows(spark: SparkSession, docs: DataFrame, window: int =
     docs = columns_or_null(docs, doc_id="long", text="string").withColumn("rk", row_key())
     parts = parts_for(docs)
     found = docs.mapInArrow(_hash_windows(window, parts), BLOB).groupBy("part").applyInPandas(_count(parts), BLOB)
-    docs = docs.withColumn("part", F.abs(F.try_mod("rk", F.lit(parts))).cast("int"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return together(docs, found, "part", _cut(window), schema)
+    return together(text_blobs(docs, parts), found, "part", _cut(window, texts), schema)
 
 
 def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_windows(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeated_windows(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 OP10_SQL = r"""
