@@ -29,6 +29,8 @@ SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 FRAGMENTS = 8
+#: Characters of text behind a partition of shingles; its reducer holds them all, with their documents.
+CHARS_PER_PART = 8_000_000
 PIVOT_ROUNDS = 2
 PROFILE = "rk long, doc_id long, n long, class_a long, class_b long, tokens binary, counts binary"
 
@@ -120,8 +122,9 @@ def _postings(percent: int):
             for node, n, raw in zip(f["node"], f["n"], f["tokens"], strict=True):
                 tokens = np.frombuffer(raw, np.int64)
                 prefix = n - -(-percent * n // 100) + 1 - (n - len(tokens))
-                out.append(pd.DataFrame({"token": tokens[: max(prefix, 0)], "node": node, "n": n, "shared": len(tokens)}))
-            yield pd.concat(out) if out else pd.DataFrame({"token": [], "node": [], "n": [], "shared": []})
+                own = tokens[: max(prefix, 0)]
+                out.append(pd.DataFrame({"token": own, "node": node, "n": n, "shared": len(tokens), "place": n - len(tokens) + np.arange(len(own))}))
+            yield pd.concat(out) if out else pd.DataFrame({"token": [], "node": [], "n": [], "shared": [], "place": []})
 
     return run
 
@@ -135,9 +138,8 @@ def _fragments(cuts: list[int]):
             for node, raw, counts in zip(f["node"], f["tokens"], f["counts"], strict=True):
                 tokens = np.frombuffer(raw, np.int64)
                 piece = np.searchsorted(np.array(cuts), _place(tokens, np.frombuffer(counts, np.int32)), "right")
-                for p in np.unique(piece):
-                    out.append((node, int(p), tokens[piece == p]))
-            yield pd.DataFrame(out, columns=["node", "fragment", "part"])
+                out.append((node, [tokens[piece == p] for p in range(len(cuts) + 1)]))
+            yield pd.DataFrame(out, columns=["node", "parts"])
 
     return run
 
@@ -166,7 +168,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     """
     scratch = Scratch(spark, "jaccard")
     docs = columns_or_null(docs, doc_id="long", text="string").withColumn("rk", row_key())
-    parts = parts_for(docs)
+    parts = parts_for(docs, CHARS_PER_PART)
     sent = docs.mapInArrow(_deal(size, parts), BLOB).groupBy("part").applyInPandas(_count(parts), BLOB)
     rows = scratch.save(sent.groupBy("part").applyInPandas(_profile(percent), PROFILE), "profiles")
 
@@ -176,44 +178,61 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     nodes = scratch.save(nodes.join(can.select("rk", "tokens", "counts").dropDuplicates(["rk"]), "rk").select("node", "n", "tokens", "counts"), "nodes")
     member = scratch.save(member.select("doc_id", "node").where("doc_id <> node").distinct(), "members")
 
-    postings = scratch.save(nodes.mapInPandas(_postings(percent), "token long, node long, n long, shared long"), "postings")
+    postings = scratch.save(nodes.mapInPandas(_postings(percent), "token long, node long, n long, shared long, place long"), "postings")
     histogram = nodes.mapInPandas(_places, "place long, tokens long").groupBy("place").agg(F.sum("tokens").alias("tokens")).orderBy("place").collect()  # 4096 rows at most
     run, cuts = np.cumsum([r["tokens"] for r in histogram]), []
     if len(run):
         cuts = [int(histogram[int(np.searchsorted(run, run[-1] * i / fragments))]["place"]) for i in range(1, fragments)]
-    pieces = scratch.save(nodes.mapInPandas(_fragments(cuts), "node long, fragment int, part array<long>"), "fragments")
+    pieces = scratch.save(nodes.mapInPandas(_fragments(cuts), "node long, parts array<array<long>>"), "fragments")
 
     def overlaps(pairs: DataFrame, name: str) -> DataFrame:
-        """The links among candidate pairs ``(a, b, na, nb)``: partial overlaps by fragment, summed for each pair."""
-        left = pieces.select(F.col("node").alias("a"), F.col("fragment"), F.col("part").alias("left"))
-        right = pieces.select(F.col("node").alias("b"), F.col("fragment"), F.col("part").alias("right"))
-        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("left", "right")).alias("same"))
-        total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same"))
-        return scratch.save(total.where(F.col("same") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b"), name)
-
-    least, most = F.least("na", "nb"), F.greatest("na", "nb")
-    bound = F.least("sa", "sb")  # no more can be shared than either has in common with anything
-    possible = (least * 100 >= percent * most) & (bound * 100 >= percent * (F.col("na") + F.col("nb") - bound))
+        """What candidate pairs ``(a, b, na, nb)`` share: partial overlaps by fragment, summed for each pair."""
+        left, right = pieces.select(F.col("node").alias("a"), F.col("parts").alias("left")), pieces.select(F.col("node").alias("b"), F.col("parts").alias("right"))
+        partial = F.zip_with("left", "right", lambda x, y: F.size(F.array_intersect(x, y)))
+        same = F.aggregate(partial, F.lit(0), lambda total, n: total + n)
+        return scratch.save(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", same.alias("same")), name)
+
+    def enough(same: F.Column) -> F.Column:
+        return same * 100 >= percent * (F.col("na") + F.col("nb") - same)
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        """Each pair once, the smaller node first."""
+        up = F.col("a") < F.col("b")
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(up, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+
+    # Linked sets share so many that their first common shingle lies early in both.
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    early = (F.col("pa") <= F.col("na") - need) & (F.col("pb") <= F.col("nb") - need)
+    sized = early & (F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb"))
     links, component = None, None
-    mine = postings.withColumn("own", F.col("node"))
-    for i in range(PIVOT_ROUNDS + 1):
-        if i < PIVOT_ROUNDS:  # the documents of a shingle against one of them: the first, then the first of the largest component's rest
-            rank = F.struct(F.col("own"), F.col("node")) if i == 0 else F.struct(-F.col("own"), F.col("node"))
-            pivot = mine.groupBy("token").agg(F.min(F.struct(rank, F.col("node").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("own").alias("oa"))).alias("p"), F.count("*").alias("k"))
-            pairs = mine.join(pivot.where("k > 1").select("token", "p.a", "p.na", "p.sa", "p.oa"), "token").where("a <> node AND own <> oa")
-            pairs = pairs.select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"), "sa", F.col("shared").alias("sb"))
-        else:
-            split = mine.groupBy("token").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("token")
-            open_ = mine.join(split, "token", "left_semi")
-            other = open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("own").alias("oa"))
-            pairs = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"), "own")
-            pairs = other.join(pairs, (other.token == pairs.token) & (F.col("a") < F.col("b")) & (F.col("oa") != F.col("own")) & possible)
-        pairs = pairs.where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-        found = overlaps(pairs, f"links{i}")
+    mine, pivots, shared = postings.withColumn("own", F.col("node")), [], []
+    for i in range(PIVOT_ROUNDS):  # the documents of a shingle against one of them
+        rank = F.struct(F.col("own") if i == 0 else -F.col("own"), F.col("node"))
+        pivot = mine.groupBy("token").agg(F.min(F.struct(rank, F.col("node").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("own").alias("oa"), F.col("place").alias("pa"))).alias("p"), F.count("*").alias("k"))
+        pivot = scratch.save(pivot.where("k > 1").select("token", "p.a", "p.na", "p.sa", "p.oa", "p.pa"), f"pivots{i}")
+        pairs = mine.join(pivot, "token").where("a <> node AND own <> oa").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"), "sa", F.col("shared").alias("sb"), "pa", F.col("place").alias("pb"))
+        same = overlaps(ordered(pairs.where(sized & enough(F.least("sa", "sb")))), f"overlaps{i}")
+        pivots.append(pivot.select("token", F.col("a").alias(f"pivot{i}"))), shared.append(same)
+        found = same.where(enough(F.col("same"))).select("a", "b")
         links = found if links is None else links.union(found)
-        component = connected(links if i < PIVOT_ROUNDS else links.union(member.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), scratch_of(spark))
-        if i < PIVOT_ROUNDS:
-            mine = scratch.save(postings.join(component, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component"), f"own{i}")
+        component = connected(links, Scratch(spark, "components"))
+        mine = scratch.save(postings.join(component, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component"), f"own{i}")
+
+    # Between components: what two sets share lies in a pivot, of which each has a known part, or outside it.
+    split = mine.groupBy("token").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("token")
+    open_ = mine.join(split, "token", "left_semi")
+    for i in range(PIVOT_ROUNDS):
+        known = shared[i].select("a", "b", F.col("same").alias(f"with{i}"))
+        open_ = open_.join(pivots[i], "token", "left").withColumn("a", F.least("node", f"pivot{i}")).withColumn("b", F.greatest("node", f"pivot{i}"))
+        open_ = open_.join(known, ["a", "b"], "left").withColumn(f"with{i}", F.when(F.col("node") == F.col(f"pivot{i}"), F.col("shared")).otherwise(F.col(f"with{i}"))).drop("a", "b", f"pivot{i}")
+    open_ = scratch.save(open_, "open")
+    side = lambda x: open_.select(F.col("token"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"s{x}"), F.col("own").alias(f"o{x}"), F.col("place").alias(f"p{x}"), *[F.col(f"with{i}").alias(f"{x}{i}") for i in range(PIVOT_ROUNDS)])
+    through = [F.least(F.col(f"a{i}") + F.col("sb") - F.col(f"b{i}"), F.col(f"b{i}") + F.col("sa") - F.col(f"a{i}")) for i in range(PIVOT_ROUNDS)]
+    most = F.least("sa", "sb", *through)  # of those that are known
+    left, right = side("a"), side("b")
+    pairs = left.join(right, (left.token == right.token) & (F.col("a") < F.col("b")) & (F.col("oa") != F.col("ob")) & sized & enough(most))
+    links = links.union(overlaps(ordered(pairs), "overlaps").where(enough(F.col("same"))).select("a", "b"))
+    component = connected(links.union(member.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), Scratch(spark, "components"))
 
     degree = links.distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(degree.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -221,10 +240,6 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def scratch_of(spark: SparkSession) -> Scratch:
-    return Scratch(spark, "components")
-
-
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
