@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search  # noqa: F401
+from . import reading, relational, search  # noqa: F401
 from .registry import QUERIES, SQL
 
 
