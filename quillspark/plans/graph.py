@@ -89,8 +89,8 @@ def related(s, d):
 register("related", related, f"""WITH br AS (SELECT DISTINCT l_suppkey AS item, l_partkey AS topic FROM lineitem WHERE l_partkey <= 400), {ED}, x0 AS (SELECT DISTINCT item AS seed, item, 1.0::DOUBLE AS score FROM br), {ppr_sql(2, '0.85::DOUBLE', '(1 - 0.85::DOUBLE)', 'WHERE score >= 1e-7')},
     wk AS (SELECT seed AS src, item AS dst, round(score, 8) AS walk FROM x2 WHERE seed <> item QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round(score, 8) DESC, item) <= 20),
     sm AS (SELECT src, dst, round(w / (w + 10.0::DOUBLE), 6) AS similarity FROM ed WHERE (src + dst) % 3 = 0), st AS (SELECT item, list(topic) AS t FROM br GROUP BY item),
-    j AS (SELECT src, dst, similarity, coalesce(walk, 0) AS walk, len(list_intersect(x.t, y.t)) AS both, len(list_distinct(list_concat(x.t, y.t))) AS uni FROM sm FULL JOIN wk USING (src, dst) JOIN st x ON x.item = src JOIN st y ON y.item = dst),
-    sc AS (SELECT src, dst, round(CASE WHEN similarity IS NULL THEN 3 * walk ELSE similarity + 2 * walk + 0.15::DOUBLE * both + 0.5::DOUBLE * both / uni END, 6) AS score FROM j WHERE (SELECT s_nationkey FROM supplier WHERE s_suppkey = src) <> (SELECT s_nationkey FROM supplier WHERE s_suppkey = dst))
+    j AS (SELECT src, dst, similarity, coalesce(walk, 0) AS walk, len(list_intersect(x.t, y.t)) AS nb, len(list_distinct(list_concat(x.t, y.t))) AS uni FROM sm FULL JOIN wk USING (src, dst) JOIN st x ON x.item = src JOIN st y ON y.item = dst),
+    sc AS (SELECT src, dst, round(CASE WHEN similarity IS NULL THEN 3 * walk ELSE similarity + 2 * walk + 0.15::DOUBLE * nb + 0.5::DOUBLE * nb / uni END, 6) AS score FROM j WHERE (SELECT s_nationkey FROM supplier WHERE s_suppkey = src) <> (SELECT s_nationkey FROM supplier WHERE s_suppkey = dst))
     SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst)::INT AS rank FROM sc QUALIFY rank <= 10""")
 
 
