@@ -1,0 +1,305 @@
+"""Each operator against a plain version of its contract, with the hard cases in one small table."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import exact_dedup, jaccard_join, language_id, mixing, nearest, packing, pii, suffix_dedup, token_rollup, window_dedup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, keep_id string, score string"
+
+
+def corpus():
+    r = random.Random(3)
+    words = {"en": "the of and to in that with for was this have from".split(), "fr": "le la les des une pour dans avec être été où çà".split()}
+    text = lambda lang, n: " ".join(r.choice(words[lang]) + r.choice(["", "s", "er", "ing"]) for _ in range(n))
+    rows = [(i, text("en" if i % 2 else "fr", r.randint(1, 120)), "en" if i % 2 else "fr", f"s{i % 4}") for i in range(60)]
+    long_ = text("en", 9000)
+    rows += [(60, long_, "en", None), (61, rows[3][1], "fr", "s1"), (62, rows[3][1].replace(" ", "  \n", 3), None, "s1"), (63, None, "en", "s2"), (64, "", None, "s2"), (65, " \t ", "en", "s3"), (66, "12 + 3", "en", "s3")]
+    rows += [(67, long_[:3000] + " other end é", "en", "s0"), (68, "x" * 400, "en", "s0"), (69, "mail a.b@c-d.example.org or +1 (743) 555-3824, 10.2.3.4, 4111 1111 1111 1111; 999.1.1.1 and a@b", "en", "s1")]
+    rows += [(70 + i, " ".join(long_.split()[:200][: 100 - i] + [f"new{i}"] + long_.split()[:200][101 - i :]), "en", "s0") for i in range(8)]
+    rows += [rows[5], (None, "no number at all", "en", "s1")]
+    return [(*x, len(x[1] or ""), 7, "clash", "clash") for x in rows]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def squeezed(t):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+
+
+def split(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def high(x):
+    return 2**63 if x is None else x
+
+
+def test_exact(spark, docs, rows, none):
+    groups = {}
+    for x in rows:
+        groups.setdefault(squeezed(x[1]), []).append(x[0])
+    want = sorted((high(x[0]), min(map(high, groups[squeezed(x[1])])), len(groups[squeezed(x[1])]), hashlib.sha256(squeezed(x[1]).encode()).hexdigest()) for x in rows)
+    got = sorted((high(r.doc_id), high(r.keep_id), r.group_size, r.text_sha256) for r in exact_dedup.exact_duplicates(spark, docs).collect())
+    assert got == want
+    assert exact_dedup.exact_duplicates(spark, none).count() == 0
+
+
+def test_perfect_hash():
+    keys = np.random.default_rng(1).integers(0, 256, (5000, 32), np.uint8)
+    assert sorted(exact_dedup.PerfectHash(keys).slots(keys)) == list(range(5000))
+
+
+def test_packing(spark, docs, rows, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {}
+    for x in rows:
+        ids.setdefault(x[0], []).append(np.array([*t.encode(x[1] or "", add_special_tokens=False).ids, 1], "<u4"))
+    out = packing.pack_documents(spark, docs).toPandas()
+    for doc, part in out.groupby("doc_id", dropna=False):
+        own = ids[None if doc != doc else int(doc)]
+        assert part["length"].sum() == sum(map(len, own))
+        for p in part.itertuples():
+            assert any(zlib.crc32(i[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for i in own)
+    for _, s in out.sort_values("offset").groupby("sequence_id"):
+        assert list(s["offset"]) == [0, *s["length"].cumsum()[:-1]] and s["length"].sum() <= 2048
+    assert packing.pack_documents(spark, none).count() == 0
+
+
+def test_cutting_stock_is_near_the_bound():
+    r = np.random.default_rng(0)
+    demand = {int(w): int(n) for w, n in enumerate(np.bincount(r.integers(1, 101, 20_000), minlength=257)) if n}
+    plan = packing.cutting_stock(demand, 256)
+    held = {}
+    for take, n in plan:
+        assert sum(w * a for w, a in take.items()) <= 256
+        for w, a in take.items():
+            held[w] = held.get(w, 0) + a * n
+    assert all(held[w] >= n for w, n in demand.items())
+    assert sum(n for _, n in plan) <= sum(w * n for w, n in demand.items()) / 256 * 1.01 + 60
+
+
+def test_language(spark, docs, rows, none):
+    out = language_id.identify_languages(spark, docs.withColumnRenamed("score", "other")).toPandas()
+    assert len(out) == len(rows)
+    blank = out["text"].map(lambda t: not any(c.isalpha() for c in t or ""))
+    assert (out.loc[blank, "lang_pred"] == "und").all() and (out.loc[~blank, "lang_pred"] != "und").all()
+    known = out[out["held_out"] & out["lang"].notna() & ~blank & (out["text"].str.len() > 60) & (out["doc_id"] < 60)]
+    assert (known["lang_pred"] == known["lang"]).mean() > 0.9
+    assert out["score"].between(0, 1).all()
+    assert language_id.identify_languages(spark, none.drop("score")).count() == 0
+
+
+def test_mixing(spark, docs, rows, none):
+    out = mixing.mix_sources(spark, docs).toPandas()
+    assert len(out) == len(rows) and (out["taken"] <= 2 * out["size"]).all() and (out["taken"] % out["size"].where(out["size"] > 0, 1) == 0).all()
+    total = sum(len(split(x[1])) for x in rows)
+    by = out.groupby("source", dropna=False).agg(target=("target", "first"), size=("source_size", "first"), taken=("taken", "sum"), most=("size", "max"))
+    assert abs(by["target"].sum() - 1.5 * total) < 1e-6 and (by["target"] <= 2 * by["size"] + 1e-9).all()
+    assert ((by["taken"] - by["target"]).abs() <= by["most"]).all()
+    again = mixing.mix_sources(spark, docs.repartition(5)).toPandas()
+    key = ["doc_id", "size", "taken"]
+    assert out[key].fillna(-1).sort_values(key).to_numpy().tolist() == again[key].fillna(-1).sort_values(key).to_numpy().tolist()
+    assert mixing.mix_sources(spark, none).count() == 0
+
+
+def test_rollup(spark, docs, rows, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    first = {}
+    for x in sorted(rows, key=lambda x: (x[0] is None, high(x[0]))):
+        first.setdefault(x[1] or "", x)
+    want = {}
+    for x in first.values():
+        for v, n in (("words", len(split(x[1]))), ("bpe49k", len(t.encode(x[1] or "", add_special_tokens=False).ids))):
+            a = want.setdefault((x[3], x[2], v), [0, 0])
+            a[0] += 1
+            a[1] += n
+    got = {(r.source, r.lang, r.tokenizer_version): [r.n_docs, r.n_tokens] for r in token_rollup.document_token_rollup(spark, docs).collect()}
+    assert got == want
+    assert token_rollup.document_token_rollup(spark, none).count() == 0
+
+
+def test_rollup_commits_once_and_compacts(spark, tmp_path):
+    r = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
+    change = spark.createDataFrame([("a", "en", "v1", 1, 1, 10), ("a", "en", "v1", 1, 1, 5), ("b", None, "v1", 1, 1, 7)], "source string, lang string, tokenizer_version string, sign int, docs int, tokens long")
+    assert r.commit("one", change) and not r.commit("one", change)
+    assert r.commit("two", change.where("source = 'b'").withColumn("sign", F.lit(-1)))
+    want = [("a", "en", "v1", 2, 15)]
+    assert [tuple(x) for x in r.totals().collect()] == want
+    r.compact("now")
+    assert [tuple(x) for x in r.totals().collect()] == want and len(r.committed()) == 1
+    assert not r.commit("one", change) and [tuple(x) for x in r.totals().collect()] == want
+
+
+def test_suffix(spark, docs, rows, none):
+    first = {}
+    for x in rows:
+        b = (x[1] or "").encode()
+        for i in range(len(b) - 49):
+            first[b[i : i + 50]] = min(first.get(b[i : i + 50], 2**64), high(x[0]))
+    want = []
+    for x in rows:
+        b = (x[1] or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < high(x[0]):
+                gone[i : i + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        want.append((high(x[0]), len(b), sum(gone), sum(k for k, _ in itertools.groupby(gone)), hashlib.sha256(kept).hexdigest()))
+    got = [(high(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeated_bytes(spark, docs).collect()]
+    assert sorted(got) == sorted(want)
+    assert suffix_dedup.remove_repeated_bytes(spark, none).count() == 0
+
+
+@pytest.mark.parametrize("data", [b"ab" * 300, b"a" * 500, bytes(np.random.default_rng(2).integers(97, 100, 800, np.uint8)), b"xyz" * 40 + b"q" + b"xyz" * 40])
+def test_suffix_order(data):
+    a = np.frombuffer(data, np.uint8)
+    places = np.arange(len(a) - 60)
+    got = suffix_dedup.suffix_order(a, places)
+    assert [data[i : i + 50] for i in got] == sorted(data[i : i + 50] for i in places)
+
+
+def test_windows(spark, docs, rows, none):
+    seen = {}
+    for x in rows:
+        w = split(x[1])
+        for i in range(len(w) - 34):
+            seen[tuple(w[i : i + 35])] = seen.get(tuple(w[i : i + 35]), 0) + 1
+    want = []
+    for x in rows:
+        w = split(x[1])
+        gone = [False] * len(w)
+        for i in range(len(w) - 34):
+            if seen[tuple(w[i : i + 35])] > 1:
+                gone[i : i + 35] = [True] * 35
+        want.append((high(x[0]), len(w), sum(gone), hashlib.sha256(" ".join(t for t, g in zip(w, gone) if not g).encode()).hexdigest()))
+    got = [(high(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in window_dedup.remove_repeated_windows(spark, docs).collect()]
+    assert sorted(got) == sorted(want)
+    assert window_dedup.remove_repeated_windows(spark, none).count() == 0
+
+
+def test_jaccard(spark, docs, rows, none):
+    sets = {}
+    for x in rows:
+        w = split(re.sub("[A-Z]", lambda m: m.group().lower(), x[1] or ""))
+        sets[high(x[0])] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    up = {k: k for k in sets}
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+    want = sorted((high(x[0]), len(sets[high(x[0])]), top(high(x[0]))) for x in rows)
+    got = sorted((high(r.doc_id), r.n_shingles, high(r.component_id)) for r in jaccard_join.jaccard_components(spark, docs).collect())
+    assert got == want
+    assert jaccard_join.jaccard_components(spark, none).count() == 0
+
+
+def test_personal_data(spark, docs, rows, none):
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    for r in pii.find_personal_data(spark, docs, steps=20).collect():
+        text = next((x[1] for x in rows if x[0] == r.doc_id), "") or ""
+        base = [(0, *m.span()) for m in email.finditer(text)] + [(1, *m.span()) for m in pii.IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+        base += [(2, *m.span()) for m in pii.CARD.finditer(text) if pii.valid("card", m.group())] + [(3, *m.span()) for m in pii.PHONE.finditer(text) if pii.valid("phone", m.group())]
+        shown = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert set(filter(None, shown.split(","))) <= set(r.spans.split(","))
+    assert pii.find_personal_data(spark, none).count() == 0
+
+
+def test_tagger_gradients():
+    t = pii.Tagger()
+    r = np.random.default_rng(0)
+    x, y = r.integers(1, pii.CLASSES, (3, 7)).astype(np.int8), r.integers(0, pii.TAGS, (3, 7)).astype(np.int8)
+    t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
+
+    def loss():
+        e = t.emissions(x)[0].astype(np.float64)
+        total = 0.0
+        for n in range(3):
+            a, s = e[0, n] + t.p["begin"], e[0, n, y[n, 0]] + t.p["begin"][y[n, 0]]
+            for i in range(1, 7):
+                a = np.log(np.exp(a[:, None] + t.p["move"]).sum(0)) + e[i, n]
+                s += t.p["move"][y[n, i - 1], y[n, i]] + e[i, n, y[n, i]]
+            total += np.log(np.exp(a).sum()) - s
+        return total / 3
+
+    g = t.gradients(x, y)
+    for k in ("xf", "hb", "out", "move", "begin", "cf"):
+        i = tuple(r.integers(0, n) for n in t.p[k].shape)
+        if k == "xf":
+            i = (int(x[0, 0]), i[1])
+        t.p[k][i] += 1e-3
+        high_ = loss()
+        t.p[k][i] -= 2e-3
+        low = loss()
+        t.p[k][i] += 1e-3
+        assert abs((high_ - low) / 2e-3 - g[k][i]) < 2e-3
+
+
+def test_nearest(spark):
+    r = np.random.default_rng(4)
+    v = r.normal(size=(600, 16)) + r.integers(0, 5, (600, 1))
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [(600 + i, v[3].tolist(), 1) for i in range(40)]
+    rows += [(700, None, 1), (701, [0.0] * 16, 1), (702, [None] + [1.0] * 15, 1), (703, [float("nan")] * 16, 1), (704, [float("inf")] * 16, 1), (300, v[300].tolist(), 1)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {}
+    for x in nearest.nearest_neighbours(spark, t, t.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.score, x.vec_id))
+    good = {i: np.array(e) for i, e, _ in rows if e and i < 700}
+    assert sorted(got) == [0, 100, 200, 300, 400, 500, 600]
+    hit = 0
+    for q, found in got.items():
+        want = sorted((float(np.sqrt(((good[q] - e) ** 2).sum())), i) for i, e in good.items() if i != q)[:10]
+        assert found == sorted(found) and len(found) == 10 and q not in [i for _, i in found]
+        hit += len({i for _, i in want} & {i for _, i in found})
+    assert hit >= 63
+    assert [i for _, i in got[600]] == [3, *range(601, 610)]
+    assert nearest.nearest_neighbours(spark, t.limit(0), t.limit(0)).count() == 0
+
+
+def test_pipeline(spark, docs, rows, tmp_path):
+    import corpus_pipeline as C
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = C.run(spark, str(tmp_path)).toPandas()
+    read, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for _, stage in C.STAGES[:-1]:
+        read = stage(spark, read, str(tmp_path)).cache()
+        assert read.columns == docs.columns
+        kept.append(read.count())
+    assert kept[0] >= kept[1] >= kept[2] > 0
+    ids = {r.doc_id for r in read.collect()}
+    assert {63, 64, 65, 66, 61, 62}.isdisjoint(ids)
+    assert out.groupby("doc_id")["length"].sum().sum() == out[out["start"] == 0]["doc_tokens"].sum()
