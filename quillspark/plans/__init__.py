@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph, rank, reading, relational, search, vector  # noqa: F401
+from . import graph, more, rank, reading, relational, search, vector  # noqa: F401
 from .registry import QUERIES, SQL
 
 
