@@ -24,7 +24,7 @@ SAMPLE_PER_LANGUAGE = 4_000
 #: Tasks that the sample is dealt to; each returns one vector for each language.
 TRAINERS = 24
 UNKNOWN = "und"
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 @cache
@@ -64,7 +64,7 @@ def bundles(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray | None]]:
             there, gram = np.unique(gram, return_inverse=True)
         letters = np.stack([np.zeros(DIMS, np.int8) + 1, *[_letter(int(c)) for c in distinct[1:]]])
         first, second = np.roll(letters, 2, 1), np.roll(letters, 1, 1)
-        vectors = (first[there // (k * k)] * second[there // k % k] * letters[there % k]).astype(np.float32) if len(there) <= 60_000 else None
+        vectors = (first[there // (k * k)] * second[there // k % k] * letters[there % k]).astype(np.float32) if len(there) <= 30_000 else None
         ends = np.searchsorted(owner, np.arange(len(lowered) + 1))
         for i in range(len(lowered)):
             mine = gram[ends[i] : ends[i + 1]]
@@ -119,7 +119,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[lis
         return [], np.zeros((0, DIMS), np.float32)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     p = unit(np.stack([sums[x] for x in langs]))
-    return langs, unit(p - p.mean(0)) .astype(np.float32) if len(langs) > 1 else p.astype(np.float32)
+    return langs, unit(p - p.mean(0)).astype(np.float32) if len(langs) > 1 else p.astype(np.float32)
 
 
 def predictor(langs: list[str], prototypes: np.ndarray):
