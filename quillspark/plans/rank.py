@@ -141,3 +141,29 @@ def set_scores(s, d):
 
 
 register("jaccard", set_scores, f"WITH {SETS} SELECT a.user_id, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard, round(2.0::DOUBLE * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)), 6) AS dice FROM s a JOIN s b ON a.user_id = b.user_id + 1")
+
+
+def searched(s, d):
+    from ..operators.pipeline import search
+
+    return search(table(s, d, "documents"), table(s, d, "benchmark"))
+
+
+def labelled(s, d):
+    from ..operators.pipeline import cluster_labels
+
+    return cluster_labels(S.posts(s, d), table(s, d, "documents").select("doc_id", F.col("source").alias("g")), S.size(s, d))
+
+
+def pairs(s, d):
+    from ..operators.pipeline import training_pairs
+
+    return training_pairs(table(s, d, "part"), "p_name", "p_type", "p_brand")
+
+
+register("search_pipeline", searched)
+register("cluster_labels", labelled, f"""WITH {S.POSTS}, {S.TF}, {S.VOCAB}, i AS (SELECT term, round(ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1, 6) AS idf FROM vocab WHERE NOT regexp_matches(term, '^[0-9-]+$')),
+    g AS (SELECT source AS g, term, sum(tf) AS tf FROM tf JOIN documents d ON d.doc_id = tf.doc_id GROUP BY ALL), w AS (SELECT g, term, round(tf * idf, 4) AS weight FROM g JOIN i USING (term) WHERE idf >= 4.5)
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY weight DESC, term)::INT AS rank FROM w QUALIFY rank <= 5""")
+register("training_pairs", pairs, """WITH p AS (SELECT p_name AS anchor, p_type AS positive, min(p_brand) AS g FROM part WHERE p_name IS NOT NULL AND p_type IS NOT NULL GROUP BY ALL),
+    n AS (SELECT *, lead(positive) OVER (PARTITION BY g ORDER BY md5('pairs|' || anchor || '|' || positive), anchor, positive) AS negative FROM p) SELECT anchor, positive, negative FROM n WHERE negative IS NOT NULL AND negative <> positive""")
