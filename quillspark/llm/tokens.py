@@ -125,8 +125,10 @@ class WordEncoder:
     def count(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text has."""
         coded, starts = words(texts)
-        ends = np.concatenate([[0], np.cumsum(self.length[self._numbers(coded)])]) if len(coded) else np.zeros(1, np.int64)
-        return np.diff(ends[starts])
+        if not len(coded):
+            return np.zeros(len(texts), np.int64)
+        word = self._numbers(coded)  # before the lengths are read, which it may extend
+        return np.diff(np.concatenate([[0], np.cumsum(self.length[word])])[starts])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's begin (one entry more). Null: none."""
