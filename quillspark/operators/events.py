@@ -15,7 +15,7 @@ def coverage(events: DataFrame, group: list[str], dwell: str, kind: str = "view"
 
 
 def top_dwell(events: DataFrame, item: str, dwell: str, least: float, k: int) -> DataFrame:
-    sums = events.where(F.col(dwell) > least).groupBy(item).agg(F.count("*").alias("n"), F.round(F.avg(dwell), 4).alias("mean"), F.round(F.sum(dwell), 4).alias("total"))
+    sums = events.where(F.col(dwell) > least).groupBy(item).agg(F.count("*").alias("n"), F.round(F.avg(dwell), 6).alias("mean"), F.round(F.sum(dwell), 4).alias("total"))
     return sums.orderBy(F.desc("total"), item).limit(k)
 
 

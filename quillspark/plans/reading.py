@@ -21,7 +21,7 @@ def now(e):
 
 
 register("reading_coverage", lambda s, d: E.coverage(events(s, d), ["user_id"], "value").withColumn("last", E.millis("last")), f"WITH {EV} SELECT user_id, count(*) AS n, max(ms) AS last, round(sum(value), 4) AS dwell FROM e WHERE event_type = 'view' GROUP BY user_id")
-register("top_dwell", lambda s, d: E.top_dwell(events(s, d), "item", "value", 5.0, 100), f"WITH {EV} SELECT item, count(*) AS n, round(avg(value), 4) AS mean, round(sum(value), 4) AS total FROM e WHERE value > 5 GROUP BY item ORDER BY total DESC, item LIMIT 100")
+register("top_dwell", lambda s, d: E.top_dwell(events(s, d), "item", "value", 5.0, 100), f"WITH {EV} SELECT item, count(*) AS n, round(avg(value), 6) AS mean, round(sum(value), 4) AS total FROM e WHERE value > 5 GROUP BY item ORDER BY total DESC, item LIMIT 100")
 register("session_sequence", lambda s, d: E.sequences(events(s, d), "user_id", "item", 200), f"WITH {EV} SELECT user_id, string_agg(item::VARCHAR, ',' ORDER BY ts, item) AS items FROM e GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 200")
 
 
@@ -57,8 +57,8 @@ register("due_queue", lambda s, d: (lambda e: reviews(s, d).join(F.broadcast(now
 register(
     "calendar_pick",
     lambda s, d: table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct().select(
-        "day", (F.floor((F.dayofyear("day") - 1) / 7) + 1).alias("week"), (F.dayofweek("day") - 1).alias("weekday"), F.pmod(F.year("day") - 2026, F.lit(4)).alias("cycle"),
+        F.col("day").cast("string").alias("day"), (F.floor((F.dayofyear("day") - 1) / 7) + 1).alias("week"), (F.dayofweek("day") - 1).alias("weekday"), F.pmod(F.year("day") - 2026, F.lit(4)).alias("cycle"),
         (lcg(F.dayofyear("day") + F.year("day") * 366) % 97).alias("pick"), (park_miller(F.dayofyear("day") + F.lit(7)) % 97).alias("other_pick")),
-    """WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders) SELECT day, (dayofyear(day) - 1) // 7 + 1 AS week, dayofweek(day)::INT AS weekday, (((year(day) - 2026) % 4 + 4) % 4)::INT AS cycle,
+    """WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders) SELECT day::VARCHAR AS day, (dayofyear(day) - 1) // 7 + 1 AS week, dayofweek(day)::INT AS weekday, (((year(day) - 2026) % 4 + 4) % 4)::INT AS cycle,
     ((1664525::BIGINT * (dayofyear(day) + year(day) * 366) + 1013904223) % 4294967296) % 97 AS pick, ((dayofyear(day) + 7) * 16807 % 2147483647) % 97 AS other_pick FROM d""",
 )
