@@ -303,3 +303,14 @@ def test_pipeline(spark, docs, rows, tmp_path):
     ids = {r.doc_id for r in read.collect()}
     assert {63, 64, 65, 66, 61, 62}.isdisjoint(ids)
     assert out.groupby("doc_id")["length"].sum().sum() == out[out["start"] == 0]["doc_tokens"].sum()
+
+
+def test_counts_follow_a_growing_cache():
+    import pyarrow as pa
+
+    from quillspark.llm.tokens import WordEncoder
+
+    texts = pa.array([" ".join(f"w{i + j}x" for i in range(100_000)) for j in (0, 100_000, 200_000)] + [None, ""])
+    counts = WordEncoder(None).count(texts)
+    ids, ends = WordEncoder(None).encode(texts)
+    assert list(counts) == list(np.diff(ends)) and len(ids) == ends[-1] and list(counts[3:]) == [0, 0]
