@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import BLOB, Scratch, blob_frame, scatter, together, unpack
+from .common import BLOB, Scratch, blob_frame, gather, scatter, together, unpack
 
 K = 10
 TREES = 6
@@ -32,6 +32,8 @@ RECALL, TRIALS = 0.97, 96
 SAMPLE, SAMPLE_LEAF = 65_536, 16
 SEED = 5
 QUERY_EVERY = 100
+#: Queries whose finds, a few for each opened leaf, are merged at once.
+QUERIES_PER_PART = 500
 
 
 class Forest:
@@ -129,9 +131,11 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - q) ** 2).sum(1))
 
 
-def _rank(dims: int, keep: int):
+def _rank(dims: int, keep: int, parts: int):
+    """The best of a leaf for each query that opened it, packed by the part of the query."""
+
     def go(queries: pd.DataFrame, leaf: pd.DataFrame) -> pd.DataFrame:
-        out = {"query": [], "vec_id": [], "score": []}
+        found = []
         if len(queries) and len(leaf):
             blobs = [unpack(b) for b in leaf["blob"]]
             x, ids = np.concatenate([b[0].reshape(-1, dims) for b in blobs]), np.concatenate([b[1].reshape(-1, keep) for b in blobs])
@@ -143,8 +147,28 @@ def _rank(dims: int, keep: int):
                     each = (ids[best] >= 0).sum(1)
                     own, score = ids[best][ids[best] >= 0], np.repeat(d[best], each)
                     first = np.lexsort((own, score))[:keep]
-                    out["query"].append(np.full(len(first), name)), out["vec_id"].append(own[first]), out["score"].append(score[first])
-        return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()})
+                    found.append((np.full(len(first), name), own[first], score[first]))
+        if not found:
+            return blob_frame([])
+        query, vec, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return blob_frame(scatter(query % parts, query, vec, score))
+
+    return go
+
+
+def _merge(keep: int):
+    """Of what the leaves found for each query, every vector once, the best first."""
+
+    def go(frame: pd.DataFrame) -> pd.DataFrame:
+        query, vec, score = gather(frame["blob"])
+        order = np.lexsort((vec, score, query))
+        query, vec, score = query[order], vec[order], score[order]
+        new = np.ones(len(query), bool)  # copies of a candidate have one distance, so they are neighbours
+        new[1:] = (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])
+        query, vec, score = query[new], vec[new], score[new]
+        head = np.flatnonzero(np.diff(query, prepend=query[0] - 1))
+        nth = np.arange(len(query)) - np.repeat(head, np.diff(np.append(head, len(query))))
+        return pd.DataFrame({"query": query[nth < keep], "vec_id": vec[nth < keep], "score": score[nth < keep]})
 
     return go
 
@@ -184,10 +208,9 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: DataFra
     of = asked.groupBy("embedding").agg(F.min("vec_id").alias("query"))
     opened = of.mapInPandas(_open(forest, probes), BLOB)
     index = distinct.mapInPandas(_index(forest, trees, keep), BLOB)
-    found = together(opened, index, "part", _rank(dims, keep), "query long, vec_id long, score double")
-    near = found.groupBy("query", "vec_id").agg(F.min("score").alias("score"))
-    place = F.row_number().over(W.partitionBy("query").orderBy("score", "vec_id"))
-    near = near.withColumn("nth", place).where(F.col("nth") <= keep)
+    parts = max(1, asked.count() // QUERIES_PER_PART)
+    found = together(opened, index, "part", _rank(dims, keep, parts), BLOB)
+    near = found.groupBy("part").applyInPandas(_merge(keep), "query long, vec_id long, score double")
     out = asked.join(of, "embedding").select(F.col("vec_id").alias("query_id"), "query").join(near, "query").where("query_id <> vec_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
