@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch
+from quillspark.llm.common import Scratch, row_key
 from quillspark.llm.exact_dedup import LAST, classes, with_digest
 from quillspark.llm.jaccard_join import jaccard_components
 from quillspark.llm.language_id import UNKNOWN, identify_languages
@@ -40,17 +40,19 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the smallest doc_id."""
-    found = jaccard_components(spark, docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(LAST)).alias("_id")).distinct()
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    return _only(rows, kept, "_id").dropDuplicates(["_id"]).select(*docs.columns)
+    """Keeps one document of each group of near copies: the smallest doc_id. Rows are known by doc_id and text."""
+    found = jaccard_components(spark, docs, by_row=True)
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("rk").alias("_key")))
+    kept = found.groupBy("component_id").agg(first.alias("first")).select("first._key")
+    return _only(docs.withColumn("_key", row_key()), kept, "_key").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes whole copies of documents, as many as the mix says; a second copy is a row of its own."""
-    copies = mix_sources(spark, docs).where("copies > 0").select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("copies").alias("_copies"))
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(copies, "_id")
+    missing = F.concat(*[F.col(f"`{c}`").isNull().cast("string") for c in docs.columns])
+    rows = docs.withColumn("_key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], missing))
+    copies = mix_sources(spark, rows, key="_key").groupBy("_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    rows = rows.dropDuplicates(["_key"]).join(copies, "_key")  # rows of one key are equal in every column
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 

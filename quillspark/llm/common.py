@@ -65,7 +65,7 @@ def columns_or_null(df: DataFrame, **kinds: str) -> DataFrame:
 
 def row_key() -> Column:
     """A key of the row's identity and text. Rows equal in both share it and get equal results."""
-    return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def parts_for(docs: DataFrame, chars: int = CHARS_PER_PART) -> int:

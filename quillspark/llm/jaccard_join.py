@@ -158,25 +158,27 @@ def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"place": has, "tokens": total[has]})
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, n_links``.
+def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, fragments: int = FRAGMENTS, by_row: bool = False) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, n_links, rk``.
 
     ``n_links`` counts links found between different sets while joining components, a lower bound
     of the document's links. Texts without words, empty and null have no shingles and link with
     nothing. Rows that share a doc_id are one vertex of the links; a null doc_id comes after all
-    others. An empty table gives no rows.
+    others. With ``by_row`` a vertex is a row, known by its ``row_key`` ``rk``: different texts under
+    one or no doc_id stay apart, and ``component_id`` is the smallest key of the component.
+    An empty table gives no rows.
     """
     scratch = Scratch(spark, "jaccard")
     docs = columns_or_null(docs, doc_id="long", text="string").withColumn("rk", row_key())
     parts = parts_for(docs, CHARS_PER_PART)
     sent = docs.mapInArrow(_deal(size, parts), BLOB).groupBy("part").applyInPandas(_count(parts), BLOB)
-    rows = scratch.save(sent.groupBy("part").applyInPandas(_profile(percent), PROFILE), "profiles")
+    rows = scratch.save(sent.groupBy("part").applyInPandas(_profile(percent), PROFILE), "profiles").withColumn("vertex", F.col("rk" if by_row else "doc_id"))
 
     can = rows.where("tokens IS NOT NULL")
-    nodes = can.groupBy("class_a", "class_b", "n").agg(F.min("doc_id").alias("node"), F.min("rk").alias("rk"))
-    member = can.select("doc_id", "rk", "class_a", "class_b", "n").join(nodes.withColumnRenamed("rk", "of"), ["class_a", "class_b", "n"])
+    nodes = can.groupBy("class_a", "class_b", "n").agg(F.min("vertex").alias("node"), F.min("rk").alias("rk"))
+    member = can.select("vertex", "rk", "class_a", "class_b", "n").join(nodes.withColumnRenamed("rk", "of"), ["class_a", "class_b", "n"])
     nodes = scratch.save(nodes.join(can.select("rk", "tokens", "counts").dropDuplicates(["rk"]), "rk").select("node", "n", "tokens", "counts"), "nodes")
-    member = scratch.save(member.select("doc_id", "node").where("doc_id <> node").distinct(), "members")
+    member = scratch.save(member.select("vertex", "node").where("vertex <> node").distinct(), "members")
 
     postings = scratch.save(nodes.mapInPandas(_postings(percent), "token long, node long, n long, shared long, place long"), "postings")
     histogram = nodes.mapInPandas(_places, "place long, tokens long").groupBy("place").agg(F.sum("tokens").alias("tokens")).orderBy("place").collect()  # 4096 rows at most
@@ -232,12 +234,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     left, right = side("a"), side("b")
     pairs = left.join(right, (left.token == right.token) & (F.col("a") < F.col("b")) & (F.col("oa") != F.col("ob")) & sized & enough(most))
     links = links.union(overlaps(ordered(pairs), "overlaps").where(enough(F.col("same"))).select("a", "b"))
-    component = connected(links.union(member.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), Scratch(spark, "components"))
+    component = connected(links.union(member.select(F.col("vertex").alias("a"), F.col("node").alias("b"))), Scratch(spark, "components"))
 
     degree = links.distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(degree.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = rows.select("rk", "doc_id", "vertex", F.col("n").alias("n_shingles")).join(component.withColumnRenamed("node", "vertex"), "vertex", "left").join(degree.withColumnRenamed("node", "vertex"), "vertex", "left")
     real = lambda c: F.nullif(c, F.lit(2**63 - 1))
-    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = F.coalesce("component", "vertex")
+    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", (named if by_row else real(named)).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "rk")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,16 +56,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return s.withColumn("target", F.when(F.col("full"), F.col("ceiling")).otherwise(unit * F.col("weight"))).select("source", "source_size", "n", "target")
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most_copies: float = MOST_COPIES, seed: str = "mix", preference: str | None = None) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, copies, taken``.
+def mix_sources(spark: SparkSession, docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most_copies: float = MOST_COPIES, seed: str = "mix", preference: str | None = None, key: str | None = None) -> DataFrame:
+    """One row per document: ``doc_id, source, size, source_size, target, copies, taken``, and ``key``.
 
     ``preference`` names a positive column that raises or lowers a document's expected copies
-    against the others of its source. Null texts have size 0 and, like empty ones, take no room.
+    against the others of its source. ``key`` names a column that tells rows apart and is returned
+    with them. Null texts have size 0 and, like empty ones, take no room.
     Repeated rows are ranked one after the other, in any order. An empty table gives no rows.
     """
     scratch = Scratch(spark, "mix")
     liking = F.coalesce(F.col(preference).cast("double"), F.lit(1.0)) if preference else F.lit(1.0)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), liking.alias("liking"))
+    own = [key] if key else []
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), liking.alias("liking"), *own)
     d = scratch.save(d, "sizes")
     size = F.col("size") * F.col("liking")
     s = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.sum(size).alias("liked"))
@@ -81,7 +83,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, *, weights=WEIGHTS, share:
     level = F.when(typical > 0, F.col("q") * odds(typical)).otherwise(F.col("q"))  # about an even spread of level / (1 + level)
     d = d.withColumn("bucket", F.coalesce(F.floor(level / (1 + level) * F.ceil(F.col("n") / BUCKET)), F.lit(-1).cast("long")))
 
-    place = W.partitionBy("source", "bucket").orderBy("q", "doc_id", "size")
+    place = W.partitionBy("source", "bucket").orderBy("q", "doc_id", "size", *own)
     d = d.withColumn("nth", F.row_number().over(place)).withColumn("run", F.sum("size").over(place.rowsBetween(W.unboundedPreceding, 0)))
     d = scratch.save(d.drop("u", "liking", "liked", "expected"), "ranked")
     b = d.groupBy("source", "bucket").agg(F.sum(F.when(F.col("p") > 0, F.col("size")).otherwise(0)).alias("in_bucket"), F.sum(F.col("size") * F.col("sure")).alias("sure_size"))
@@ -100,7 +102,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, *, weights=WEIGHTS, share:
     d = d.join(last, F.col("source").eqNullSafe(F.col("source_")), "left")
     chosen = F.col("fits") | F.coalesce((F.col("bucket") == F.col("pick_bucket")) & (F.col("nth") == F.col("pick_nth")), F.lit(False))
     d = d.withColumn("copies", F.col("sure") + F.when(chosen, 1).otherwise(0))
-    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *own)
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

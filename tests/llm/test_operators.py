@@ -314,3 +314,18 @@ def test_counts_follow_a_growing_cache():
     counts = WordEncoder(None).count(texts)
     ids, ends = WordEncoder(None).encode(texts)
     assert list(counts) == list(np.diff(ends)) and len(ids) == ends[-1] and list(counts[3:]) == [0, 0]
+
+
+def test_stages_tell_rows_of_one_id_apart(spark, tmp_path):
+    import corpus_pipeline as C
+
+    text = lambda seed: " ".join(f"w{random.Random(seed * 1000 + i).randint(0, 10**6)}" for i in range(60))
+    near = text(1) + " end"
+    rows = [(5, text(1)), (None, near), (None, text(2)), (None, text(3)), (6, text(4)), (6, text(5)), (6, text(5))]
+    docs = spark.createDataFrame([(i, t, "en", "s0", len(t), 7, "", "") for i, t in rows], SCHEMA)
+    kept = C.jaccard_join(spark, docs, str(tmp_path)).collect()
+    assert sorted((high(r.doc_id), r.text) for r in kept) == sorted({(high(i), t) for i, t in rows if t != near})
+
+    mixed = C.source_mix(spark, docs, str(tmp_path)).collect()
+    want = mixing.mix_sources(spark, docs).agg(F.sum("copies")).first()[0]
+    assert len(mixed) == want and {r.text for r in mixed} <= {t for _, t in rows}
