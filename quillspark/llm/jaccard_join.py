@@ -159,11 +159,10 @@ def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, fragments: int = FRAGMENTS, by_row: bool = False) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, n_links, rk``.
+    """One row per document: ``doc_id, n_shingles, component_id, rk``.
 
-    ``n_links`` counts links found between different sets while joining components, a lower bound
-    of the document's links. Texts without words, empty and null have no shingles and link with
-    nothing. Rows that share a doc_id are one vertex of the links; a null doc_id comes after all
+    A document's links are not counted: pairs inside a component are never made. Texts without
+    words, empty and null have no shingles and link with nothing. Rows that share a doc_id are one vertex of the links; a null doc_id comes after all
     others. With ``by_row`` a vertex is a row, known by its ``row_key`` ``rk``: different texts under
     one or no doc_id stay apart, and ``component_id`` is the smallest key of the component.
     An empty table gives no rows.
@@ -236,11 +235,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     links = links.union(overlaps(ordered(pairs), "overlaps").where(enough(F.col("same"))).select("a", "b"))
     component = connected(links.union(member.select(F.col("vertex").alias("a"), F.col("node").alias("b"))), Scratch(spark, "components"))
 
-    degree = links.distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    out = rows.select("rk", "doc_id", "vertex", F.col("n").alias("n_shingles")).join(component.withColumnRenamed("node", "vertex"), "vertex", "left").join(degree.withColumnRenamed("node", "vertex"), "vertex", "left")
+    out = rows.select("rk", "doc_id", "vertex", F.col("n").alias("n_shingles")).join(component.withColumnRenamed("node", "vertex"), "vertex", "left")
     real = lambda c: F.nullif(c, F.lit(2**63 - 1))
     named = F.coalesce("component", "vertex")
-    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", (named if by_row else real(named)).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "rk")
+    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", (named if by_row else real(named)).alias("component_id"), "rk")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -329,3 +329,7 @@ def test_stages_tell_rows_of_one_id_apart(spark, tmp_path):
     mixed = C.source_mix(spark, docs, str(tmp_path)).collect()
     want = mixing.mix_sources(spark, docs).agg(F.sum("copies")).first()[0]
     assert len(mixed) == want and {r.text for r in mixed} <= {t for _, t in rows}
+
+
+def test_jaccard_gives_no_partial_count_of_links(spark, none):
+    assert jaccard_join.jaccard_components(spark, none).columns == ["doc_id", "n_shingles", "component_id", "rk"]
