@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from . import fts, ranking, termstats
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, first: int = 24, lane_k: int = 50, phrase_weight: float = 3.0) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, lane_k: int = 50, phrase_weight: float = 3.0) -> DataFrame:
     """``query_id, id, rank, tier, specificity, sources`` for queries ``(item_id, text)`` over documents ``(doc_id, text)``.
 
-    Lanes: BM25, exact phrase of the first words, proximity of the longest. They are fused by
+    Lanes: BM25, exact phrase of the whole query, proximity of its longest words. They are fused by
     reciprocal rank; fused rows get their share of the query's term weight and a tier, are cut at a
     floor, and are ordered by specificity. A query without any hit has no rows.
     """
-    posts, terms = fts.postings(docs), fts.query_terms(queries, first=first)
+    posts, terms = fts.postings(docs), fts.query_terms(queries)
     n = docs.agg(F.count("*").alias("n"))
     best = fts.bm25(posts, terms, lane_k).select("query_id", F.col("doc_id").alias("id"), "rank")
     by_id = W.partitionBy("query_id").orderBy("id")
     lane = lambda hits: hits.select("query_id", F.col("doc_id").alias("id")).withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= lane_k)
-    exact = lane(fts.phrase(posts, terms.where("place <= 5")))
-    close = lane(fts.near(posts, fts.longest(terms.where("place <= 10"))))
+    exact = lane(fts.phrase(posts, terms))
+    close = lane(fts.near(posts, fts.longest(terms)))
     fused = ranking.fuse({"bm25": (best, 1.0), "phrase": (exact, phrase_weight), "near": (close, 1.0)})
     weights = termstats.term_weights(terms, termstats.log_likelihood(posts, n).drop("df"), termstats.inverse_document_frequency(posts, n).drop("df"))
     covered = fts.coverage(posts, weights).withColumnRenamed("doc_id", "id")

@@ -251,8 +251,8 @@ register(
 
 def sequence_score(s, d):
     """Rank the BM25 candidates by how well they hold the query's tokens in order."""
-    best = fts.bm25(posts(s, d), asked(s, d, 12))
-    q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(X.tokens(F.col("text")), 1, 12).alias("q"))
+    best = bm25_topk(s, d)
+    q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), X.tokens(F.col("text")).alias("q"))
     t = docs(s, d).select("doc_id", X.tokens(F.col("text")).alias("t"))
     return best.join(q, "query_id").join(t, "doc_id").select("query_id", "doc_id", F.round(fts.in_order(F.col("q"), F.col("t")), 6).alias("sequence"))
 

@@ -57,3 +57,16 @@ def test_filters_reach_the_scan(spark):
 
     plan = all_queries()["anti_unread"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,45.0)" in plan
+
+
+def test_searches_take_whole_queries(spark, tmp_path):
+    from quillspark.plans import search as S
+    from quillspark.operators.pipeline import search
+
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:30], "else"])), (3, " ".join(words[30:]))], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs.selectExpr("*", "'en' AS lang", "'s' AS source", "length(text) AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    asked.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r.doc_id: r.sequence for r in S.sequence_score(spark, str(tmp_path)).collect()} == {1: 1.0, 2: 0.75, 3: 0.25}
+    assert [(r.id, r.tier) for r in search(docs, asked).collect() if r.tier == 2] == [(1, 2)]
