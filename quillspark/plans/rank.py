@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..catalog import table
 from ..functions.numeric import confidence, relevance_logit, sigmoid
 from ..operators import fts, learning as L, ranking as R
+from ..operators.vectors import top_similar
 from . import search as S
 from .registry import register
-from .vector import KNN, knn, vecs
+from .vector import KNN, knn, stated, vecs
 
 
 def lanes(s, d):
@@ -95,8 +96,11 @@ register("mmr", lambda s, d: R.diversified(knn(s, d).where("query_id % 25 = 0").
 
 
 def sinkhorn(s, d):
-    v = vecs(s, d).groupBy(F.floor(F.col("id") / 10).alias("g")).agg(F.collect_list("v").alias("vs"))
-    return R.transport(v.where("g < 5").select(F.col("g").alias("query_id"), F.col("vs").alias("a")).join(v.select(F.col("g").alias("id"), F.col("vs").alias("b"))))
+    """The group of each stated query against the groups of its neighbours. A group is ten ids."""
+    group = lambda c: F.floor(F.col(c) / 10)
+    v = vecs(s, d).groupBy(group("id").alias("g")).agg(F.collect_list("v").alias("vs"))
+    near = top_similar(stated(s, d), vecs(s, d)).select(group("query_id").alias("query_id"), group("id").alias("id")).distinct()
+    return R.transport(near.join(v.select(F.col("g").alias("query_id"), F.col("vs").alias("a")), "query_id").join(v.select(F.col("g").alias("id"), F.col("vs").alias("b")), "id"))
 
 
 register("sinkhorn", sinkhorn)

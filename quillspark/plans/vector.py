@@ -17,6 +17,11 @@ def some(s, d):
     return vecs(s, d).where("id % 25 = 0").select(F.col("id").alias("query_id"), "v")
 
 
+def stated(s, d):
+    """The stated query set: every id divisible by 20."""
+    return vecs(s, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), "v")
+
+
 def knn(s, d, k=20):
     v = vecs(s, d)
     return V.top_similar(v.select(F.col("id").alias("query_id"), "v"), v, k)

@@ -70,3 +70,11 @@ def test_searches_take_whole_queries(spark, tmp_path):
     asked.write.parquet(str(tmp_path / "benchmark.parquet"))
     assert {r.doc_id: r.sequence for r in S.sequence_score(spark, str(tmp_path)).collect()} == {1: 1.0, 2: 0.75, 3: 0.25}
     assert [(r.id, r.tier) for r in search(docs, asked).collect() if r.tier == 2] == [(1, 2)]
+
+
+def test_transport_answers_the_stated_queries(spark):
+    from quillspark.plans import all_queries, vector as P
+
+    data = "/root/testdata/sf0.001"
+    stated = {r.id // 10 for r in P.vecs(spark, data).where("id % 20 = 0").collect()}
+    assert {r.query_id for r in all_queries()["sinkhorn"](spark, data).collect()} == stated
