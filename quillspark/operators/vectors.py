@@ -205,6 +205,6 @@ def hashed_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, table
     rows = as_ml(vectors)
     asked = as_ml(queries.withColumnRenamed("query_id", "id"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", numHashTables=tables, bucketLength=width, seed=seed).fit(rows)
-    pairs = model.approxSimilarityJoin(asked, rows, 2.0, "distance").where("datasetA.id <> datasetB.id")
+    pairs = model.approxSimilarityJoin(asked, rows, float("inf"), "distance").where("datasetA.id <> datasetB.id")
     out = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), F.round("distance", 6).alias("distance"))
     return out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)

@@ -92,7 +92,7 @@ register("ir_metrics", metrics, f"""WITH {S.POSTS}, {S.TF}, {S.VOCAB}, {S.query_
     SELECT query_id, round(coalesce(1 / min(rank), 0), 6) AS rr, coalesce(min(rank) <= 1, false) AS top1, coalesce(min(rank) <= 3, false) AS top3,
       round(sum(CASE WHEN rank <= 5 THEN {DCG} ELSE 0 END) / list_sum(list_transform(range(1, least(count(*), 5) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))), 6) AS ndcg5,
       round(sum(CASE WHEN rank <= 10 THEN {DCG} ELSE 0 END) / list_sum(list_transform(range(1, least(count(*), 10) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))), 6) AS ndcg10 FROM h GROUP BY query_id""")
-register("mmr", lambda s, d: R.diversified(knn(s, d).where("query_id % 25 = 0").select("query_id", "id", F.col("similarity").alias("score")).join(vecs(s, d).select("id", "v"), "id")))
+register("mmr", lambda s, d: R.diversified(top_similar(stated(s, d), vecs(s, d)).select("query_id", "id", F.col("similarity").alias("score")).join(vecs(s, d).select("id", "v"), "id")))
 
 
 def sinkhorn(s, d):

@@ -86,4 +86,4 @@ def item2vec(s, d):
 
 
 register("item2vec", item2vec)
-register("ann_lsh", lambda s, d: V.hashed_neighbours(vecs(s, d), some(s, d)))
+register("ann_lsh", lambda s, d: V.hashed_neighbours(vecs(s, d), stated(s, d)))

@@ -78,3 +78,19 @@ def test_transport_answers_the_stated_queries(spark):
     data = "/root/testdata/sf0.001"
     stated = {r.id // 10 for r in P.vecs(spark, data).where("id % 20 = 0").collect()}
     assert {r.query_id for r in all_queries()["sinkhorn"](spark, data).collect()} == stated
+
+
+def test_vector_searches_answer_the_stated_queries(spark):
+    from quillspark.operators import vectors as V
+    from quillspark.plans import all_queries, vector as P
+
+    data = "/root/testdata/sf0.001"
+    stated = {r.id for r in P.vecs(spark, data).where("id % 20 = 0").collect()}
+    assert {r.query_id for r in all_queries()["mmr"](spark, data).select("query_id").distinct().collect()} == stated
+    found = {(r.query_id, r.id) for r in all_queries()["ann_lsh"](spark, data).collect()}
+    assert {q for q, _ in found} == stated
+    wanted = {(r.query_id, r.id) for r in V.top_similar(P.stated(spark, data), P.vecs(spark, data), 10).collect()}  # of unit vectors, the order of distance
+    assert len(found & wanted) >= 0.95 * len(wanted)
+
+    far = spark.createDataFrame([(0, [0.0, 0.0]), (1, [3.0, 0.0]), (2, [0.0, 9.0])], "id long, v array<double>")
+    assert V.hashed_neighbours(far, far.selectExpr("id AS query_id", "v").where("query_id = 0"), width=100.0).count() == 2
