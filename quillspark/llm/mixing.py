@@ -81,28 +81,31 @@ def mix_sources(spark: SparkSession, docs: DataFrame, *, weights=WEIGHTS, share:
     d = d.withColumn("u", uniform(seed)).withColumn("q", F.when(F.col("p") > 0, odds(F.col("u")) / odds(F.col("p"))))
     typical = mean - F.floor(mean)
     level = F.when(typical > 0, F.col("q") * odds(typical)).otherwise(F.col("q"))  # about an even spread of level / (1 + level)
-    d = d.withColumn("bucket", F.coalesce(F.floor(level / (1 + level) * F.ceil(F.col("n") / BUCKET)), F.lit(-1).cast("long")))
+    d = d.withColumn("bucket", F.floor(level / (1 + level) * F.ceil(F.col("n") / BUCKET)))
+    sure = d.where("p <= 0").withColumn("copies", F.col("sure"))  # whole copies only: nothing to rank
+    total = scratch.save(d.groupBy("source").agg(F.sum(F.col("size") * F.col("sure")).alias("sure_size")), "sure").withColumnRenamed("source", "source_")
 
     place = W.partitionBy("source", "bucket").orderBy("q", "doc_id", "size", *own)
-    d = d.withColumn("nth", F.row_number().over(place)).withColumn("run", F.sum("size").over(place.rowsBetween(W.unboundedPreceding, 0)))
+    d = d.where("p > 0").withColumn("nth", F.row_number().over(place)).withColumn("run", F.sum("size").over(place.rowsBetween(W.unboundedPreceding, 0)))
     d = scratch.save(d.drop("u", "liking", "liked", "expected"), "ranked")
-    b = d.groupBy("source", "bucket").agg(F.sum(F.when(F.col("p") > 0, F.col("size")).otherwise(0)).alias("in_bucket"), F.sum(F.col("size") * F.col("sure")).alias("sure_size"))
+    b = d.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")).join(total, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     each = W.partitionBy("source")
-    b = b.withColumn("need", -F.sum("sure_size").over(each)).withColumn("base", F.coalesce(F.sum("in_bucket").over(each.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    b = b.withColumn("need", -F.col("sure_size")).withColumn("base", F.coalesce(F.sum("in_bucket").over(each.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     b = b.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), "need", "base")
     d = d.join(b, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_"))).drop("source_", "bucket_")
-    d = d.withColumn("need", F.col("target") + F.col("need")).withColumn("fits", (F.col("p") > 0) & (F.col("base") + F.col("run") <= F.col("need")))
+    d = d.withColumn("need", F.col("target") + F.col("need")).withColumn("fits", F.col("base") + F.col("run") <= F.col("need"))
 
     gaps = d.groupBy("source").agg((F.max("need") - F.coalesce(F.max(F.when(F.col("fits"), F.col("base") + F.col("run"))), F.lit(0))).alias("gap"))
     gaps = scratch.save(gaps, "gaps").withColumnRenamed("source", "source_")
     off = F.abs(F.col("gap") - F.col("size"))
-    last = d.where((F.col("p") > 0) & ~F.col("fits")).join(gaps, F.col("source").eqNullSafe(F.col("source_"))).where(off < F.col("gap"))
+    last = d.where(~F.col("fits")).join(gaps, F.col("source").eqNullSafe(F.col("source_"))).where(off < F.col("gap"))
     last = last.groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("bucket"), F.col("nth"))).alias("pick"))
     last = last.select(F.col("source").alias("source_"), F.col("pick.bucket").alias("pick_bucket"), F.col("pick.nth").alias("pick_nth"))
     d = d.join(last, F.col("source").eqNullSafe(F.col("source_")), "left")
     chosen = F.col("fits") | F.coalesce((F.col("bucket") == F.col("pick_bucket")) & (F.col("nth") == F.col("pick_nth")), F.lit(False))
     d = d.withColumn("copies", F.col("sure") + F.when(chosen, 1).otherwise(0))
-    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *own)
+    out = ["doc_id", "source", "size", "source_size", "target", "copies"]
+    return d.select(*out, *own).union(sure.select(*out, *own)).select(*out, (F.col("copies") * F.col("size")).alias("taken"), *own)
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,3 +333,19 @@ def test_stages_tell_rows_of_one_id_apart(spark, tmp_path):
 
 def test_jaccard_gives_no_partial_count_of_links(spark, none):
     assert jaccard_join.jaccard_components(spark, none).columns == ["doc_id", "n_shingles", "component_id", "rk"]
+
+
+def test_mixing_ranks_no_sure_copies(spark, monkeypatch):
+    saved = {}
+
+    class Kept(mixing.Scratch):
+        def save(self, df, name):
+            saved[name] = super().save(df, name)
+            return saved[name]
+
+    monkeypatch.setattr(mixing, "Scratch", Kept)
+    monkeypatch.setattr(mixing, "BUCKET", 10)
+    docs = spark.createDataFrame([(i, "five words in every text", "abc"[i % 3]) for i in range(600)], "doc_id long, text string, source string")
+    out = mixing.mix_sources(spark, docs)
+    assert {r.copies for r in out.where("source = 'a'").collect()} == {2} and out.count() == 600
+    assert saved["ranked"].groupBy("source", "bucket").count().agg(F.max("count")).first()[0] < 60
