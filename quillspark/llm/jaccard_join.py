@@ -2,8 +2,9 @@
 
 A document is the set of its word shingles. All shingles have one global order, rare ones first.
 Sets that can have a partner at all (three quarters of their shingles occur elsewhere) are cut by
-fragments of that order; a candidate pair's overlap is counted in each fragment by itself and the
-counts are summed for each pair.
+fragments of that order. The fragments of a set stay in one row: a candidate pair is joined with both
+whole sets and its overlaps are counted by fragment and added inside that row, so fragments do not
+divide the work or its memory.
 
 Candidates share a shingle of their prefixes, as usual. They are not all written out: in the first
 rounds every shingle's documents are paired with a pivot only, which joins most groups of near
@@ -187,7 +188,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     pieces = scratch.save(nodes.mapInPandas(_fragments(cuts), "node long, parts array<array<long>>"), "fragments")
 
     def overlaps(pairs: DataFrame, name: str) -> DataFrame:
-        """What candidate pairs ``(a, b, na, nb)`` share: partial overlaps by fragment, summed for each pair."""
+        """What candidate pairs ``(a, b, na, nb)`` share: overlaps by fragment, added in the pair's row."""
         left, right = pieces.select(F.col("node").alias("a"), F.col("parts").alias("left")), pieces.select(F.col("node").alias("b"), F.col("parts").alias("right"))
         partial = F.zip_with("left", "right", lambda x, y: F.size(F.array_intersect(x, y)))
         same = F.aggregate(partial, F.lit(0), lambda total, n: total + n)
