@@ -8,6 +8,7 @@ row overhead. A blob row is ``(part int, blob binary)``; Spark shuffles the rows
 from __future__ import annotations
 
 import math
+import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -30,10 +31,13 @@ CHUNK = 4_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one set on the context.
 
-    Only where neither is set (tests on one machine) a temporary folder is made and set.
+    Only where neither is set and driver and executors are one process, a temporary folder is made and
+    set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="quillspark-")
@@ -68,6 +72,31 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def row_check() -> Column:
+    """32 more bits on the same: what two rows of one key, by chance, are told apart by."""
+    return F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, rk, rc``: the documents with both parts of their key."""
+    return columns_or_null(docs, doc_id="long", text="string").withColumn("rk", row_key()).withColumn("rc", row_check())
+
+
+#: Hashes that samples are drawn by lie below this.
+RANGE = 2**62
+
+
+def share_of(wanted: int, n: int) -> int:
+    """The bound on a hash below RANGE that draws about ``wanted`` of ``n`` rows: never 0, all of them if there are no more."""
+    return RANGE if n <= wanted else max(1, RANGE * wanted // n)
+
+
+def drawn(bound: Column | int) -> Column:
+    """Whether a document, by a hash of its doc_id and text, lies below the bound."""
+    h = F.xxhash64(F.lit("drawn"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.pmod(h, F.lit(RANGE)) < bound
+
+
 def parts_for(docs: DataFrame, chars: int = CHARS_PER_PART) -> int:
     """How many partitions of blobs the texts need; follows the whole input's size."""
     total = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
@@ -106,6 +135,36 @@ def scatter(part: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]
         yield int(part[mine[0]]), pack(*[x[mine] for x in arrays])
 
 
+def deal(part: np.ndarray, owner: np.ndarray, place: np.ndarray, keys: np.ndarray, checks: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Splits items by partition number. Item i is at ``place[i]`` of row ``owner[i]``, which has a key and a check; items come row by row.
+
+    A row's key is sent once for all its items in a partition, places as gaps; ``dealt`` undoes it.
+    """
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+        mine = order[a:b]
+        yield int(part[mine[0]]), pack(*told_apart(owner[mine], keys, checks), gaps(owner[mine], place[mine]), *[x[mine] for x in values])
+
+
+def dealt(blobs: Iterable[bytes]) -> list[np.ndarray]:
+    """Keys, checks, places and values of all items of many blobs."""
+    out = []
+    for blob in blobs:
+        keys, checks, n, gap, *values = unpack(blob)
+        out.append((*spread(keys, checks, n), places(gap, n), *values))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def to_rows(parts: int, keys: np.ndarray, checks: np.ndarray, place: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Deals items to the partitions of their rows."""
+    order = np.lexsort((place, checks, keys))
+    keys, checks, place = keys[order], checks[order], place[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
+    return deal(keys % parts, np.cumsum(new) - 1, place, keys[new], checks[new], *[v[order] for v in values])
+
+
 def blob_batch(rows: Iterable[tuple[int, bytes]]) -> pa.RecordBatch:
     rows = list(rows)
     return pa.record_batch([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "blob"])
@@ -131,6 +190,10 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return column(batch, name).to_numpy(zero_copy_only=False)
+
+
 def words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of all texts, and where each text's begin (one entry more). Null: none."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
@@ -148,11 +211,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word of all texts, and where each text's begin."""
+#: Keys of the word hashes, as many as there are.
+HASH_KEYS = ("0123456789123456", "another key of16")
+
+
+def word_hashes(texts: pa.Array, n: int = 1) -> tuple[np.ndarray, ...]:
+    """``n`` independent 64-bit hashes for each word of all texts, and where each text's begin."""
     coded, starts = words(texts)
-    own = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), dtype=object), categorize=False) if len(coded) else np.zeros(0, np.uint64)
-    return own[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else own, starts
+    if not len(coded):
+        return *[np.zeros(0, np.uint64)] * n, starts
+    distinct, at = np.array(coded.dictionary.to_pylist(), dtype=object), coded.indices.to_numpy(zero_copy_only=False)
+    return *[pd.util.hash_array(distinct, hash_key=k, categorize=False)[at] for k in HASH_KEYS[:n]], starts
 
 
 def rolling(h: np.ndarray, length: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
@@ -184,44 +253,72 @@ def window_starts(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 
 def text_blobs(docs: DataFrame, parts: int) -> DataFrame:
-    """Texts dealt by row key, as blobs of ``texts_of``: the columns are rk, doc_id and text."""
+    """Texts dealt by row key, as blobs of ``texts_of``: the columns are rk, rc, doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, 4 * CHUNK):
-                keys, ids, text = column(batch, "rk").to_numpy(zero_copy_only=False).astype(np.int64), column(batch, "doc_id"), pc.cast(column(batch, "text"), pa.binary())
+                keys, checks, ids, text = numbers(batch, "rk"), numbers(batch, "rc"), column(batch, "doc_id"), pc.cast(column(batch, "text"), pa.binary())
                 known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
-                part, out = np.abs(keys % parts), []
+                part, out = keys % parts, []
                 order = np.argsort(part, kind="stable")
                 cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
                 for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
                     mine = order[a:b]
                     own = [x or b"" for x in text.take(pa.array(mine)).to_pylist()]
                     size = np.array([len(x) for x in own], np.int64)
-                    out.append((int(part[mine[0]]), pack(keys[mine], ids[mine].astype(np.int64), known[mine].astype(np.int8), size, np.frombuffer(b"".join(own), np.uint8), level=3)))
+                    out.append((int(part[mine[0]]), pack(keys[mine], checks[mine], ids[mine].astype(np.int64), known[mine].astype(np.int8), size, np.frombuffer(b"".join(own), np.uint8), level=3)))
                 yield blob_batch(out)
 
-    return docs.select("rk", "doc_id", "text").mapInArrow(run, BLOB)
+    return docs.select("rk", "rc", "doc_id", "text").mapInArrow(run, BLOB)
 
 
-def texts_of(frame: pd.DataFrame) -> Iterator[tuple[int, int | None, bytes]]:
-    """Row key, doc_id and the text's bytes of every document in a frame of ``text_blobs``. Null text: empty."""
+def texts_of(frame: pd.DataFrame) -> Iterator[tuple[tuple[int, int], int | None, bytes]]:
+    """Key and check of the row, doc_id and the text's bytes of every document in a frame of ``text_blobs``. Null text: empty."""
     for blob in frame["blob"]:
-        keys, ids, known, size, data = unpack(blob)
+        keys, checks, ids, known, size, data = unpack(blob)
         ends = np.cumsum(size)
         raw = data.tobytes()
         for i in range(len(keys)):
-            yield int(keys[i]), int(ids[i]) if known[i] else None, raw[ends[i] - size[i] : ends[i]]
+            yield (int(keys[i]), int(checks[i])), int(ids[i]) if known[i] else None, raw[ends[i] - size[i] : ends[i]]
 
 
-def by_key(keys: np.ndarray, *values: np.ndarray) -> dict[int, tuple[np.ndarray, ...]]:
-    """For each key the values it has, in their order."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+def by_key(keys: np.ndarray, checks: np.ndarray, *values: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, ...]]:
+    """For each key with its check the values it has, in their order."""
+    order = np.lexsort((checks, keys))
+    keys, checks = keys[order], checks[order]
     first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
+    first[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
     cuts = np.flatnonzero(first)
-    return {int(keys[a]): tuple(v[order[a:b]] for v in values) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)}
+    return {(int(keys[a]), int(checks[a])): tuple(v[order[a:b]] for v in values) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)}
+
+
+def told_apart(owner: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of items that belong to rows and come row by row: each row's key and check once, and how many items follow it.
+
+    Thus a shuffled item costs no key of its own; ``spread`` undoes it.
+    """
+    cuts = np.flatnonzero(np.diff(owner, prepend=-1)) if len(owner) else np.zeros(0, np.int64)
+    rows = owner[cuts]
+    return keys[rows], checks[rows], np.diff(np.append(cuts, len(owner))).astype(np.uint32)
+
+
+def spread(keys: np.ndarray, checks: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(keys, n), np.repeat(checks, n)
+
+
+def gaps(owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Places as differences to the one before in the same row; the first of a row as it is. ``places`` undoes it."""
+    out = place.astype(np.int64)
+    same = owner[1:] == owner[:-1]
+    out[1:] -= np.where(same, place[:-1], 0)
+    return out.astype(np.uint16) if len(out) and out.max() < 2**16 and out.min() >= 0 else out
+
+
+def places(gap: np.ndarray, n: np.ndarray) -> np.ndarray:
+    total = np.cumsum(gap.astype(np.int64))
+    first = np.cumsum(n.astype(np.int64)) - n
+    return total - np.repeat(np.concatenate([[0], total])[first], n) if len(n) else total
 
 
 def together(left: DataFrame, right: DataFrame, key: str, function, schema: str) -> DataFrame:

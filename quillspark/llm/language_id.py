@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import drawn, share_of
+
 DIMS = 1024
 SEED = 7
 #: Training documents drawn for each language, about; the classifier is fitted on this bounded sample.
@@ -102,15 +104,14 @@ def is_held_out() -> Column:
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages, in order, and their prototypes (unit rows), from the text and lang of documents not held out.
 
-    A bounded sample is drawn by a hash of doc_id, about ``per_language`` documents of each language.
+    A bounded sample is drawn by a hash of the row, about ``per_language`` documents of each language.
     """
     rows = docs.where(~is_held_out() & F.col("lang").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return [], np.zeros((0, DIMS), np.float32)
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, per_language / n) * 1_000_000))])
-    drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(1_000_000)) < share[F.col("lang")]
-    parts = rows.where(drawn).select("lang", "text").repartition(TRAINERS).mapInArrow(_profiles, "lang string, vector binary").collect()
+    bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, share_of(per_language, n))])
+    parts = rows.where(drawn(bound[F.col("lang")])).select("lang", "text").repartition(TRAINERS).mapInArrow(_profiles, "lang string, vector binary").collect()
     sums: dict[str, np.ndarray] = {}
     for r in sorted(parts, key=lambda r: (r["lang"], r["vector"])):
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["vector"])
@@ -144,11 +145,13 @@ def identify_languages(spark: SparkSession, docs: DataFrame, per_language: int =
 
     Null texts and texts without letters are ``und`` with score 0, and so is everything where no
     document has a language. Ties go to the first language by code point. Learns from labelled
-    documents that are not held out; repeated rows count as often as they are there.
+    documents that are not held out; repeated rows count as often as they are there. Columns of the
+    input that have one of the three names are replaced, all others stay as they are. An empty table gives no rows.
     """
     langs, prototypes = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), per_language)
-    out = docs.withColumn("_found", predictor(langs, prototypes)(F.col("text").cast("string")))
-    return out.withColumn("held_out", is_held_out()).withColumn("lang_pred", F.col("_found.lang_pred")).withColumn("score", F.col("_found.score")).drop("_found")
+    rest = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), is_held_out().alias("held_out"), predictor(langs, prototypes)(F.col("text").cast("string")).alias("found"))
+    return rows.select("row.*", "held_out", "found.lang_pred", "found.score")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ slots of the patterns. Only the histogram, at most ``CAPACITY / STEP`` rows, com
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +26,6 @@ from .tokens import CHUNK, WordEncoder
 CAPACITY = 2048
 STEP = 8
 END_ID = 1
-#: Pieces that share a salt, over all classes. A class with most pieces is ranked salt by salt.
-SALTED = 100_000
 PIECES = "doc_id long, rk long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -135,7 +134,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str | None =
 
     ``tokenizer`` is the vocabulary file, by default the public word BPE with 49k entries. Null and
     empty texts are a single end id. A long text is cut at whole sequences. Repeated rows are packed
-    as often as they are there. An empty table gives no rows.
+    as often as they are there. Other columns are not looked at. An empty table gives no rows.
     """
     scratch = Scratch(spark, "pack")
     docs = columns_or_null(docs, doc_id="long", text="string").withColumn("rk", row_key())
@@ -143,8 +142,9 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str | None =
     found = {r["cls"]: r["count"] for r in pieces.groupBy("cls").count().collect()}  # CAPACITY / STEP rows at most
     table = slots(cutting_stock(found, CAPACITY // STEP))
 
-    salt = F.pmod(F.xxhash64("rk", "start"), F.lit(max(1, sum(found.values()) // SALTED)))
-    pieces = pieces.withColumn("salt", salt)
+    # a class of n pieces is ranked in about sqrt(n) salted parts of sqrt(n) pieces, whose sizes are then added up
+    salts = F.create_map(*[F.lit(x) for c, n in found.items() for x in (c, math.isqrt(n))]) if found else F.create_map(F.lit(0).cast("long"), F.lit(1))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("rk", "start"), salts[F.col("cls")]))
     ahead = pieces.groupBy("cls", "salt").count()
     ahead = ahead.withColumn("ahead", F.coalesce(F.sum("count").over(W.partitionBy("cls").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
     nth = F.row_number().over(W.partitionBy("cls", "salt").orderBy("rk", "start")) - 1

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_or_null
+from .common import columns_or_null, drawn, share_of
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -55,7 +55,7 @@ def luhn(number: str) -> bool:
 def valid(kind: str, s: str) -> bool:
     n = len(digits(s))
     if kind == "ip":
-        return [p.isdigit() and p.isascii() and int(p[:9]) <= 255 and len(p.lstrip("0")) <= 3 for p in s.split(".")] == [True] * 4
+        return [p.isdigit() and p.isascii() and len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in s.split(".")] == [True] * 4
     if kind == "card":
         return 13 <= n <= 19 and luhn(digits(s))
     if kind == "phone":
@@ -245,9 +245,8 @@ def _training_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, steps: int = STEPS) -> dict[str, np.ndarray] | None:
     """The tagger's parameters, from windows of a sample of documents bounded by SAMPLE_DOCS and SAMPLE_WINDOWS."""
     n = docs.count()
-    h = F.xxhash64(F.coalesce("doc_id", F.lit(0)))
-    drawn = docs.select(h.alias("h"), "text").where(F.pmod("h", F.lit(1_000_000)) < int(min(1.0, SAMPLE_DOCS / max(n, 1)) * 1_000_000)).where(F.col("text").rlike("[0-9@]"))
-    rows = drawn.mapInPandas(_training_windows, "name string, x binary, y binary").orderBy(F.md5("name"), "name").limit(SAMPLE_WINDOWS).collect()
+    sample = docs.where(drawn(share_of(SAMPLE_DOCS, n))).where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    rows = sample.mapInPandas(_training_windows, "name string, x binary, y binary").orderBy(F.md5("name"), "name").limit(SAMPLE_WINDOWS).collect()
     if not rows:
         return None
     x, y = (np.zeros((len(rows), WINDOW), np.int8) for _ in range(2))
@@ -333,7 +332,7 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, steps: int = STEPS)
 
     Counts and digest are of the base spans; ``spans`` has the tagger's as well. Null and empty
     texts have none; repeated rows are judged each by itself. Without a document that holds a digit
-    or at sign there is no tagger and nothing to tag. An empty table gives no rows.
+    or at sign there is no tagger and nothing to tag. Other columns are not looked at. An empty table gives no rows.
     """
     docs = columns_or_null(docs, doc_id="long", text="string")
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"

@@ -28,8 +28,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_source_mix": mixing.OP3_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
-        "op7_personal_data": pii.op7_personal_data,
-        "op8_nearest": nearest.op8_nearest,
         "op9_jaccard_join": jaccard_join.OP9_SQL,
         "op10_window_dedup": window_dedup.OP10_SQL,
     }

@@ -110,7 +110,7 @@ def document_token_rollup(spark: SparkSession, docs: DataFrame, tokenizer: str |
     rollup.commit("load", load)
     rollup.commit("revise", changes(rows, -1, bpe49k="guess").union(changes(rows, 1, bpe49k="n_bpe")))
     first = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "source", "lang")).alias("f"), F.count("*").alias("n"), F.first("n_words").alias("w"), F.first("n_bpe").alias("b"))
-    many = first.where("n > 1")
+    many = scratch.save(first.where("n > 1"), "repeated")  # a table, so that Spark may split a hot digest in the join
     # all rows of a text go, its first comes back: sums by key, so a group of copies is never gathered
     gone = rows.join(many.select("digest"), "digest", "left_semi")
     back = many.select("f.source", "f.lang", F.col("w").alias("n_words"), F.col("b").alias("n_bpe"))

@@ -87,7 +87,7 @@ class WordEncoder:
         split = []
         for w in new:
             core = w.rstrip(PUNCTUATION)
-            if core.isalpha():
+            if core.isalpha() and core.lower().isalpha():  # a lower case with a mark of its own meets the punctuation after it
                 split.append((core if FINAL_SIGMA in core else core.lower(), w[len(core) :]))
             else:
                 split.append((w, ""))
