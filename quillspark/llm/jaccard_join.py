@@ -2,19 +2,26 @@
 
 A document is the set of its word shingles. All shingles have one global order, rare ones first.
 Sets that can have a partner at all (three quarters of their shingles occur elsewhere) are cut by
-fragments of that order. The fragments of a set stay in one row: a candidate pair is joined with both
-whole sets and its overlaps are counted by fragment and added inside that row, so fragments do not
-divide the work or its memory.
+the fragments of that order, and each fragment of a set is a row of its own. A candidate pair meets
+fragment by fragment, each in its own place of the cluster: partial overlaps are counted there and
+summed by pair. No task needs a whole set of a pair.
 
 Candidates share a shingle of their prefixes, as usual. They are not all written out: in the first
 rounds every shingle's documents are paired with a pivot only, which joins most groups of near
-copies; then what shares a prefix shingle but lies in different components is paired. Pairs inside
-a component cannot change the result and are never made, so links are complete between components
-and the components are exact. Equal sets are one node.
+copies; then what shares a prefix shingle, is of like size and is not known to hang together is
+paired. Pairs known to hang together cannot change the result and are never made, so links are
+complete between components and the components are exact. Equal sets are one node.
+
+A shingle that ``HOT`` texts of one map chunk share is called hot and comes last in the order, by
+value. Its documents learn that from the chunk itself, so its partition counts chunks, not documents.
+
+Shingles are 64-bit hashes: two sets of n and m shingles take two different ones for one with a chance
+of n * m / 2**64, which then counts as one more in common.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOB, Scratch, blob_batch, blob_frame, chunks, column, columns_or_null, connected, gather, mix, parts_for, rolling, row_key, scatter, unpack, word_hashes
+from .common import BLOB, Scratch, blob_batch, blob_frame, by_key, chunks, column, connected, deal, dealt, keyed, mix, numbers, parts_for, rolling, scatter, to_rows, unpack, word_hashes
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 FRAGMENTS = 8
+#: Texts of a map chunk that share a hot shingle, at least, and what its count is taken for.
+HOT, HOT_COUNT = 8, 2**31 - 1
 #: Characters of text behind a partition of shingles; its reducer holds them all, with their documents.
 CHARS_PER_PART = 8_000_000
 PIVOT_ROUNDS = 2
@@ -50,19 +59,28 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def _deal(size: int, parts: int):
-    """Shingles go to the parts below ``parts`` by value, with their document; documents to the others by key."""
+    """Shingles go to the parts below ``parts`` by value; hot ones and the documents to the others, by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole):
                 sets = list(shingle_sets(column(batch, "text"), size))
                 n = np.array([len(s) for s in sets], np.int64)
-                keys = column(batch, "rk").to_numpy(zero_copy_only=False).astype(np.int64)
+                keys, checks = numbers(batch, "rk"), numbers(batch, "rc")
                 ids = column(batch, "doc_id").fill_null(2**63 - 1).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(n)), n)
                 if len(flat):
-                    yield blob_batch(scatter((flat >> np.uint64(33)).astype(np.int64) % parts, flat, keys[owner]))
-                yield blob_batch(scatter(parts + np.abs(keys % parts), n.astype(np.uint64), keys, ids))
+                    order = np.argsort(flat, kind="stable")
+                    cuts = np.flatnonzero(np.diff(flat[order], prepend=flat[order[0]] ^ np.uint64(1)))
+                    many = np.diff(np.append(cuts, len(flat)))
+                    hot, mark = np.zeros(len(flat), bool), np.zeros(len(flat), np.uint8)
+                    hot[order] = np.repeat(many >= HOT, many)
+                    mark[order[cuts[many >= HOT]]] = 1
+                    out, none = ~hot | (mark > 0), np.zeros(len(flat), np.int64)
+                    yield blob_batch(deal((flat[out] >> np.uint64(33)).astype(np.int64) % parts, owner[out], none[out], keys, checks, flat[out], mark[out]))
+                    if hot.any():
+                        yield blob_batch(deal(parts + keys[owner[hot]] % parts, owner[hot], none[hot], keys, checks, flat[hot], np.full(hot.sum(), HOT_COUNT, np.int32)))
+                yield blob_batch(scatter(parts + keys % parts, keys, checks, n, ids))
 
     return run
 
@@ -72,15 +90,17 @@ def _count(parts: int):
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         part = int(frame["part"].iloc[0])
-        if part >= parts:  # documents pass through
+        if part >= parts:  # documents and hot shingles pass through
             return blob_frame([(part - parts, blob) for blob in frame["blob"]])
-        values, keys = gather(frame["blob"])
+        keys, checks, place, values, mark = dealt(frame["blob"])
         order = np.argsort(values, kind="stable")
-        values, keys = values[order], keys[order]
-        cuts = np.flatnonzero(np.diff(values, prepend=values[0] ^ np.uint64(1)))
+        cuts = np.flatnonzero(np.diff(values[order], prepend=values[order[0]] ^ np.uint64(1)))
         n = np.diff(np.append(cuts, len(values)))
-        many = np.repeat(n, n) > 1
-        return blob_frame(scatter(np.abs(keys[many] % parts), values[many], keys[many], np.repeat(n, n)[many].astype(np.uint32).astype(np.int32))) if many.any() else blob_frame([])
+        total = np.where(np.maximum.reduceat(mark[order], cuts) > 0, HOT_COUNT, n)
+        count = np.zeros(len(values), np.int32)
+        count[order] = np.repeat(total, n)
+        tell = (count > 1) & (mark == 0)
+        return blob_frame(to_rows(parts, keys[tell], checks[tell], place[tell], values[tell], count[tell]) if tell.any() else [])
 
     return run
 
@@ -89,24 +109,26 @@ def _profile(percent: int):
     """One row per document; with its repeated shingles, rarest first, if a partner can exist."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        blobs = [unpack(b) for b in frame["blob"]]
-        docs = [b for b in blobs if b[2].dtype == np.int64]
-        have = [b for b in blobs if b[2].dtype != np.int64]
-        n, keys, ids = (np.concatenate([b[i] for b in docs]) for i in range(3))
-        values, owner, counts = ([np.concatenate([b[i] for b in have]) for i in range(3)] if have else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)])
-        order = np.lexsort((values, counts, owner))
-        values, owner, counts = values[order], owner[order], counts[order]
-        first = np.ones(len(values), bool)  # rows that share a key bring every shingle once each
-        first[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-        values, owner, counts = values[first], owner[first], counts[first]
-        rows = []
-        for key, doc, size in zip(keys, ids, n.astype(np.int64), strict=True):
-            a, b = np.searchsorted(owner, key), np.searchsorted(owner, key, "right")
-            own = values[a:b]
+        docs, have = [], []
+        for blob in frame["blob"]:
+            arrays = unpack(blob)
+            if len(arrays) == 4:
+                docs.append(arrays)
+            else:
+                have.append(blob)
+        at, rows, none = by_key(*dealt(have)) if have else {}, [], (None, np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        for key, check, size, doc in (x for d in docs for x in zip(*d, strict=True)):
+            _, own, counts = at.get((int(key), int(check)), none)
+            if size and 100 * len(own) >= percent * size:
+                order = np.lexsort((own, counts))
+                own, counts = own[order], counts[order]
+                first = np.ones(len(own), bool)  # rows that share a key bring every shingle once each
+                first[1:] = own[1:] != own[:-1]
+                own, counts = own[first], counts[first]
             if size and 100 * len(own) >= percent * size:
                 full = len(own) == size  # only then an equal set can exist
                 h = [mix(own ^ np.uint64(x)).sum().astype(np.int64) for x in (1, 2)] if full else [np.int64(key), np.int64(doc)]
-                rows.append((key, doc, size, h[0], h[1], own.tobytes(), counts[a:b].tobytes()))
+                rows.append((key, doc, size, h[0], h[1], own.tobytes(), counts.tobytes()))
             else:
                 rows.append((key, doc, size, np.int64(key), np.int64(doc), None, None))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PROFILE.split(", ")])
@@ -131,7 +153,7 @@ def _postings(percent: int):
 
 
 def _fragments(cuts: list[int]):
-    """Each set cut at the places ``cuts`` of the global order."""
+    """Each set cut at the places ``cuts`` of the global order, a row for each fragment that holds some of it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
@@ -139,8 +161,8 @@ def _fragments(cuts: list[int]):
             for node, raw, counts in zip(f["node"], f["tokens"], f["counts"], strict=True):
                 tokens = np.frombuffer(raw, np.int64)
                 piece = np.searchsorted(np.array(cuts), _place(tokens, np.frombuffer(counts, np.int32)), "right")
-                out.append((node, [tokens[piece == p] for p in range(len(cuts) + 1)]))
-            yield pd.DataFrame(out, columns=["node", "parts"])
+                out += [(node, p, tokens[piece == p]) for p in np.unique(piece)]
+            yield pd.DataFrame(out, columns=["node", "fragment", "own"])
 
     return run
 
@@ -159,6 +181,14 @@ def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"place": has, "tokens": total[has]})
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """``(node, label)``: the smallest node within two links, and that one's. Nodes of one label hang together; not all that do have one."""
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    near = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label"))
+    far = both.join(near.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("label")).alias("label"))
+    return far.join(far.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, fragments: int = FRAGMENTS, by_row: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, rk``.
 
@@ -166,33 +196,33 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     words, empty and null have no shingles and link with nothing. Rows that share a doc_id are one vertex of the links; a null doc_id comes after all
     others. With ``by_row`` a vertex is a row, known by its ``row_key`` ``rk``: different texts under
     one or no doc_id stay apart, and ``component_id`` is the smallest key of the component.
-    An empty table gives no rows.
+    Other columns are not looked at. An empty table gives no rows.
     """
     scratch = Scratch(spark, "jaccard")
-    docs = columns_or_null(docs, doc_id="long", text="string").withColumn("rk", row_key())
+    docs = keyed(docs)
     parts = parts_for(docs, CHARS_PER_PART)
     sent = docs.mapInArrow(_deal(size, parts), BLOB).groupBy("part").applyInPandas(_count(parts), BLOB)
     rows = scratch.save(sent.groupBy("part").applyInPandas(_profile(percent), PROFILE), "profiles").withColumn("vertex", F.col("rk" if by_row else "doc_id"))
 
     can = rows.where("tokens IS NOT NULL")
-    nodes = can.groupBy("class_a", "class_b", "n").agg(F.min("vertex").alias("node"), F.min("rk").alias("rk"))
-    member = can.select("vertex", "rk", "class_a", "class_b", "n").join(nodes.withColumnRenamed("rk", "of"), ["class_a", "class_b", "n"])
-    nodes = scratch.save(nodes.join(can.select("rk", "tokens", "counts").dropDuplicates(["rk"]), "rk").select("node", "n", "tokens", "counts"), "nodes")
+    classes = can.groupBy("class_a", "class_b", "n").agg(F.min("vertex").alias("node"), F.count("*").alias("k"), F.min_by(F.struct("tokens", "counts"), "vertex").alias("s"))
+    classes = scratch.save(classes.select("class_a", "class_b", "n", "node", "k", "s.tokens", "s.counts"), "classes")
+    member = can.select("vertex", "class_a", "class_b", "n").join(classes.where("k > 1").select("class_a", "class_b", "n", "node"), ["class_a", "class_b", "n"])
     member = scratch.save(member.select("vertex", "node").where("vertex <> node").distinct(), "members")
+    nodes = classes.select("node", "n", "tokens", "counts")
 
     postings = scratch.save(nodes.mapInPandas(_postings(percent), "token long, node long, n long, shared long, place long"), "postings")
     histogram = nodes.mapInPandas(_places, "place long, tokens long").groupBy("place").agg(F.sum("tokens").alias("tokens")).orderBy("place").collect()  # 4096 rows at most
     run, cuts = np.cumsum([r["tokens"] for r in histogram]), []
     if len(run):
-        cuts = [int(histogram[int(np.searchsorted(run, run[-1] * i / fragments))]["place"]) for i in range(1, fragments)]
-    pieces = scratch.save(nodes.mapInPandas(_fragments(cuts), "node long, parts array<array<long>>"), "fragments")
+        cuts = sorted({int(histogram[int(np.searchsorted(run, run[-1] * i / fragments))]["place"]) for i in range(1, fragments)})
+    pieces = scratch.save(nodes.mapInPandas(_fragments(cuts), "node long, fragment int, own array<long>"), "fragments")
 
     def overlaps(pairs: DataFrame, name: str) -> DataFrame:
-        """What candidate pairs ``(a, b, na, nb)`` share: overlaps by fragment, added in the pair's row."""
-        left, right = pieces.select(F.col("node").alias("a"), F.col("parts").alias("left")), pieces.select(F.col("node").alias("b"), F.col("parts").alias("right"))
-        partial = F.zip_with("left", "right", lambda x, y: F.size(F.array_intersect(x, y)))
-        same = F.aggregate(partial, F.lit(0), lambda total, n: total + n)
-        return scratch.save(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", same.alias("same")), name)
+        """``a, b, na, nb, same``: what candidate pairs share, counted in each fragment by itself and summed."""
+        left, right = pieces.select(F.col("node").alias("a"), "fragment", F.col("own").alias("left")), pieces.select(F.col("node").alias("b"), "fragment", F.col("own").alias("right"))
+        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("left", "right")).alias("same"))
+        return scratch.save(partial.groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same")), name)
 
     def enough(same: F.Column) -> F.Column:
         return same * 100 >= percent * (F.col("na") + F.col("nb") - same)
@@ -206,35 +236,43 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
     early = (F.col("pa") <= F.col("na") - need) & (F.col("pb") <= F.col("nb") - need)
     sized = early & (F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb"))
-    links, component = None, None
-    mine, pivots, shared = postings.withColumn("own", F.col("node")), [], []
+    links, shared = None, []
+    mine = postings.withColumn("own", F.col("node"))
     for i in range(PIVOT_ROUNDS):  # the documents of a shingle against one of them
         rank = F.struct(F.col("own") if i == 0 else -F.col("own"), F.col("node"))
         pivot = mine.groupBy("token").agg(F.min(F.struct(rank, F.col("node").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("own").alias("oa"), F.col("place").alias("pa"))).alias("p"), F.count("*").alias("k"))
-        pivot = scratch.save(pivot.where("k > 1").select("token", "p.a", "p.na", "p.sa", "p.oa", "p.pa"), f"pivots{i}")
-        pairs = mine.join(pivot, "token").where("a <> node AND own <> oa").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"), "sa", F.col("shared").alias("sb"), "pa", F.col("place").alias("pb"))
+        pivot = scratch.save(pivot.where("k > 1").select("token", F.col("p.a").alias(f"pivot{i}"), "p.na", "p.sa", "p.oa", "p.pa"), f"pivots{i}")
+        met = scratch.save(mine.join(pivot, "token"), f"met{i}")  # a shingle of one node pairs nothing, now or later
+        pairs = met.where(f"pivot{i} <> node AND own <> oa").select(F.col(f"pivot{i}").alias("a"), F.col("node").alias("b"), "na", F.col("n").alias("nb"), "sa", F.col("shared").alias("sb"), "pa", F.col("place").alias("pb"))
         same = overlaps(ordered(pairs.where(sized & enough(F.least("sa", "sb")))), f"overlaps{i}")
-        pivots.append(pivot.select("token", F.col("a").alias(f"pivot{i}"))), shared.append(same)
+        shared.append(same)
         found = same.where(enough(F.col("same"))).select("a", "b")
         links = found if links is None else links.union(found)
-        component = connected(links, Scratch(spark, "components"))
-        mine = scratch.save(postings.join(component, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component"), f"own{i}")
+        label = scratch.save(_labels(links), f"labels{i}")
+        mine = met.drop("own", "na", "sa", "oa", "pa").join(label, "node", "left").withColumn("own", F.coalesce("label", "node")).drop("label")
+        mine = scratch.save(mine, f"own{i}")
+        scratch.drop(f"met{i}")
 
-    # Between components: what two sets share lies in a pivot, of which each has a known part, or outside it.
+    # What is left: what two sets share lies in a pivot, of which each has a known part, or outside it.
     split = mine.groupBy("token").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("token")
     open_ = mine.join(split, "token", "left_semi")
     for i in range(PIVOT_ROUNDS):
         known = shared[i].select("a", "b", F.col("same").alias(f"with{i}"))
-        open_ = open_.join(pivots[i], "token", "left").withColumn("a", F.least("node", f"pivot{i}")).withColumn("b", F.greatest("node", f"pivot{i}"))
+        open_ = open_.withColumn("a", F.least("node", f"pivot{i}")).withColumn("b", F.greatest("node", f"pivot{i}"))
         open_ = open_.join(known, ["a", "b"], "left").withColumn(f"with{i}", F.when(F.col("node") == F.col(f"pivot{i}"), F.col("shared")).otherwise(F.col(f"with{i}"))).drop("a", "b", f"pivot{i}")
-    open_ = scratch.save(open_, "open")
-    side = lambda x: open_.select(F.col("token"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"s{x}"), F.col("own").alias(f"o{x}"), F.col("place").alias(f"p{x}"), *[F.col(f"with{i}").alias(f"{x}{i}") for i in range(PIVOT_ROUNDS)])
+    band = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9))  # linked sets are of one band or of neighbours
+    open_ = scratch.save(open_.withColumn("band", band.cast("long")), "open")
+    side = lambda x, bands: open_.select(F.col("token"), bands.alias("band"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"s{x}"), F.col("own").alias(f"o{x}"), F.col("place").alias(f"p{x}"), *[F.col(f"with{i}").alias(f"{x}{i}") for i in range(PIVOT_ROUNDS)])
     through = [F.least(F.col(f"a{i}") + F.col("sb") - F.col(f"b{i}"), F.col(f"b{i}") + F.col("sa") - F.col(f"a{i}")) for i in range(PIVOT_ROUNDS)]
     most = F.least("sa", "sb", *through)  # of those that are known
-    left, right = side("a"), side("b")
-    pairs = left.join(right, (left.token == right.token) & (F.col("a") < F.col("b")) & (F.col("oa") != F.col("ob")) & sized & enough(most))
-    links = links.union(overlaps(ordered(pairs), "overlaps").where(enough(F.col("same"))).select("a", "b"))
-    component = connected(links.union(member.select(F.col("vertex").alias("a"), F.col("node").alias("b"))), Scratch(spark, "components"))
+    left, right = side("a", F.col("band")), side("b", F.explode(F.array(*[F.col("band") + x for x in (-1, 0, 1)])))
+    pairs = left.join(right, (left.token == right.token) & (left.band == right.band) & (F.col("a") < F.col("b")) & (F.col("oa") != F.col("ob")) & sized & enough(most))
+    late = overlaps(ordered(pairs), "overlaps").where(enough(F.col("same"))).select("a", "b")
+    # labels hold what the rounds linked; links inside a label add nothing
+    of = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    loose = links.join(of.select("a", F.col("b").alias("x")), "a").join(of.select(F.col("a").alias("b"), F.col("b").alias("y")), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = of.where("a <> b").union(loose).union(late).union(member.select(F.col("vertex").alias("a"), F.col("node").alias("b")))
+    component = connected(edges, Scratch(spark, "components"))
 
     out = rows.select("rk", "doc_id", "vertex", F.col("n").alias("n_shingles")).join(component.withColumnRenamed("node", "vertex"), "vertex", "left")
     real = lambda c: F.nullif(c, F.lit(2**63 - 1))
