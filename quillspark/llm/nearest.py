@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import BLOB, Scratch, blob_frame, gather, scatter, together, unpack
+from .common import BLOB, RANGE, Scratch, blob_frame, gather, scatter, share_of, together, unpack
 
 K = 10
 TREES = 6
@@ -34,6 +34,8 @@ SEED = 5
 QUERY_EVERY = 100
 #: Queries whose finds, a few for each opened leaf, are merged at once.
 QUERIES_PER_PART = 500
+#: Vectors of a leaf in one task, about; larger leaves are dealt to several, and their queries to all of these.
+LEAF_ROWS = 20_000
 
 
 class Forest:
@@ -101,7 +103,7 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in values])
 
 
-def _index(forest: Forest, trees: int, keep: int):
+def _index(forest: Forest, trees: int, keep: int, salts: int):
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
@@ -109,19 +111,20 @@ def _index(forest: Forest, trees: int, keep: int):
                 for i, own in enumerate(f["ids"]):
                     ids[i, : len(own)] = sorted(own)
                 for t in range(trees):
-                    yield blob_frame(scatter(t * 2**forest.depth + forest.leaves(x, t), x, ids))
+                    yield blob_frame(scatter((t * 2**forest.depth + forest.leaves(x, t)) * salts + ids[:, 0] % salts, x, ids))
 
     return go
 
 
-def _open(forest: Forest, probes: int):
+def _open(forest: Forest, probes: int, salts: int):
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
                 x, ids = _matrix(f["embedding"]), f["query"].to_numpy(np.int64)
                 opened = [forest.search(v, probes) for v in x]
-                row = np.repeat(np.arange(len(f)), [len(o) for o in opened])
-                yield blob_frame(scatter(np.concatenate(opened), x[row], ids[row]))
+                row = np.repeat(np.arange(len(f)), [len(o) * salts for o in opened])
+                part = (np.concatenate(opened)[:, None] * salts + np.arange(salts)).ravel()
+                yield blob_frame(scatter(part, x[row], ids[row]))
 
     return go
 
@@ -174,12 +177,20 @@ def _merge(keep: int):
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, embedding``: vectors of the commonest length that are neither null nor zero, all components finite."""
+    """``vec_id, embedding``: vectors that are neither null, empty nor zero, all components finite; one for each vec_id.
+
+    Of rows that share a vec_id the one that comes first by its components counts.
+    """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     v = v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine)
-    lengths = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return v.where(F.size("embedding") == (lengths["n"] if lengths else 0))
+    return v.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+
+
+def commonest_length(vectors: DataFrame) -> int:
+    """The number of components that most vectors have, the larger of equals; 0 without vectors."""
+    found = vectors.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return found["n"] if found else 0
 
 
 def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, leaf: int = LEAF, probes: int | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -187,27 +198,32 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: DataFra
 
     ``probes`` is the number of leaves that a query opens, by default what the sample asks for.
     ``queries`` are rows of the same table; a query is no candidate of its own. Unusable vectors
-    (see ``usable``) take no part. Rows repeated with their vec_id are one vector. No usable vector: no rows.
+    (see ``usable``), and vectors and queries of another length than most vectors have, take no part. Rows that share
+    a vec_id are one vector. Other columns are not looked at. No usable vector: no rows.
     """
     scratch, keep = Scratch(spark, "nearest"), k + 1
-    v = usable(vectors).dropDuplicates(["vec_id"])
+    v = scratch.save(usable(vectors), "usable")
+    dims = commonest_length(v)
+    schema = "query_id long, rank int, vec_id long, score double"
+    if not dims:
+        return spark.createDataFrame([], schema)
     first = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
-    distinct = v.withColumn("nth", first).where(F.col("nth") <= keep).groupBy("embedding").agg(F.collect_list("vec_id").alias("ids"))
+    distinct = v.where(F.size("embedding") == dims).withColumn("nth", first).where(F.col("nth") <= keep).groupBy("embedding").agg(F.collect_list("vec_id").alias("ids"))
     distinct = scratch.save(distinct, "distinct")
-    drawn = distinct.orderBy(F.xxhash64(F.array_min("ids")), F.array_min("ids")).select("embedding").limit(sample).toPandas()
-    schema = "query_id long, rank int, vec_id long, score double"
+    n = distinct.count()
+    chance = F.pmod(F.xxhash64(F.array_min("ids")), F.lit(RANGE)) < share_of(sample, n)
+    drawn = distinct.where(chance).select("embedding", F.array_min("ids").alias("id")).toPandas().sort_values("id")  # about ``sample`` rows, whatever the table's size
     if not len(drawn):
         return spark.createDataFrame([], schema)
     points = _matrix(drawn["embedding"])
-    n = distinct.count()
     depth = max(0, min(math.ceil(math.log2(max(1, n / leaf))), int(math.log2(max(1, len(points) / SAMPLE_LEAF)))))
-    forest, dims = Forest(points, depth, trees), points.shape[1]
+    forest, salts = Forest(points, depth, trees), max(1, math.ceil(n / 2**depth / LEAF_ROWS))
     probes = probes or probes_for(forest, points, k)
 
-    asked = scratch.save(usable(queries).dropDuplicates(["vec_id"]), "asked")
+    asked = scratch.save(usable(queries).where(F.size("embedding") == dims), "asked")
     of = asked.groupBy("embedding").agg(F.min("vec_id").alias("query"))
-    opened = of.mapInPandas(_open(forest, probes), BLOB)
-    index = distinct.mapInPandas(_index(forest, trees, keep), BLOB)
+    opened = of.mapInPandas(_open(forest, probes, salts), BLOB)
+    index = distinct.mapInPandas(_index(forest, trees, keep, salts), BLOB)
     parts = max(1, asked.count() // QUERIES_PER_PART)
     found = together(opened, index, "part", _rank(dims, keep, parts), BLOB)
     near = found.groupBy("part").applyInPandas(_merge(keep), "query long, vec_id long, score double")
