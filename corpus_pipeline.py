@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, row_key
+from quillspark.llm.common import Scratch, row_check, row_key
 from quillspark.llm.exact_dedup import LAST, classes, with_digest
 from quillspark.llm.jaccard_join import jaccard_components
-from quillspark.llm.language_id import UNKNOWN, identify_languages
+from quillspark.llm.language_id import UNKNOWN, predictor, train
 from quillspark.llm.mixing import mix_sources
 from quillspark.llm.packing import pack_documents
 
@@ -21,39 +21,49 @@ from quillspark.llm.packing import pack_documents
 LEAST_SCORE = 0.05
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those that resemble no language. Their lang stays as it is."""
-    found = identify_languages(spark, docs)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, text, source, lang``: every row in one struct, beside the columns that operators read.
+
+    Whatever other columns are called, they cannot meet the names that a stage gives.
+    """
+    kinds = {"doc_id": "long", "text": "string", "source": "string", "lang": "string"}
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
 
 
-def _only(docs: DataFrame, ids: DataFrame, *on: str) -> DataFrame:
-    return docs.join(ids, list(on), "left_semi")
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters and those that resemble no language. Their lang stays as it is."""
+    rows = whole_rows(docs)
+    found = rows.select("row", predictor(*train(rows.select("doc_id", "text", "lang")))(F.col("text")).alias("found"))
+    return found.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= LEAST_SCORE)).select("row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each text: that of the smallest doc_id."""
-    _, found = classes(spark, docs, Scratch(spark, "exact"))
-    rows = with_digest(docs).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    kept = _only(rows, found.select(F.col("keep_id").alias("_id"), "digest"), "_id", "digest")
-    return kept.dropDuplicates(["_id", "digest"]).select(*docs.columns)
+    rows = whole_rows(docs)
+    _, found = classes(spark, rows.select("doc_id", "text"), Scratch(spark, "exact"))
+    rows = with_digest(rows).withColumn("keep_id", F.coalesce("doc_id", F.lit(LAST)))
+    kept = rows.join(found.select("keep_id", "digest"), ["keep_id", "digest"], "left_semi")
+    return kept.dropDuplicates(["keep_id", "digest"]).select("row.*")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the smallest doc_id. Rows are known by doc_id and text."""
-    found = jaccard_components(spark, docs, by_row=True)
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("rk").alias("_key")))
-    kept = found.groupBy("component_id").agg(first.alias("first")).select("first._key")
-    return _only(docs.withColumn("_key", row_key()), kept, "_key").dropDuplicates(["_key"]).select(*docs.columns)
+    rows = whole_rows(docs)
+    found = jaccard_components(spark, rows.select("doc_id", "text"), by_row=True)
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("rk").alias("key")))
+    kept = found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias("key"))
+    rows = rows.withColumn("key", row_key()).withColumn("rc", row_check())
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key", "rc"]).select("row.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes whole copies of documents, as many as the mix says; a second copy is a row of its own."""
-    missing = F.concat(*[F.col(f"`{c}`").isNull().cast("string") for c in docs.columns])
-    rows = docs.withColumn("_key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], missing))
-    copies = mix_sources(spark, rows, key="_key").groupBy("_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    rows = rows.dropDuplicates(["_key"]).join(copies, "_key")  # rows of one key are equal in every column
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rows = whole_rows(docs)
+    key = [F.xxhash64(F.lit(seed), *[F.col("row").getField(c) for c in docs.columns], F.concat(*[F.col("row").getField(c).isNull().cast("string") for c in docs.columns])) for seed in (1, 2)]
+    rows = rows.withColumn("key", F.concat_ws(":", *key))  # rows of one key are equal in every column
+    copies = mix_sources(spark, rows.select("doc_id", "text", "source", "key"), key="key").groupBy("key").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    kept = rows.select("key", "row").dropDuplicates(["key"]).join(copies, "key")
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
