@@ -7,12 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spelling pairs, in order.
-SPELLINGS = [
-    ("honour", "honor"), ("colour", "color"), ("favour", "favor"), ("labour", "labor"), ("neighbour", "neighbor"), ("saviour", "savior"),
-    ("centre", "center"), ("theatre", "theater"), ("grey", "gray"), ("defence", "defense"), ("offence", "offense"), ("judgement", "judgment"),
-]
-
 
 def tokens(text: Column, keep: str = r"a-z0-9\s-", drop: bool = False, least: int = 2, stop: list[str] | None = None) -> Column:
     """Lower-case tokens of at least ``least`` characters. Characters outside ``keep`` become spaces, or go if ``drop``."""
@@ -31,7 +25,7 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9\-\s]", " "), r"\s+", " "))
 
 
-def respelled(text: Column, pairs: list[tuple[str, str]] = SPELLINGS) -> Column:
+def respelled(text: Column, pairs: list[tuple[str, str]]) -> Column:
     """Whole words replaced in order, whatever their case."""
     return reduce(lambda c, p: F.regexp_replace(c, rf"(?i)\b{p[0]}\b", p[1]), pairs, text)
 
@@ -93,7 +87,7 @@ def stripped(html: Column) -> Column:
 def sentences(text: Column, least: int = 50, most: int = 180) -> Column:
     """Sentences after the first, of a length between the bounds."""
     all_ = F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?]\s+"), lambda s: F.trim(s))
-    return F.filter(F.slice(all_, 2, 100_000), lambda s: F.length(s).between(least, most))
+    return F.filter(F.slice(all_, 2, F.greatest(F.size(all_) - 1, F.lit(0))), lambda s: F.length(s).between(least, most))
 
 
 def token_hash(token: Column, buckets: int = 30_000, first: int = 1_000) -> Column:

@@ -1,18 +1,45 @@
-"""Cutting lineage in loops, in a way that survives lost executors."""
+"""Cutting lineage and keeping tables, in a way that survives lost executors; broadcasting what has been counted."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast up to this many rows, after they have been counted.
+BROADCAST_ROWS = 200_000
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, or the one set on the context. Only in local mode, if neither is set, a temporary one is made and set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        found = tempfile.mkdtemp(prefix="quillspark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of the frame in the shared folder of ``spark.checkpoint.dir``; only where none is set, a temporary one."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="quillspark-")
-        spark.sparkContext.setCheckpointDir(folder)
+    """A checkpoint of the frame in the shared folder."""
+    folder = shared_dir(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """The frame written as a table of its own in the shared folder, and read again."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame, marked for broadcast if it has no more rows than ``most``: they are counted first. Else Spark joins as it sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

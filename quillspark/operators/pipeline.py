@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..lineage import keep
 from . import fts, ranking, termstats
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, lane_k: int = 50, phrase_weight: float = 3.0) -> DataFrame:
-    """``query_id, id, rank, tier, specificity, sources`` for queries ``(item_id, text)`` over documents ``(doc_id, text)``.
+def search(index: fts.Index, queries: DataFrame, k: int = 10, lane_k: int = 50, phrase_weight: float = 3.0) -> DataFrame:
+    """``query_id, id, rank, tier, specificity, sources`` for queries ``(item_id, text)`` over an index.
 
     Lanes: BM25, exact phrase of the whole query, proximity of its longest words. They are fused by
     reciprocal rank; fused rows get their share of the query's term weight and a tier, are cut at a
     floor, and are ordered by specificity. A query without any hit has no rows.
     """
-    posts, terms = fts.postings(docs), fts.query_terms(queries)
-    n = docs.agg(F.count("*").alias("n"))
-    best = fts.bm25(posts, terms, lane_k).select("query_id", F.col("doc_id").alias("id"), "rank")
+    terms = keep(fts.query_terms(queries), "terms")
+    best = fts.bm25(index, terms, lane_k).select("query_id", F.col("doc_id").alias("id"), "rank")
     by_id = W.partitionBy("query_id").orderBy("id")
     lane = lambda hits: hits.select("query_id", F.col("doc_id").alias("id")).withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= lane_k)
-    exact = lane(fts.phrase(posts, terms))
-    close = lane(fts.near(posts, fts.longest(terms)))
+    exact = keep(lane(fts.phrase(index, terms)), "exact")
+    close = lane(fts.near(index, fts.longest(terms)))
     fused = ranking.fuse({"bm25": (best, 1.0), "phrase": (exact, phrase_weight), "near": (close, 1.0)})
-    weights = termstats.term_weights(terms, termstats.log_likelihood(posts, n).drop("df"), termstats.inverse_document_frequency(posts, n).drop("df"))
-    covered = fts.coverage(posts, weights).withColumnRenamed("doc_id", "id")
+    covered = fts.coverage(index, termstats.term_weights(index, terms)).withColumnRenamed("doc_id", "id")
     rows = fused.join(covered, ["query_id", "id"]).join(exact.select("query_id", "id", F.lit(True).alias("phrase")), ["query_id", "id"], "left")
     rows = rows.select("query_id", "id", "rank", "sources", F.col("score").alias("rrf"), F.col("coverage").alias("lex"), F.col("coverage").alias("sim"), F.coalesce("phrase", F.lit(False)).alias("phrase"), F.lit(False).alias("topical"))
     rows = ranking.tiers(ranking.above_floor(rows), F.lit(0.5))
@@ -32,11 +31,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, lane_k: int = 50, p
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", "tier", "specificity", "sources")
 
 
-def cluster_labels(posts: DataFrame, member: DataFrame, n_docs: DataFrame, k: int = 5, least_idf: float = 4.5) -> DataFrame:
+def cluster_labels(index: fts.Index, member: DataFrame, k: int = 5, least_idf: float = 4.5) -> DataFrame:
     """``g, term, weight, rank``: of each group the k terms of greatest tf * idf among the rare ones that are no numbers."""
-    idfs = termstats.inverse_document_frequency(posts, n_docs).where((F.col("idf") >= least_idf) & ~F.col("term").rlike("^[0-9-]+$"))
-    tf = posts.join(member, "doc_id").groupBy("g", "term").agg(F.count("*").alias("tf"))
-    rows = tf.join(idfs, "term").select("g", "term", F.round(F.col("tf") * F.col("idf"), 4).alias("weight"))
+    idfs = termstats.inverse_document_frequency(index).where((F.col("idf") >= least_idf) & ~F.col("term").rlike("^[0-9-]+$")).select("term", "idf")
+    tf = index.posts.select("doc_id", "term", "tf").join(idfs, "term").join(member, "doc_id").groupBy("g", "term", "idf").agg(F.sum("tf").alias("tf"))
+    rows = tf.select("g", "term", F.round(F.col("tf") * F.col("idf"), 4).alias("weight"))
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy(F.desc("weight"), "term"))).where(F.col("rank") <= k)
 
 

@@ -29,6 +29,21 @@ def fuse(lists: dict[str, tuple[DataFrame, float]], k: float = RRF_K) -> DataFra
     return sums.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
 
 
+def fusion_grid(rows: DataFrame, wanted: DataFrame, ks: tuple[int, ...], top: int = 10) -> DataFrame:
+    """``k, queries, ndcg10, mrr, hit_rate``: how well each constant of the reciprocal ranks finds what is wanted.
+
+    ``rows(query_id, id, rank, w)`` of all lists, ``wanted(query_id, id)``.
+    """
+    each = F.explode(F.array(*[F.lit(float(k)) for k in ks])).alias("k")
+    sums = rows.select("*", each).groupBy("k", "query_id", "id").agg(F.round(F.sum(F.col("w") / (F.col("k") + F.col("rank"))), 8).alias("s"))
+    order = sums.withColumn("rank", F.row_number().over(W.partitionBy("k", "query_id").orderBy(F.desc("s"), "id"))).where(F.col("rank") <= top).select("k", "query_id", "id", "rank")
+    hits = wanted.select("*", each).join(order, ["k", "query_id", "id"], "left")
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.count("*"), F.lit(top)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
+    gain = F.sum(F.coalesce(1.0 / F.log2(F.col("rank") + 1.0), F.lit(0.0)))
+    one = hits.groupBy("k", "query_id").agg(F.round(gain / ideal, 6).alias("ndcg"), F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("rr"))
+    return one.groupBy("k").agg(F.count("*").alias("queries"), F.round(F.avg("ndcg"), 5).alias("ndcg10"), F.round(F.avg("rr"), 5).alias("mrr"), F.round(F.avg((F.col("rr") > 0).cast("int")), 5).alias("hit_rate"))
+
+
 def group_scores(ranked: DataFrame, member: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, g, score, best, rank``: groups by the sum of their members' scores over the root of their number."""
     rows = ranked.join(member, "id").groupBy("query_id", "g").agg(F.round(F.sum("score") / F.sqrt(F.count("*")), 6).alias("score"), F.min_by("id", F.struct(-F.col("score"), F.col("id"))).alias("best"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalog import table
@@ -14,15 +15,13 @@ from .vector import KNN, knn, stated, vecs
 
 
 def lanes(s, d):
+    """BM25, and documents that hold a query's longest words near each other, by id."""
     best = S.bm25_topk(s, d).select("query_id", F.col("doc_id").alias("id"), "rank", "score")
-    near = fts.near(S.posts(s, d), fts.longest(S.asked(s, d, 10))).select("query_id", F.col("doc_id").alias("id"))
-    from pyspark.sql import Window as W
+    near = fts.near(S.index(s, d), fts.longest(S.asked(s, d))).select("query_id", F.col("doc_id").alias("id"))
+    return best, near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("id")))
 
-    near = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("id")))
-    return best, near
 
-
-BASE = f"{S.POSTS}, {S.TF}, {S.VOCAB}, {S.query_sql()}, {S.BM25}, q10 AS (SELECT * FROM q WHERE place <= 10), {S.LONGEST.replace('FROM q GROUP', 'FROM q10 GROUP')}, {S.NEAR}, nr AS (SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM near)"
+BASE = f"{S.POSTS}, {S.TF}, {S.VOCAB}, {S.QUERY}, {S.BM25}, {S.LONGEST}, {S.NEAR}, nr AS (SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM near)"
 RRF = """u AS (SELECT query_id, doc_id AS id, 'b' AS source, 1.0::DOUBLE / (60 + rank) AS part FROM best UNION ALL SELECT query_id, id, 'n', 3.0::DOUBLE / (60 + rank) FROM nr),
     rrf AS (SELECT query_id, id, round(sum(part) * CASE WHEN count(DISTINCT source) >= 3 THEN 1.4 WHEN count(DISTINCT source) = 2 THEN 1.2 ELSE 1.0 END::DOUBLE, 8) AS score, count(DISTINCT source) AS sources FROM u GROUP BY ALL),
     fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM rrf)"""
@@ -36,30 +35,43 @@ def fused(s, d, k=60.0):
 register("rrf", fused, f"WITH {BASE}, {RRF} SELECT * FROM fused")
 
 
+KS = (10, 20, 30, 40, 50, 60, 70, 80, 100)
+
+
+def holders(s, d):
+    """The documents that a query is meant to find: those that hold its text."""
+    return fts.phrase(S.index(s, d), S.asked(s, d)).select("query_id", F.col("doc_id").alias("id"))
+
+
 def grid(s, d):
+    """For each constant of the fusion: nDCG and reciprocal rank at 10 and hit rate, over queries whose text some document holds."""
     best, near = lanes(s, d)
     rows = best.select("query_id", "id", "rank", F.lit(1.0).alias("w")).unionByName(near.select("query_id", "id", "rank", F.lit(3.0).alias("w")))
-    ks = F.explode(F.array(*[F.lit(float(k)) for k in (10, 20, 30, 60, 90)])).alias("k")
-    return rows.select("*", ks).groupBy("k", "query_id", "id").agg(F.sum(F.col("w") / (F.col("k") + F.col("rank"))).alias("s")).groupBy("k", "query_id").agg(F.round(F.max("s"), 8).alias("top"), F.count("*").alias("n"))
+    return R.fusion_grid(rows, holders(s, d), KS)
 
 
-register("rrf_k_grid", grid, f"WITH {BASE}, r AS (SELECT query_id, doc_id AS id, rank, 1.0::DOUBLE AS w FROM best UNION ALL SELECT query_id, id, rank, 3.0::DOUBLE FROM nr), g AS (SELECT k::DOUBLE AS k, query_id, id, sum(w / (k + rank)) AS s FROM r, unnest([10, 20, 30, 60, 90]) AS t(k) GROUP BY ALL) SELECT k, query_id, round(max(s), 8) AS top, count(*) AS n FROM g GROUP BY ALL")
+GRID_DCG = "list_sum(list_transform(range(1, least(count(*), 10) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE)))"
+register("rrf_k_grid", grid, f"""WITH {BASE}, {S.PHRASE}, r AS (SELECT query_id, doc_id AS id, rank, 1.0::DOUBLE AS w FROM best UNION ALL SELECT query_id, id, rank, 3.0::DOUBLE FROM nr),
+    g AS (SELECT k, query_id, id, round(sum(w / (k + rank)), 8) AS s FROM r, unnest({list(KS)}) AS t(k) GROUP BY ALL), o AS (SELECT k, query_id, id, row_number() OVER (PARTITION BY k, query_id ORDER BY s DESC, id) AS rank FROM g),
+    e AS (SELECT t.k, p.query_id, round(sum(CASE WHEN o.rank <= 10 THEN 1 / log2(o.rank + 1.0::DOUBLE) ELSE 0 END) / {GRID_DCG}, 6) AS ndcg, coalesce(1.0::DOUBLE / min(CASE WHEN o.rank <= 10 THEN o.rank END), 0) AS rr
+      FROM phrase p CROSS JOIN unnest({list(KS)}) AS t(k) LEFT JOIN o ON o.k = t.k AND o.query_id = p.query_id AND o.id = p.doc_id GROUP BY t.k, p.query_id)
+    SELECT k::DOUBLE AS k, count(*) AS queries, round(avg(ndcg), 5) AS ndcg10, round(avg(rr), 5) AS mrr, round(avg((rr > 0)::INT), 5) AS hit_rate FROM e GROUP BY k""")
 register("chapter_aggregate", lambda s, d: R.group_scores(fused(s, d), table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("g"))),
     f"WITH {BASE}, {RRF}, g AS (SELECT query_id, source AS g, round(sum(score) / sqrt(count(*)), 6) AS score, arg_min(id, (-score, id)) AS best FROM (SELECT f.query_id, f.id, f.score, d.source FROM fused f JOIN documents d ON d.doc_id = f.id) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, g)::INT AS rank FROM g QUALIFY rank <= 10")
 
 
 def features(s, d):
-    best = S.bm25_topk(s, d)
+    i, q = S.index(s, d), S.asked(s, d)
+    best = fts.bm25(i, q)
     top = best.groupBy("query_id").agg(F.max("score").alias("top"), F.count("*").alias("n"))
-    rows = best.join(fts.coverage(S.posts(s, d), S.weights(s, d)), ["query_id", "doc_id"]).join(top, "query_id")
+    rows = best.join(fts.coverage(i, S.termstats.term_weights(i, q)), ["query_id", "doc_id"]).join(top, "query_id")
     return rows.select("query_id", F.col("doc_id").alias("id"), "rank", F.col("coverage").alias("lex"), (F.col("score") / F.col("top")).alias("sim"), (1.0 / (60 + F.col("rank"))).alias("rrf"), (F.col("coverage") >= 0.9).alias("phrase"), (F.col("doc_id") % 5 == 0).alias("topical"), F.round(confidence(F.col("top"), F.col("n")), 6).alias("confidence"))
 
 
-FEAT = f"{S.POSTS}, {S.TF}, {S.VOCAB}, {S.query_sql(12)}, {S.LLR}, {S.WEIGHTS}, {S.COVER}, q12 AS (SELECT * FROM q)"
-FULL_BEST = f"""fq AS (SELECT query_id, doc_id, score, rank FROM (WITH {S.query_sql().replace('q AS', 'qq AS')}, {S.BM25.replace('FROM q)', 'FROM qq)')} SELECT * FROM best)),
-    tp AS (SELECT query_id, max(score) AS top, count(*) AS n FROM fq GROUP BY query_id),
+FEAT = f"{S.WBASE}, {S.COVER}, {S.BM25}"
+FULL_BEST = """tp AS (SELECT query_id, max(score) AS top, count(*) AS n FROM best GROUP BY query_id),
     ft AS (SELECT f.query_id, f.doc_id AS id, f.rank, c.coverage AS lex, f.score / tp.top AS sim, 1.0::DOUBLE / (60 + f.rank) AS rrf, c.coverage >= 0.9 AS phrase, f.doc_id % 5 = 0 AS topical,
-      round(sqrt(1 / (1 + exp(-2.0::DOUBLE * (abs(tp.top) - 5))) * (1 / (1 + exp(-0.15::DOUBLE * (tp.n - 15))))), 6) AS confidence FROM fq f JOIN cov c ON c.query_id = f.query_id AND c.doc_id = f.doc_id JOIN tp ON tp.query_id = f.query_id)"""
+      round(sqrt(1 / (1 + exp(-2.0::DOUBLE * (abs(tp.top) - 5))) * (1 / (1 + exp(-0.15::DOUBLE * (tp.n - 15))))), 6) AS confidence FROM best f JOIN cov c ON c.query_id = f.query_id AND c.doc_id = f.doc_id JOIN tp ON tp.query_id = f.query_id)"""
 TIER = """gt AS (SELECT *, 1 / (1 + exp(-20::DOUBLE * (sim - (0.28::DOUBLE - 0.08::DOUBLE * (0.6::DOUBLE - 0.5::DOUBLE))))) AS gate, least(8 * rrf, 0.99::DOUBLE) AS r FROM ft),
     tr AS (SELECT *, CASE WHEN phrase THEN 2 WHEN gate >= 0.5 THEN 3 WHEN topical THEN 4 ELSE 5 END AS tier, CASE WHEN phrase THEN greatest(sim, 0.6::DOUBLE * lex, r) WHEN gate >= 0.5 THEN gate * sim WHEN topical THEN gate * sim + (1 - gate) * r ELSE r + 0.3::DOUBLE * gate * sim END AS w FROM gt),
     ti AS (SELECT query_id, id, rank, lex, sim, rrf, confidence, tier, round(6 - tier + least(0.99::DOUBLE, w), 6) AS specificity FROM tr)"""
@@ -82,12 +94,11 @@ register("monotonicity", lambda s, d: R.monotonicity(tiered(s, d), "specificity"
 
 def metrics(s, d):
     q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    wanted = fts.phrase(S.posts(s, d), S.asked(s, d, 5)).select("query_id", F.col("doc_id").alias("id"))
-    return R.judge(S.bm25_topk(s, d).select("query_id", F.col("doc_id").alias("id"), "rank"), wanted).join(q.select("query_id"), "query_id")
+    return R.judge(S.bm25_topk(s, d).select("query_id", F.col("doc_id").alias("id"), "rank"), holders(s, d)).join(q.select("query_id"), "query_id")
 
 
 DCG = "1 / log2(rank + 1.0::DOUBLE)"
-register("ir_metrics", metrics, f"""WITH {S.POSTS}, {S.TF}, {S.VOCAB}, {S.query_sql()}, {S.BM25}, q5 AS (SELECT * FROM q WHERE place <= 5), {S.PHRASE.replace('FROM q GROUP', 'FROM q5 GROUP').replace('JOIN q ON', 'JOIN q5 q ON')},
+register("ir_metrics", metrics, f"""WITH {S.POSTS}, {S.TF}, {S.VOCAB}, {S.QUERY}, {S.BM25}, {S.PHRASE},
     h AS (SELECT p.query_id, b.rank FROM phrase p LEFT JOIN best b ON b.query_id = p.query_id AND b.doc_id = p.doc_id)
     SELECT query_id, round(coalesce(1 / min(rank), 0), 6) AS rr, coalesce(min(rank) <= 1, false) AS top1, coalesce(min(rank) <= 3, false) AS top3,
       round(sum(CASE WHEN rank <= 5 THEN {DCG} ELSE 0 END) / list_sum(list_transform(range(1, least(count(*), 5) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))), 6) AS ndcg5,
@@ -150,13 +161,13 @@ register("jaccard", set_scores, f"WITH {SETS} SELECT a.user_id, round(len(list_i
 def searched(s, d):
     from ..operators.pipeline import search
 
-    return search(table(s, d, "documents"), table(s, d, "benchmark"))
+    return search(S.index(s, d), table(s, d, "benchmark"))
 
 
 def labelled(s, d):
     from ..operators.pipeline import cluster_labels
 
-    return cluster_labels(S.posts(s, d), table(s, d, "documents").select("doc_id", F.col("source").alias("g")), S.size(s, d))
+    return cluster_labels(S.index(s, d), table(s, d, "documents").select("doc_id", F.col("source").alias("g")))
 
 
 def pairs(s, d):

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import optional_table, table
-from ..operators import fts, relational as R
+from ..operators import relational as R
 from .registry import register
-from .search import POSTS, TF, VOCAB, posts
+from .search import POSTS, TF, VOCAB, index
 
 
 def star(s, d):
@@ -29,7 +29,7 @@ register("like_scan", lambda s, d: table(s, d, "documents").where(R.holds_all([F
 register("literal_priority", lambda s, d: R.literal_first(table(s, d, "documents"), "text", "public license", F.col("doc_id"), 50).select("doc_id", "priority"), "SELECT doc_id, CASE WHEN contains(lower(text), 'public license') THEN 0 ELSE 1 END AS priority FROM documents ORDER BY 2, 1 LIMIT 50")
 register(
     "suggest_prefix",
-    lambda s, d: R.suggest(fts.vocabulary(posts(s, d)), table(s, d, "part").select(F.col("p_name").alias("title")), "th"),
+    lambda s, d: R.suggest(index(s, d).vocab, table(s, d, "part").select(F.col("p_name").alias("title")), "th"),
     f"""WITH {POSTS}, {TF}, {VOCAB}, t AS (SELECT term AS suggestion, 'term' AS source, 0 AS p, row_number() OVER (ORDER BY df DESC, term) AS i FROM vocab WHERE starts_with(term, 'th') AND len(term) > 2 QUALIFY i <= 10),
     b AS (SELECT DISTINCT p_name AS x FROM part WHERE contains(lower(p_name), 'th')), u AS (SELECT * FROM t UNION ALL SELECT x, 'title', 1, i FROM (SELECT x, row_number() OVER (ORDER BY x) AS i FROM b) WHERE i <= 5),
     f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY suggestion ORDER BY p, i) = 1) SELECT suggestion, source, row_number() OVER (ORDER BY p, i)::INT AS rank FROM f""",
