@@ -303,7 +303,7 @@ def sequence_score(s, d):
     terms = fts.keep(asked(s, d), "terms")
     q = terms.join(termstats.term_weights(index(s, d), terms), ["query_id", "term"]).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term", "weight"))), lambda x: F.struct(x["term"].alias("term"), x["weight"].alias("weight"))).alias("q"))
     best = fts.bm25(index(s, d), terms)
-    return best.join(q, "query_id").join(index(s, d).texts.withColumnRenamed("tokens", "t"), "doc_id").select("query_id", "doc_id", F.round(fts.in_order(F.col("q"), F.col("t")), 6).alias("sequence"))
+    return best.join(q, "query_id").join(index(s, d).texts.withColumnRenamed("tokens", "t"), "doc_id").select("query_id", "doc_id", F.round(fts.in_order(F.col("q"), F.col("t")), 8).alias("sequence"))
 
 
 register(
@@ -314,5 +314,5 @@ register(
     st(query_id, doc_id, i, prev, first, n, mw) AS (SELECT query_id, doc_id, 0, 0, 0, 0, 0.0::DOUBLE FROM c
       UNION ALL SELECT query_id, doc_id, i + 1, CASE WHEN hop > 0 THEN prev + hop ELSE prev END, CASE WHEN hop > 0 AND first = 0 THEN prev + hop ELSE first END, n + (hop > 0)::INT, mw + CASE WHEN hop > 0 THEN wi ELSE 0 END
         FROM (SELECT s.*, c.w[i + 1] AS wi, coalesce(list_position(c.t[prev + 1:], c.q[i + 1]), 0)::INT AS hop FROM st s JOIN c USING (query_id, doc_id) WHERE i < len(c.q)))
-    SELECT query_id, doc_id, round(CASE WHEN len(q) >= 3 AND n >= 2 THEN n / greatest(1, prev - first + 1) * mw / list_sum(w) ELSE 0 END, 6) AS sequence FROM st JOIN c USING (query_id, doc_id) WHERE i = len(q)""",
+    SELECT query_id, doc_id, round(CASE WHEN len(q) >= 3 AND n >= 2 THEN n / greatest(1, prev - first + 1) * mw / list_sum(w) ELSE 0 END, 8) AS sequence FROM st JOIN c USING (query_id, doc_id) WHERE i = len(q)""",
 )
