@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph, more, phrases, rank, reading, relational, search, vector  # noqa: F401
+from . import graph, lanes, more, phrases, rank, reading, relational, search, vector  # noqa: F401
 from .registry import QUERIES, SQL
 
 
