@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..lineage import small
+
 
 def millis(ts: str = "ts") -> Column:
     return F.unix_millis(F.col(ts).cast("timestamp"))
@@ -20,10 +24,11 @@ def top_dwell(events: DataFrame, item: str, dwell: str, least: float, k: int) ->
 
 
 def sequences(events: DataFrame, session: str, item: str, k: int) -> DataFrame:
-    """The items of each session in order of time, of the k sessions last active."""
+    """The items of each session in order of time, of the k sessions last active. These are picked first."""
+    latest = events.groupBy(session).agg(F.max("ts").alias("last")).orderBy(F.desc("last"), session).limit(k).select(session)
     ordered = F.array_sort(F.collect_list(F.struct("ts", F.col(item).alias("item"))))
-    rows = events.groupBy(session).agg(ordered.alias("o"), F.max("ts").alias("last"))
-    return rows.orderBy(F.desc("last"), session).limit(k).select(session, F.array_join(F.transform("o", lambda x: x["item"].cast("string")), ",").alias("items"))
+    rows = events.join(small(latest), session, "left_semi").groupBy(session).agg(ordered.alias("o"))
+    return rows.select(session, F.array_join(F.transform("o", lambda x: x["item"].cast("string")), ",").alias("items"))
 
 
 def trending(events: DataFrame, item: str, now: Column, filler: DataFrame, k: int) -> DataFrame:
@@ -37,33 +42,69 @@ def trending(events: DataFrame, item: str, now: Column, filler: DataFrame, k: in
 
 
 def without_outliers(rows: DataFrame, group: str, value: str, sigmas: float = 2.5) -> DataFrame:
-    """Rows within so many population deviations of their group's mean; a deviation of 0 counts as 1e-9."""
-    w = W.partitionBy(group)
-    sd = F.stddev_pop(value).over(w)
-    z = F.abs(F.col(value) - F.avg(value).over(w)) / F.when(sd > 0, sd).otherwise(1e-9)
-    return rows.withColumn("z", z).where(F.col("z") <= sigmas)
+    """Rows within so many population deviations of their group's mean, with ``z``; a deviation of 0 counts as 1e-9."""
+    stats = rows.groupBy(group).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    z = F.abs(F.col(value) - F.col("_mean")) / F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1e-9)
+    return rows.join(small(stats), group).withColumn("z", z).where(F.col("z") <= sigmas).drop("_mean", "_sd")
+
+
+def at_index(rows: DataFrame, group: str, value: str, index: Callable[[Column], Column], share: float) -> DataFrame:
+    """``group, value``: the value at ``index(n)`` (from 0) of each group in order, where that is about ``share`` of n.
+
+    An approximate quantile, whose error in rank is bounded, brackets the place; only rows inside the bracket
+    are ranked, by what is left of the index after those below are counted. So a group of any size is never sorted whole.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(group, F.col(value).alias("value"))
+    edge = lambda s: F.percentile_approx("value", F.lit(min(1.0, max(0.0, s))), F.lit(10_000))
+    around = rows.groupBy(group).agg(F.count("*").alias("n"), edge(share - 3e-4).alias("low"), edge(share + 3e-4).alias("high"), F.min("value").alias("least"), F.max("value").alias("most"))
+    wide = F.col("n") < 20_000  # so few rows are ranked whole
+    around = around.select(group, "n", F.when(wide, F.col("least")).otherwise(F.col("low")).alias("low"), F.when(wide, F.col("most")).otherwise(F.col("high")).alias("high"))
+    near = rows.join(small(around), group)
+    below = near.groupBy(group, "n").agg(F.count_if(F.col("value") < F.col("low")).alias("below"))
+    inside = near.where(F.col("value").between(F.col("low"), F.col("high"))).groupBy(group, "value").agg(F.count("*").alias("c"))
+    run = F.sum("c").over(W.partitionBy(group).orderBy("value"))
+    at = inside.withColumn("run", run).join(small(below), group).withColumn("i", index(F.col("n")) - F.col("below"))
+    return at.where((F.col("run") > F.col("i")) & (F.col("run") - F.col("c") <= F.col("i"))).select(group, "value")
 
 
 def at_floor(rows: DataFrame, group: str, value: str, share: float) -> DataFrame:
     """The value at index floor((n - 1) * share) of each group in order."""
-    w = W.partitionBy(group)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_i") == F.floor((F.col("_n") - 1) * share)).select(group, F.col(value).alias("value"))
+    return at_index(rows, group, value, lambda n: F.floor((n - 1) * share), share)
+
+
+def middle(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """``group, median``: the middle value, or the mean of the two middle ones."""
+    both = at_index(rows, group, value, lambda n: F.floor((n - 1) / 2), 0.5).unionByName(at_index(rows, group, value, lambda n: F.floor(n / 2), 0.5))
+    return both.groupBy(group).agg(F.avg("value").alias("median"))
 
 
 def robust(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Median, median absolute deviation (scaled by 1.4826) and interquartile range of each group."""
-    m = rows.groupBy(group).agg(F.median(value).alias("median"), F.percentile(value, 0.75).alias("q3"), F.percentile(value, 0.25).alias("q1"))
-    mad = rows.join(m, group).groupBy(group).agg((F.median(F.abs(F.col(value) - F.col("median"))) * 1.4826).alias("mad"))
-    return m.join(mad, group).select(group, F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), F.round(F.col("q3") - F.col("q1"), 6).alias("iqr"))
+    """Median, median absolute deviation (scaled by 1.4826) and the spread from index floor(n / 4) to floor(3 n / 4) of each group."""
+    m = small(middle(rows, group, value))
+    off = rows.join(m, group).select(group, F.abs(F.col(value) - F.col("median")).alias("off"))
+    mad = middle(off, group, "off").withColumnRenamed("median", "mad")
+    quarter = lambda q, name: at_index(rows, group, value, lambda n: F.floor(n * q), q).withColumnRenamed("value", name)
+    out = m.join(mad, group).join(quarter(0.75, "q3"), group).join(quarter(0.25, "q1"), group)
+    return out.select(group, F.round("median", 6).alias("median"), F.round(F.col("mad") * 1.4826, 6).alias("mad"), F.round(F.col("q3") - F.col("q1"), 6).alias("iqr"))
 
 
 def bursts(events: DataFrame, session: str, span_ms: int = 90_000, most: int = 12) -> DataFrame:
-    """Adds ``burst``: whether the event lies in a window of that length, from an event on, with more than so many events."""
-    rows = events.withColumn("ms", millis())
-    w = W.partitionBy(session).orderBy("ms")
-    rows = rows.withColumn("_ahead", F.count("*").over(w.rangeBetween(0, span_ms)))
-    return rows.withColumn("burst", F.max("_ahead").over(w.rangeBetween(-span_ms, 0)) > most).drop("_ahead")
+    """Adds ``burst``: whether the event lies in a window of that length, from an event on, with more than so many events.
+
+    Time is cut into stretches of that length, and every stretch sees the next one, then the one
+    before: a session of any size is never in one window.
+    """
+    rows = events.withColumn("ms", millis()).withColumn("_b", F.floor(F.col("ms") / span_ms))
+    w = W.partitionBy(session, "_b").orderBy("ms")
+
+    def with_other(r: DataFrame, step: int) -> DataFrame:
+        """Rows, and beside them those that the neighbouring stretch has to see."""
+        each = F.explode(F.array(F.struct(F.col("_b").alias("b"), F.lit(True).alias("own")), F.struct((F.col("_b") + step).alias("b"), F.lit(False).alias("own")))).alias("_e")
+        return r.select("*", each).withColumn("_b", F.col("_e.b")).withColumn("_own", F.col("_e.own")).drop("_e")
+
+    rows = with_other(rows, -1).withColumn("_ahead", F.count("*").over(w.rangeBetween(0, span_ms))).where("_own").drop("_own")
+    rows = with_other(rows, 1).withColumn("burst", F.max("_ahead").over(w.rangeBetween(-span_ms, 0)) > most).where("_own")
+    return rows.drop("_own", "_ahead", "_b")
 
 
 def dwell(events: DataFrame, session: str, least_ms: int = 0) -> DataFrame:

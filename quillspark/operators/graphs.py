@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import keep, small
 
 
 def topic_index(bridge: DataFrame) -> DataFrame:
@@ -14,56 +14,96 @@ def topic_index(bridge: DataFrame) -> DataFrame:
 
 
 def shared_edges(bridge: DataFrame) -> DataFrame:
-    """``src, dst, w, p``: items that share topics, how many, and the share of all that go out of src."""
+    """``src, dst, w, p``: items that share topics, how many, and the share of all that go out of src.
+
+    The result holds every such pair, so a topic of m items costs m * m rows: for topics of bounded
+    size. ``personalised_pagerank`` and ``topic_pagerank`` walk over the bridge itself instead.
+    """
     b = bridge.distinct()
     pairs = b.join(b.withColumnRenamed("item", "dst"), "topic").where("item <> dst").groupBy(F.col("item").alias("src"), "dst").agg(F.count("*").alias("w"))
     return pairs.withColumn("p", F.col("w") / F.sum("w").over(W.partitionBy("src")))
 
 
-def topic_pagerank(bridge: DataFrame, iterations: int, damping: float = 0.85) -> DataFrame:
+def topic_pagerank(bridge: DataFrame, iterations: int = 25, damping: float = 0.85) -> DataFrame:
     """``item, pagerank``: each topic hands its members the mean rank of the others; ranks sum to 1 after each round.
 
-    A round joins the bridge with the ranks, never pairs of items, and ends in a checkpoint.
+    A round joins the bridge with the ranks, never pairs of items, and is written. An empty bridge gives no rows.
     """
     b = bridge.distinct()
-    b = cut(b.join(b.groupBy("topic").agg(F.count("*").alias("m")), "topic").where("m >= 2"))
-    size = bridge.agg(F.count_distinct("item").alias("n"), F.count_distinct("topic").alias("t")).first()
-    pr = bridge.select("item").distinct().withColumn("pr", F.lit(1.0 / max(size["n"], 1)))
-    for _ in range(iterations):
-        others = (F.sum("pr").over(W.partitionBy("topic")) - F.col("pr")) / (F.col("m") - 1)
-        given = b.join(pr, "item").withColumn("g", others).groupBy("item").agg(F.sum("g").alias("g"))
-        new = cut(pr.join(given, "item", "left").select("item", ((1 - damping) / size["n"] + damping * F.coalesce("g", F.lit(0.0)) / size["t"]).alias("pr")))
+    size = b.agg(F.count_distinct("item").alias("n"), F.count_distinct("topic").alias("t")).first()
+    pr = b.select("item").distinct().withColumn("pr", F.lit(1.0 / max(size["n"], 1)))
+    b = keep(b.join(b.groupBy("topic").agg(F.count("*").alias("m")), "topic").where("m >= 2"), "bridge")
+    for _ in range(iterations if size["n"] else 0):
+        # a topic's sum goes to all its members, less what each brought itself
+        sums = b.join(pr, "item").groupBy("topic", "m").agg(F.sum("pr").alias("s"))
+        given = b.join(pr, "item").join(sums.drop("m"), "topic").groupBy("item").agg(F.sum((F.col("s") - F.col("pr")) / (F.col("m") - 1)).alias("g"))
+        new = keep(pr.join(given, "item", "left").select("item", ((1 - damping) / size["n"] + damping * F.coalesce("g", F.lit(0.0)) / size["t"]).alias("pr")), "ranks")
         total = new.agg(F.sum("pr").alias("all"))
         pr = new.join(F.broadcast(total)).select("item", (F.col("pr") / F.col("all")).alias("pr"))
     return pr.select("item", F.col("pr").alias("pagerank"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, iterations: int, damping: float = 0.85, least: float = 1e-8, k: int = 200, every: int = 4) -> DataFrame:
+def _until_settled(state: DataFrame, step, rounds: int, tolerance: float) -> DataFrame:
+    """``seed, item, score`` after so many steps, or after the first that moves a seed's scores by less than ``tolerance`` in all.
+
+    Every step is a written table; seeds that have settled are set aside.
+    """
+    done = None
+    for i in range(rounds):
+        new = keep(step(state), "walk")
+        signed = new.select("seed", "item", "score").unionByName(state.select("seed", "item", (-F.col("score")).alias("score")))
+        moved = signed.groupBy("seed", "item").agg(F.sum("score").alias("d")).groupBy("seed").agg(F.sum(F.abs("d")).alias("d"))
+        settled = keep(moved.where(F.col("d") < tolerance).select("seed"), "settled")
+        if i < rounds - 1:
+            state, new = new.join(settled, "seed", "left_anti"), new.join(settled, "seed", "left_semi")
+        done = new if done is None else done.unionByName(new)
+        if i < rounds - 1 and state.isEmpty():
+            break
+    return done
+
+
+def personalised_pagerank(bridge: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float = 1e-4, least: float = 1e-8, k: int = 200) -> DataFrame:
     """``seed, item, score, rank``: walks that return to each seed's items, all seeds in one table.
 
-    ``seeds(seed, item, bias)`` with biases summing to 1; ``edges(src, dst, p)``.
+    ``seeds(seed, item, bias)`` with biases summing to 1. A step goes to an item by the number of
+    topics shared; it is walked over ``bridge(item, topic)``: what an item holds is dealt to its topics, and
+    every topic gives its sum to each member, less the member's own part. So no pairs of items are made.
     """
-    state = seeds.select("seed", "item", F.col("bias").alias("score"))
+    b = bridge.distinct()
+    b = b.withColumn("m", F.count("*").over(W.partitionBy("topic"))).where("m >= 2")
+    b = keep(b.withColumn("out", F.sum(F.col("m") - 1).over(W.partitionBy("item"))).select("item", "topic", "out"), "bridge")
     home = seeds.select("seed", "item", ((1 - damping) * F.col("bias")).alias("score"))
-    for i in range(iterations):
-        moved = state.join(edges, state.item == edges.src).select("seed", F.col("dst").alias("item"), (damping * F.col("score") * F.col("p")).alias("score"))
-        state = moved.unionByName(home).groupBy("seed", "item").agg(F.sum("score").alias("score"))
-        if (i + 1) % every == 0:
-            state = cut(state)
-    rows = state.where(F.col("score") > least).withColumn("score", F.round("score", 8))
+
+    def step(state: DataFrame) -> DataFrame:
+        given = state.join(b, "item").select("seed", "item", "topic", (F.col("score") / F.col("out")).alias("part"))
+        sums = given.groupBy("seed", "topic").agg(F.sum("part").alias("all"))
+        reach = sums.join(b.select("item", "topic"), "topic").select("seed", "item", F.col("all").alias("got"))
+        own = given.select("seed", "item", (-F.col("part")).alias("got"))
+        moved = reach.unionByName(own).groupBy("seed", "item").agg(F.sum("got").alias("got")).select("seed", "item", (damping * F.greatest("got", F.lit(0.0))).alias("score"))
+        return moved.unionByName(home.join(state.select("seed").distinct(), "seed", "left_semi")).groupBy("seed", "item").agg(F.sum("score").alias("score"))
+
+    found = _until_settled(seeds.select("seed", "item", F.col("bias").alias("score")), step, rounds, tolerance)
+    rows = found.where(F.col("score") > least).withColumn("score", F.round("score", 8))
     place = F.row_number().over(W.partitionBy("seed").orderBy(F.desc("score"), "item"))
     return rows.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def random_walk_with_restart(edges: DataFrame, sources: DataFrame, iterations: int, restart: float = 0.85, prune: float = 1e-7, k: int = 20) -> DataFrame:
-    """``src, dst, score, rank``: where walks from each source are, with small steps pruned; the source itself left out."""
-    state = sources.select(F.col("item").alias("seed"), "item", F.lit(1.0).alias("score"))
-    home = sources.select(F.col("item").alias("seed"), "item", F.lit(restart).alias("score"))
-    for _ in range(iterations):
-        step = (1 - restart) * F.col("score") * F.col("p")
-        moved = state.where(F.col("score") >= prune).join(edges, state.item == edges.src).select("seed", F.col("dst").alias("item"), step.alias("score")).where(F.col("score") > prune)
-        state = moved.unionByName(home).groupBy("seed", "item").agg(F.sum("score").alias("score"))
-    rows = state.where("seed <> item").select(F.col("seed").alias("src"), F.col("item").alias("dst"), F.round("score", 8).alias("score"))
+def random_walk_with_restart(edges: DataFrame, sources: DataFrame, rounds: int = 15, restart: float = 0.85, prune: float = 1e-7, tolerance: float = 1e-5, k: int = 20) -> DataFrame:
+    """``src, dst, score, rank``: where walks from each source are, with small steps pruned, which bounds the state; the source itself left out.
+
+    ``edges(src, dst, p)``; sources without edges have no walk.
+    """
+    edges = keep(edges.select("src", "dst", "p"), "edges")
+    start = sources.select(F.col("item").alias("seed"), "item", F.lit(1.0).alias("score"))
+
+    def step(state: DataFrame) -> DataFrame:
+        part = (1 - restart) * F.col("score") * F.col("p")
+        moved = state.where(F.col("score") >= prune).join(edges, state.item == edges.src).select("seed", F.col("dst").alias("item"), part.alias("score")).where(F.col("score") > prune)
+        home = state.select("seed").distinct().select("seed", F.col("seed").alias("item"), F.lit(restart).alias("score"))
+        return moved.unionByName(home).groupBy("seed", "item").agg(F.sum("score").alias("score"))
+
+    rows = _until_settled(start, step, rounds, tolerance).where(F.col("score") > 1e-8)
+    rows = rows.where("seed <> item").select(F.col("seed").alias("src"), F.col("item").alias("dst"), F.round("score", 8).alias("score"))
     place = F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), "dst"))
     return rows.withColumn("rank", place).where(F.col("rank") <= k)
 
@@ -87,33 +127,47 @@ def query_walk(seeds: DataFrame, relations: list[DataFrame], alpha: float = 0.8,
     return state.select("query_id", "id", F.round(F.col("s") / best, 6).alias("score"))
 
 
-def related(similar: DataFrame, walks: DataFrame, sets: DataFrame, group: DataFrame, k: int = 10) -> DataFrame:
-    """``src, dst, score, rank``: similarity, walks and shared sets in one score, items of the same group left out.
+def related(similar: DataFrame, walks: DataFrame, sets: DataFrame, group: DataFrame, ranks: DataFrame, topic_walks: DataFrame, k: int = 10) -> DataFrame:
+    """``src, dst, score, rank``: similarity, walks, shared sets, topic walks and rank in one score, items of the same group left out.
 
-    ``similar(src, dst, similarity)``, ``walks(src, dst, score)``, ``sets(item, topics)``, ``group(item, g)``.
+    ``similar(src, dst, similarity)``, ``walks(src, dst, score)``, ``sets(item, topics)``, ``group(item, g)``,
+    ``ranks(item, pagerank)``, ``topic_walks(src, dst, ppr)``: the best walk from one of the source's topics. What only a walk reaches counts by the walk.
     """
-    rows = similar.join(walks.select("src", "dst", F.col("score").alias("walk")), ["src", "dst"], "full")
-    a, b = sets.select(F.col("item").alias("src"), F.col("topics").alias("a")), sets.select(F.col("item").alias("dst"), F.col("topics").alias("b"))
-    rows = rows.join(a, "src", "left").join(b, "dst", "left")
-    none = F.array().cast("array<bigint>")
-    x, y = F.coalesce("a", none), F.coalesce("b", none)
+    rows = similar.join(walks.select("src", "dst", F.col("score").alias("walk")), ["src", "dst"], "full").join(topic_walks, ["src", "dst"], "left")
+    side = lambda x, y: sets.select(F.col("item").alias(x), F.col("topics").alias(y))
+    rows = rows.join(side("src", "a"), "src", "left").join(side("dst", "b"), "dst", "left").join(ranks.withColumnRenamed("item", "dst"), "dst", "left")
+    none = F.array().cast("array<string>")
+    x, y = F.coalesce(F.col("a").cast("array<string>"), none), F.coalesce(F.col("b").cast("array<string>"), none)
     both, union = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
     jaccard = F.when(union > 0, both / union).otherwise(0.0)
     walk = F.coalesce("walk", F.lit(0.0))
-    score = F.when(F.col("similarity").isNull(), 3 * walk).otherwise(F.col("similarity") + 2 * walk + 0.15 * both + 0.5 * jaccard)
+    shared = 0.15 * both + 0.5 * jaccard + 2000.0 * F.coalesce("pagerank", F.lit(0.0))
+    score = F.when(F.col("similarity").isNull(), 3 * walk + shared).otherwise(F.col("similarity") + 2 * walk + shared + 0.5 * F.coalesce("ppr", F.lit(0.0)))
     rows = rows.select("src", "dst", F.round(score, 6).alias("score"))
-    g = group.select(F.col("item").alias("src"), "g").join(group.select(F.col("item").alias("dst"), "g"), "g").select("src", "dst")
-    rows = rows.join(g, ["src", "dst"], "left_anti")
+    of = lambda c, x: group.select(F.col("item").alias(c), F.col("g").alias(x))
+    rows = rows.join(of("src", "g"), "src", "left").join(of("dst", "h"), "dst", "left").where("g IS NULL OR h IS NULL OR g <> h").drop("g", "h")
     place = F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), "dst"))
     return rows.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def affinity(history: DataFrame, member: DataFrame, prior: DataFrame, last: int = 100, top: int = 5, k: int = 20) -> DataFrame:
-    """``session, item, score, rank``: unread items of the groups a session read most in its last items, by group share and prior."""
-    recent = history.withColumn("n", F.row_number().over(W.partitionBy("session").orderBy(F.desc("ts"), "item"))).where(F.col("n") <= last)
-    groups = recent.join(member, "item").groupBy("session", "g").agg(F.count("*").alias("c"))
+def affinity(history: DataFrame, member: DataFrame, prior: DataFrame, topics: DataFrame, walks: DataFrame, last: int = 100, top: int = 5, near: int = 30, k: int = 20) -> DataFrame:
+    """``session, item, score, rank``: unread items of the groups and topics that a session read most of late, and by prior.
+
+    ``history(session, item, ts)``, ``member(item, g, distance)``: of a group the ``near`` nearest to its middle count,
+    by 0.6 of the group's share; ``topics(item, topic)`` and ``walks(topic, item, score)`` give 0.4 of the walks from
+    the topics of the last 30 items; ``prior(item, prior)`` fills up with 0.2.
+    """
     w = W.partitionBy("session")
-    groups = groups.withColumn("share", F.col("c") / F.sum("c").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("c"), "g"))).where(F.col("r") <= top)
-    rows = groups.join(member, "g").join(prior, "item", "left").select("session", "item", F.round(0.6 * F.col("share") + 0.2 * F.coalesce("prior", F.lit(0.0)), 6).alias("score"))
-    rows = rows.join(history.select("session", "item").distinct(), ["session", "item"], "left_anti")
+    seen = history.groupBy("session", "item").agg(F.max("ts").alias("ts")).withColumn("n", F.row_number().over(w.orderBy(F.desc("ts"), "item")))
+    seen = keep(seen, "seen")
+    groups = seen.where(F.col("n") <= last).join(member.select("item", "g"), "item").groupBy("session", "g").agg(F.count("*").alias("c"))
+    groups = groups.withColumn("r", F.row_number().over(w.orderBy(F.desc("c"), "g"))).where(F.col("r") <= top).withColumn("share", F.col("c") / F.max("c").over(w))
+    middle = member.withColumn("m", F.row_number().over(W.partitionBy("g").orderBy("distance", "item"))).where(F.col("m") <= near)
+    by_group = groups.join(middle, "g").select("session", "item", (0.6 * F.col("share") * F.greatest(F.lit(0.0), 1 - F.col("distance"))).alias("part"))
+    named = seen.where("n <= 30").join(topics.distinct(), "item").select("session", "topic").distinct()
+    by_topic = named.join(walks, "topic").groupBy("session", "item").agg((0.4 * F.sum("score")).alias("part"))
+    filler = seen.select("session").distinct().join(small(prior.orderBy(F.desc("prior"), "item").limit(100))).select("session", "item", (0.2 * F.col("prior")).alias("part"))
+    rows = by_group.unionByName(by_topic).join(seen.select("session", "item"), ["session", "item"], "left_anti").groupBy("session", "item").agg(F.sum("part").alias("score"))
+    filler = filler.join(seen.select("session", "item"), ["session", "item"], "left_anti").join(rows, ["session", "item"], "left_anti").withColumnRenamed("part", "score")
+    rows = rows.unionByName(filler).withColumn("score", F.round("score", 9))
     return rows.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "item"))).where(F.col("rank") <= k)

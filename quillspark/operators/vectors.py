@@ -10,28 +10,31 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine, distance
-from ..lineage import cut
+from ..lineage import keep, small
 
 
-def blocks(vectors: DataFrame, rows: int = 2_000) -> DataFrame:
-    """Vectors packed as ``block, ids, m``: a matrix of at most about so many rows each."""
-    n = max(1, vectors.count() // rows)
-    keyed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), "id", "v")
-    return keyed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"))
+def blocks(vectors: DataFrame, rows: int = 2_000) -> tuple[DataFrame, int]:
+    """Vectors packed as ``block, rows``: a matrix of about so many rows each; and how many blocks there are. Null vectors are left out."""
+    v = vectors.where(F.col("v").isNotNull())
+    n = max(1, v.count() // rows)
+    keyed = v.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "id", "v")
+    return keyed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows")), n
 
 
 def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 20, least: float | None = None, digits: int = 6) -> DataFrame:
     """``query_id, id, similarity, rank``: the k vectors of greatest cosine for each query, itself left out.
 
-    Both sides are cut into blocks; a pair of blocks is one matrix product, of which each query keeps
-    its k best before anything is shuffled. The work is that of all pairs; its memory is that of two blocks.
+    Both sides are cut into blocks. A query block goes to every block of vectors; each pair is one matrix
+    product, of which each query keeps its k best before anything else is shuffled. Memory is that of two blocks;
+    the work is queries times vectors, so give a stated set of queries. Null vectors take no part.
     """
-    a, b = blocks(queries.selectExpr("query_id AS id", "v")), blocks(vectors)
+    a, _ = blocks(queries.selectExpr("query_id AS id", "v"))
+    b, n = blocks(vectors)
 
     def unit(rows):
         m = np.array([np.asarray(r["v"], np.float64) for r in rows])
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.array([r["id"] for r in rows]), m / np.where(n > 0, n, 1)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.array([r["id"] for r in rows]), m / np.where(norm > 0, norm, 1)
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -39,12 +42,16 @@ def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 20, least: floa
                 (qi, q), (vi, v) = unit(left), unit(right)
                 s = np.round(q @ v.T, digits)
                 s[qi[:, None] == vi[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(vi, s.shape), -s), axis=1)[:, :k]
-                i = np.repeat(np.arange(len(qi)), order.shape[1])
-                out = pd.DataFrame({"query_id": qi[i], "id": vi[order.ravel()], "similarity": s[i, order.ravel()]})
-                yield out[np.isfinite(out["similarity"])]
-
-    pairs = a.select(F.col("rows").alias("left")).join(b.select(F.col("rows").alias("right")))
+                kth = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+                i, j = np.nonzero((s >= kth[:, None]) & np.isfinite(s))  # k of each query, and their ties
+                order = np.lexsort((vi[j], -s[i, j], i))
+                i, j = i[order], j[order]
+                nth = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[nth < k], j[nth < k]
+                yield pd.DataFrame({"query_id": qi[i], "id": vi[j], "similarity": s[i, j]})
+
+    each = a.select(F.col("rows").alias("left"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    pairs = each.join(b.select("block", F.col("rows").alias("right")), "block").select("left", "right")
     found = pairs.mapInPandas(best, "query_id long, id long, similarity double")
     found = found.where(F.col("similarity") > least) if least is not None else found
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
@@ -62,9 +69,9 @@ def mean_vector(rows: DataFrame, key: str, v: str = "v", unit: bool = True) -> D
 
 
 def assign(vectors: DataFrame, centroids: DataFrame, k: int = 1) -> DataFrame:
-    """``id, label, distance, rank``: the k nearest centroids of each vector. There are few centroids, of one row each."""
+    """``id, label, distance, rank``: the k nearest centroids of each vector. There are some thousands of centroids at most."""
     d = F.round(distance(F.col("v"), F.col("centroid")), 6)
-    rows = vectors.select("id", "v").join(F.broadcast(centroids.select("label", "centroid"))).select("id", "label", d.alias("distance"))
+    rows = vectors.select("id", "v").join(small(centroids.select("label", "centroid"), 5_000)).select("id", "label", d.alias("distance"))
     place = F.row_number().over(W.partitionBy("id").orderBy("distance", "label"))
     return rows.withColumn("rank", place).where(F.col("rank") <= k)
 
@@ -118,9 +125,11 @@ def covariance(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         if n:
             yield pd.DataFrame({"n": [n], "s": [s.tobytes()], "c": [c.tobytes()]})
 
-    parts = vectors.select("v").mapInPandas(partial, "n long, s binary, c binary")
+    parts = vectors.where(F.col("v").isNotNull()).select("v").mapInPandas(partial, "n long, s binary, c binary")
     merged = parts.coalesce(64).mapInPandas(_add, "n long, s binary, c binary").collect()
     n = sum(r["n"] for r in merged)
+    if not n:
+        return np.zeros(0), np.zeros((0, 0)), 0
     s = sum(np.frombuffer(r["s"]) for r in merged)
     d = len(s)
     c = sum(np.frombuffer(r["c"]) for r in merged).reshape(d, d)
@@ -145,19 +154,23 @@ def projected(vectors: DataFrame, matrix: np.ndarray, mean: np.ndarray, unit: bo
                     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
                 yield pd.DataFrame({"id": f["id"].to_numpy(), "v": list(m)})
 
-    return vectors.select("id", "v").mapInPandas(go, "id long, v array<double>")
+    return vectors.where(F.col("v").isNotNull()).select("id", "v").mapInPandas(go, "id long, v array<double>")
 
 
 def whitened(vectors: DataFrame, epsilon: float = 1e-5) -> DataFrame:
     """Vectors turned so that their components are uncorrelated and of equal spread (ZCA), of length 1."""
-    mean, c, _ = covariance(vectors)
+    mean, c, n = covariance(vectors)
+    if not n:
+        return projected(vectors, c, mean)
     w, u = np.linalg.eigh(c)
     return projected(vectors, u @ np.diag(1 / np.sqrt(np.maximum(w, 0) + epsilon)) @ u.T, mean)
 
 
 def principal(vectors: DataFrame, k: int) -> DataFrame:
     """Vectors in their first k principal directions, scaled as they are and of length 1 after."""
-    mean, c, _ = covariance(vectors)
+    mean, c, n = covariance(vectors)
+    if not n:
+        return projected(vectors, c, mean)
     w, u = np.linalg.eigh(c)
     return projected(vectors, u[:, np.argsort(-w)[:k]], mean)
 
@@ -171,7 +184,8 @@ def spectral(edges: DataFrame, k: int, iterations: int = 12, seed: int = 3) -> D
     from pyspark.sql import types as T
 
     degree = edges.groupBy("a").agg(F.sum("w").alias("d"))
-    scaled = edges.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b").select("a", "b", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("w")).cache()
+    scaled = edges.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b").select("a", "b", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("w"))
+    scaled = keep(scaled, "scaled")
     start = [((F.pmod(F.xxhash64("a", F.lit(seed + i)), F.lit(2_000_001)) / 1_000_000.0) - 1.0) for i in range(k)]
     x = degree.select(F.col("a").alias("id"), F.array(*start).alias("v"))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
@@ -179,9 +193,10 @@ def spectral(edges: DataFrame, k: int, iterations: int = 12, seed: int = 3) -> D
         spread = scaled.join(x.withColumnRenamed("id", "b"), "b").select("a", F.posexplode(F.transform("v", lambda c: c * F.col("w"))).alias("i", "y"))
         y = spread.groupBy("a", "i").agg(F.sum("y").alias("y")).groupBy(F.col("a").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda s: s["y"]).alias("v"))
         y = y.join(x.select("id", F.col("v").alias("old")), "id").select("id", F.zip_with("v", "old", lambda p, q: (p + q) / 2).alias("v"))
-        y = cut(y)
-        _, c, n = covariance(y)
-        mean, _, _ = covariance(y)
+        y = keep(y, "spread")
+        mean, c, n = covariance(y)
+        if not n:
+            break
         gram = (c + np.outer(mean, mean)) * n
         w, u = np.linalg.eigh(gram)
         x = projected(y, u @ np.diag(1 / np.sqrt(np.maximum(w, 1e-12))) @ u.T, np.zeros(k), unit=False)

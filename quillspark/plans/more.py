@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..catalog import table
+from ..lineage import shared_dir
 from ..operators import entities as N
 from ..sources.files import listed, recovered_array, split_csv
 from ..streaming import events as V
@@ -57,11 +58,16 @@ register("csv_split", lambda s, d: table(s, d, "part").select("p_partkey", split
 
 
 def streamed(s, d):
-    """The events as a stream, counted by the hour; the memory table holds the finished result."""
-    name = f"counts_{uuid.uuid4().hex}"
-    q = V.counts(V.ingest(V.read_events(s, d))).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.table(name).select(F.unix_millis("start").alias("start"), "event_type", "n", F.col("dwell_ms"))
+    """The events as a stream, counted by the hour once the watermark has passed; the sink is a table that reads back what was committed."""
+    root = f"{shared_dir(s)}/counts-{uuid.uuid4().hex}"
+
+    def add(batch, number):
+        batch.withColumn("start", F.unix_millis("start")).write.mode("overwrite").parquet(f"{root}/table/batch={number}")
+
+    V.counts(V.ingest(V.read_events(s, d))).writeStream.foreachBatch(add).outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = s.read.parquet(f"{root}/table")
+    last = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(last), "batch").select("start", "event_type", "n", "dwell_ms")
 
 
 register("stream_counts", streamed, "SELECT epoch_us(date_trunc('hour', ts)) // 1000 AS start, event_type, count(*) AS n, round(sum(least(value * 1000, 300000.0::DOUBLE)), 3) AS dwell_ms FROM events GROUP BY 1, 2")

@@ -36,7 +36,8 @@ register("trending", trending, f"""WITH {EV}, a AS (SELECT *, ((SELECT max(ms) F
     FROM a GROUP BY item ORDER BY score DESC, item LIMIT 50""")
 register("source_outliers", lambda s, d: E.without_outliers(events(s, d), "event_type", "value").select("event_id", "event_type", F.round("z", 6).alias("z")), "WITH z AS (SELECT event_id, event_type, abs(value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM events WINDOW w AS (PARTITION BY event_type)) SELECT event_id, event_type, round(z, 6) AS z FROM z WHERE z <= 2.5")
 register("p95_floor", lambda s, d: E.at_floor(table(s, d, "lineitem"), "l_returnflag", "l_extendedprice", 0.95), "SELECT l_returnflag, l_extendedprice AS value FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 = floor((count(*) OVER (PARTITION BY l_returnflag) - 1) * 0.95::DOUBLE)")
-register("robust_stats", lambda s, d: E.robust(table(s, d, "orders"), "o_orderpriority", "o_totalprice"), """WITH m AS (SELECT o_orderpriority, median(o_totalprice) AS m, quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS iqr FROM orders GROUP BY 1)
+register("robust_stats", lambda s, d: E.robust(table(s, d, "orders"), "o_orderpriority", "o_totalprice"), """WITH r AS (SELECT o_orderpriority, o_totalprice AS v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice)),
+    m AS (SELECT o_orderpriority, median(v) AS m, max(v) FILTER (i = floor(n * 0.75::DOUBLE)) - max(v) FILTER (i = floor(n * 0.25::DOUBLE)) AS iqr FROM r GROUP BY 1)
     SELECT o_orderpriority, round(any_value(m), 6) AS median, round(median(abs(o_totalprice - m)) * 1.4826, 6) AS mad, round(any_value(iqr), 6) AS iqr FROM orders JOIN m USING (o_orderpriority) GROUP BY 1""")
 register("burst_spam", lambda s, d: E.bursts(events(s, d), "event_type", 3_600_000, 5).select("event_id", "burst"), f"""WITH {EV}, a AS (SELECT *, count(*) OVER (PARTITION BY event_type ORDER BY ms RANGE BETWEEN CURRENT ROW AND 3600000 FOLLOWING) AS ahead FROM e)
     SELECT event_id, max(ahead) OVER (PARTITION BY event_type ORDER BY ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) > 5 AS burst FROM a""")
@@ -45,15 +46,29 @@ register("rolling_pace", lambda s, d: E.pace(events(s, d), "user_id", (F.col("it
     p AS (SELECT event_id, round(avg(ratio) OVER w, 6) AS pace, count(ratio) OVER w AS n FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT event_id, pace, pace < 0.6 AND n >= 3 AS flow FROM p""")
 register("last5_distinct", lambda s, d: E.last_distinct(events(s, d), "user_id", "item"), f"WITH {EV} SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, item)::INT AS rank FROM e GROUP BY user_id, item QUALIFY rank <= 5")
 register("rate_limit", lambda s, d: E.rate_limited(events(s, d), ["event_type"], 1).withColumn("minute", E.millis("minute")), f"WITH {EV} SELECT event_type, epoch_us(date_trunc('minute', ts)) // 1000 AS minute, count(*) AS n FROM e GROUP BY 1, 2 HAVING count(*) > 1")
-register("event_ingest", lambda s, d: events(s, d).select("event_id", F.least(F.col("value") * 1000, F.lit(30_000.0)).alias("dwell_ms"), F.col("event_type").isin("view", "click").alias("counts")), "SELECT event_id, least(value * 1000, 30000.0::DOUBLE) AS dwell_ms, event_type IN ('view', 'click') AS counts FROM events")
+register("event_ingest", lambda s, d: events(s, d).select("event_id", F.least(F.col("value") * 1000, F.lit(300_000.0)).alias("dwell_ms"), F.col("event_type").isin("view", "click").alias("counts")), "SELECT event_id, least(value * 1000, 300000.0::DOUBLE) AS dwell_ms, event_type IN ('view', 'click') AS counts FROM events")
 
 
 def reviews(s, d):
     return E.spaced_reviews(events(s, d).where(F.col("event_type").isin("click", "purchase", "signup")).withColumnRenamed("user_id", "session"))
 
 
-register("srs_state", reviews)
-register("due_queue", lambda s, d: (lambda e: reviews(s, d).join(F.broadcast(now(e))).where("next_review_ms <= now + 86400000").orderBy("next_review_ms", "session", "item").limit(100).select("session", "item", "next_review_ms", (F.col("next_review_ms") < F.col("now")).alias("overdue")))(events(s, d)))
+SRS = f"""{EV}, ev AS (SELECT user_id AS session, item, ms, CASE event_type WHEN 'click' THEN 5 WHEN 'purchase' THEN 4 ELSE 3 END AS q, row_number() OVER (PARTITION BY user_id, item ORDER BY epoch_us(ts) // 1000, CASE event_type WHEN 'click' THEN 5 WHEN 'purchase' THEN 4 ELSE 3 END) AS k FROM e WHERE event_type IN ('click', 'purchase', 'signup')),
+    f(session, item, k, ease, days, ms) AS (SELECT session, item, 1::BIGINT, 2.5::DOUBLE, CASE q WHEN 5 THEN 4.0 ELSE 1.0 END::DOUBLE, ms FROM ev WHERE k = 1
+      UNION ALL SELECT session, item, k + 1, ne, CASE WHEN k = 1 THEN 6.0 ELSE round(days * ne) END, nms FROM (SELECT f.session, f.item, f.k, f.days, greatest(1.3::DOUBLE, f.ease + 0.1::DOUBLE - (5 - ev.q) * (0.08::DOUBLE + (5 - ev.q) * 0.02::DOUBLE)) AS ne, ev.ms AS nms FROM f JOIN ev ON ev.session = f.session AND ev.item = f.item AND ev.k = f.k + 1)),
+    srs AS (SELECT session, item, round(ease, 6) AS easiness, days AS interval_days, k AS repetitions, ms + (days * 86400000)::BIGINT AS next_review_ms FROM f QUALIFY k = max(k) OVER (PARTITION BY session, item))"""
+register("srs_state", reviews, f"WITH RECURSIVE {SRS} SELECT * FROM srs")
+
+
+def due(s, d):
+    """Reviews due within a day, each with whether it is overdue, as one struct of text for the sake of comparing."""
+    rows = reviews(s, d).join(F.broadcast(now(events(s, d)))).where("next_review_ms <= now + 86400000").orderBy("next_review_ms", "session", "item").limit(100)
+    review = F.struct("next_review_ms", "interval_days", "repetitions", (F.col("next_review_ms") < F.col("now")).alias("overdue"))
+    return rows.select("session", "item", review.alias("review")).select("session", "item", "review.next_review_ms", "review.overdue", F.to_json("review").alias("review"))
+
+
+register("due_queue", due, f"""WITH RECURSIVE {SRS} SELECT session, item, next_review_ms, next_review_ms < now AS overdue, '{{"next_review_ms":' || next_review_ms || ',"interval_days":' || interval_days::DOUBLE || ',"repetitions":' || repetitions || ',"overdue":' || (next_review_ms < now) || '}}' AS review
+    FROM srs, (SELECT max(ms) AS now FROM e) WHERE next_review_ms <= now + 86400000 ORDER BY next_review_ms, session, item LIMIT 100""")
 register(
     "calendar_pick",
     lambda s, d: table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct().select(

@@ -13,10 +13,6 @@ def vecs(s, d):
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
-def some(s, d):
-    return vecs(s, d).where("id % 25 = 0").select(F.col("id").alias("query_id"), "v")
-
-
 def stated(s, d):
     """The stated query set: every id divisible by 20."""
     return vecs(s, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), "v")
@@ -32,7 +28,7 @@ SIM = f"{UNIT}, sim AS (SELECT a.id AS query_id, b.id, round(list_cosine_similar
 KNN = f"{SIM}, knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS rank FROM sim QUALIFY rank <= 20)"
 CENT = f"{UNIT}, cm AS (SELECT label, i, avg(v[i]) AS x, count(*) AS n FROM e, unnest(range(1, 65)) AS t(i) GROUP BY ALL), cn AS (SELECT label, sqrt(sum(x * x)) AS norm FROM cm GROUP BY label), cen AS (SELECT label, list(x / norm ORDER BY i) AS c, max(n) AS n FROM cm JOIN cn USING (label) GROUP BY label)"
 
-register("brute_topk", lambda s, d: V.top_similar(some(s, d), vecs(s, d), 50, 0.0), f"WITH {SIM} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS rank FROM sim WHERE query_id % 25 = 0 AND similarity > 0 QUALIFY rank <= 50")
+register("brute_topk", lambda s, d: V.top_similar(stated(s, d), vecs(s, d), 50, 0.0), f"WITH {SIM} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS rank FROM sim WHERE query_id % 20 = 0 AND similarity > 0 QUALIFY rank <= 50")
 register("knn_graph", knn, f"WITH {KNN} SELECT * FROM knn")
 register("centroids", lambda s, d: V.mean_vector(vecs(s, d), "label").select("label", F.col("n"), F.posexplode("centroid").alias("i", "x")).select("label", "n", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x")), f"WITH {CENT} SELECT label, n, i - 1 AS i, round(x / norm, 6) AS x FROM cm JOIN cn USING (label)")
 
@@ -49,17 +45,17 @@ register("nearest_clusters", lambda s, d: assigned(s, d, 3), f"WITH {DIST} SELEC
 
 def expanded(s, d):
     edges = knn(s, d).select(F.col("query_id").alias("src"), "id", "similarity", "rank")
-    parents = V.top_similar(some(s, d), vecs(s, d), 12)
+    parents = V.top_similar(stated(s, d), vecs(s, d), 12)
     return V.expand(parents.select("query_id", "id", "similarity"), edges)
 
 
-register("knn_expand", expanded, f"""WITH {KNN}, p AS (SELECT * FROM knn WHERE query_id % 25 = 0 AND rank <= 12),
+register("knn_expand", expanded, f"""WITH {KNN}, p AS (SELECT * FROM knn WHERE query_id % 20 = 0 AND rank <= 12),
     m AS (SELECT p.query_id, k.id, round(avg(k.similarity * exp(-0.15::DOUBLE * (k.rank - 1))), 6) AS score FROM p JOIN knn k ON k.query_id = p.id WHERE p.similarity >= 0.25 AND k.similarity >= 0.2 GROUP BY ALL)
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM m WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.query_id = m.query_id AND p.id = m.id) QUALIFY rank <= 30""")
 register("semantic_injection", lambda s, d: relational.upsert(
-    V.top_similar(some(s, d), vecs(s, d), 30).select("query_id", "id", "similarity"),
+    V.top_similar(stated(s, d), vecs(s, d), 30).select("query_id", "id", "similarity"),
     expanded(s, d).select("query_id", "id", (F.col("score") * 0.9).alias("similarity")), ["query_id", "id"], "max").select("query_id", "id", F.round("similarity", 6).alias("similarity")),
-    f"""WITH {KNN}, big AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sim WHERE query_id % 25 = 0 QUALIFY rank <= 30), p AS (SELECT * FROM knn WHERE query_id % 25 = 0 AND rank <= 12),
+    f"""WITH {KNN}, big AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sim WHERE query_id % 20 = 0 QUALIFY rank <= 30), p AS (SELECT * FROM knn WHERE query_id % 20 = 0 AND rank <= 12),
     m AS (SELECT p.query_id, k.id, round(avg(k.similarity * exp(-0.15::DOUBLE * (k.rank - 1))), 6) AS score FROM p JOIN knn k ON k.query_id = p.id WHERE p.similarity >= 0.25 AND k.similarity >= 0.2 GROUP BY ALL),
     x AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.query_id = m.query_id AND p.id = m.id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30)
     SELECT query_id, id, round(greatest(similarity, score * 0.9), 6) AS similarity FROM (SELECT query_id, id, similarity FROM big) FULL JOIN (SELECT query_id, id, score FROM x) USING (query_id, id)""")
