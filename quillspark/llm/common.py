@@ -60,6 +60,10 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def tidy(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files behind finished tables now: it follows the collection of the driver's objects."""
+        self.spark._jvm.System.gc()
+
 
 def columns_or_null(df: DataFrame, **kinds: str) -> DataFrame:
     """Exactly the named columns, cast; a missing one is null. Extra columns cannot clash afterwards."""

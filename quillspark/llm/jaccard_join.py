@@ -183,7 +183,7 @@ def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _labels(links: DataFrame) -> DataFrame:
     """``(node, label)``: the smallest node within two links, and that one's. Nodes of one label hang together; not all that do have one."""
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label"))
     far = both.join(near.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("label")).alias("label"))
     return far.join(far.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
@@ -202,13 +202,16 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     docs = keyed(docs)
     parts = parts_for(docs, CHARS_PER_PART)
     sent = docs.mapInArrow(_deal(size, parts), BLOB).groupBy("part").applyInPandas(_count(parts), BLOB)
-    rows = scratch.save(sent.groupBy("part").applyInPandas(_profile(percent), PROFILE), "profiles").withColumn("vertex", F.col("rk" if by_row else "doc_id"))
+    profiles = scratch.save(sent.groupBy("part").applyInPandas(_profile(percent), PROFILE), "profiles").withColumn("vertex", F.col("rk" if by_row else "doc_id"))
+    scratch.tidy()
 
-    can = rows.where("tokens IS NOT NULL")
+    can = profiles.where("tokens IS NOT NULL")
     classes = can.groupBy("class_a", "class_b", "n").agg(F.min("vertex").alias("node"), F.count("*").alias("k"), F.min_by(F.struct("tokens", "counts"), "vertex").alias("s"))
     classes = scratch.save(classes.select("class_a", "class_b", "n", "node", "k", "s.tokens", "s.counts"), "classes")
     member = can.select("vertex", "class_a", "class_b", "n").join(classes.where("k > 1").select("class_a", "class_b", "n", "node"), ["class_a", "class_b", "n"])
     member = scratch.save(member.select("vertex", "node").where("vertex <> node").distinct(), "members")
+    rows = scratch.save(profiles.select("rk", "doc_id", "vertex", F.col("n").alias("n_shingles")), "rows")
+    scratch.drop("profiles")  # shingles live on in the classes, once for equal sets
     nodes = classes.select("node", "n", "tokens", "counts")
 
     postings = scratch.save(nodes.mapInPandas(_postings(percent), "token long, node long, n long, shared long, place long"), "postings")
@@ -217,6 +220,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     if len(run):
         cuts = sorted({int(histogram[int(np.searchsorted(run, run[-1] * i / fragments))]["place"]) for i in range(1, fragments)})
     pieces = scratch.save(nodes.mapInPandas(_fragments(cuts), "node long, fragment int, own array<long>"), "fragments")
+    scratch.drop("classes")
+    scratch.tidy()
 
     def overlaps(pairs: DataFrame, name: str) -> DataFrame:
         """``a, b, na, nb, same``: what candidate pairs share, counted in each fragment by itself and summed."""
@@ -243,6 +248,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
         pivot = mine.groupBy("token").agg(F.min(F.struct(rank, F.col("node").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("own").alias("oa"), F.col("place").alias("pa"))).alias("p"), F.count("*").alias("k"))
         pivot = scratch.save(pivot.where("k > 1").select("token", F.col("p.a").alias(f"pivot{i}"), "p.na", "p.sa", "p.oa", "p.pa"), f"pivots{i}")
         met = scratch.save(mine.join(pivot, "token"), f"met{i}")  # a shingle of one node pairs nothing, now or later
+        for old in (f"pivots{i}", "postings" if i == 0 else f"own{i - 1}"):
+            scratch.drop(old)
         pairs = met.where(f"pivot{i} <> node AND own <> oa").select(F.col(f"pivot{i}").alias("a"), F.col("node").alias("b"), "na", F.col("n").alias("nb"), "sa", F.col("shared").alias("sb"), "pa", F.col("place").alias("pb"))
         same = overlaps(ordered(pairs.where(sized & enough(F.least("sa", "sb")))), f"overlaps{i}")
         shared.append(same)
@@ -262,19 +269,19 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
         open_ = open_.join(known, ["a", "b"], "left").withColumn(f"with{i}", F.when(F.col("node") == F.col(f"pivot{i}"), F.col("shared")).otherwise(F.col(f"with{i}"))).drop("a", "b", f"pivot{i}")
     band = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9))  # linked sets are of one band or of neighbours
     open_ = scratch.save(open_.withColumn("band", band.cast("long")), "open")
+    scratch.drop(f"own{PIVOT_ROUNDS - 1}")
+    scratch.tidy()
     side = lambda x, bands: open_.select(F.col("token"), bands.alias("band"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"s{x}"), F.col("own").alias(f"o{x}"), F.col("place").alias(f"p{x}"), *[F.col(f"with{i}").alias(f"{x}{i}") for i in range(PIVOT_ROUNDS)])
     through = [F.least(F.col(f"a{i}") + F.col("sb") - F.col(f"b{i}"), F.col(f"b{i}") + F.col("sa") - F.col(f"a{i}")) for i in range(PIVOT_ROUNDS)]
     most = F.least("sa", "sb", *through)  # of those that are known
     left, right = side("a", F.col("band")), side("b", F.explode(F.array(*[F.col("band") + x for x in (-1, 0, 1)])))
     pairs = left.join(right, (left.token == right.token) & (left.band == right.band) & (F.col("a") < F.col("b")) & (F.col("oa") != F.col("ob")) & sized & enough(most))
     late = overlaps(ordered(pairs), "overlaps").where(enough(F.col("same"))).select("a", "b")
-    # labels hold what the rounds linked; links inside a label add nothing
-    of = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    loose = links.join(of.select("a", F.col("b").alias("x")), "a").join(of.select(F.col("a").alias("b"), F.col("b").alias("y")), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    edges = of.where("a <> b").union(loose).union(late).union(member.select(F.col("vertex").alias("a"), F.col("node").alias("b")))
+    of = label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))  # most links are in a label already
+    edges = of.union(links).union(late).union(member.select(F.col("vertex").alias("a"), F.col("node").alias("b")))
     component = connected(edges, Scratch(spark, "components"))
 
-    out = rows.select("rk", "doc_id", "vertex", F.col("n").alias("n_shingles")).join(component.withColumnRenamed("node", "vertex"), "vertex", "left")
+    out = rows.join(component.withColumnRenamed("node", "vertex"), "vertex", "left")
     real = lambda c: F.nullif(c, F.lit(2**63 - 1))
     named = F.coalesce("component", "vertex")
     return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", (named if by_row else real(named)).alias("component_id"), "rk")
