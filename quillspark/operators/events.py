@@ -79,11 +79,11 @@ def middle(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def robust(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Median, median absolute deviation (scaled by 1.4826) and the spread from index floor(n / 4) to floor(3 n / 4) of each group."""
+    """Median, median absolute deviation (scaled by 1.4826) and the spread from index floor((n - 1) / 4) to floor(3 (n - 1) / 4) of each group."""
     m = small(middle(rows, group, value))
     off = rows.join(m, group).select(group, F.abs(F.col(value) - F.col("median")).alias("off"))
     mad = middle(off, group, "off").withColumnRenamed("median", "mad")
-    quarter = lambda q, name: at_index(rows, group, value, lambda n: F.floor(n * q), q).withColumnRenamed("value", name)
+    quarter = lambda q, name: at_index(rows, group, value, lambda n: F.floor((n - 1) * q), q).withColumnRenamed("value", name)
     out = m.join(mad, group).join(quarter(0.75, "q3"), group).join(quarter(0.25, "q1"), group)
     return out.select(group, F.round("median", 6).alias("median"), F.round(F.col("mad") * 1.4826, 6).alias("mad"), F.round(F.col("q3") - F.col("q1"), 6).alias("iqr"))
 

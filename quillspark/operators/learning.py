@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import dice
+from ..lineage import small
+
 
 def gradients(feedback: DataFrame, slots: DataFrame) -> DataFrame:
     """``slot, gradient, n``: what clicks say about each weight, each weighed by the root of its rank against position bias.
 
     ``feedback(source, rank)`` with ranks from 0, ``slots(source, slot)``; ranks past 49 are dropped.
     """
-    rows = feedback.where(F.col("rank").between(0, 49)).join(F.broadcast(slots), "source")
+    rows = feedback.where(F.col("rank").between(0, 49)).join(small(slots), "source")
     w = F.sqrt(F.col("rank") + 1.0)
     reciprocal = 1.0 / (F.col("rank") + 1.0)
     return rows.groupBy("slot").agg(F.round(F.sum((reciprocal - 0.15) * 0.01 * w) / F.sum(w), 8).alias("gradient"), F.count("*").alias("n"))
@@ -27,34 +32,63 @@ def adam(weights: DataFrame, grads: DataFrame, step: int = 1, rate: float = 0.01
     return rows.select("slot", F.round(F.least(F.lit(high), F.greatest(F.lit(low), F.col("weight") + F.col("move"))), 8).alias("weight"), F.round("m", 10).alias("m"), F.round("v", 12).alias("v"))
 
 
-def calibration(points: DataFrame, least: int = 5, bins: int = 1_000) -> DataFrame:
-    """``tier, x, y``: rising steps by pooling adjacent violators, for tiers with enough points.
+def _pool(f: pd.DataFrame) -> list[tuple[float, float, int, int]]:
+    """Pools adjacent violators of rows ``low, high, s, n`` in order: blocks whose rate exceeds the next one's are joined."""
+    blocks: list[tuple[float, float, int, int]] = []
+    for low, high, s, n in zip(f["low"], f["high"], f["s"], f["n"], strict=True):
+        blocks.append((low, high, int(s), int(n)))
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] > blocks[-1][2] * blocks[-2][3]:
+            b, a = blocks.pop(), blocks.pop()
+            blocks.append((a[0], b[1], a[2] + b[2], a[3] + b[3]))
+    return blocks
+
 
-    ``points(tier, score, clicked)``. Points are summed into bins of the score first, so a group holds
-    at most ``bins`` rows, whatever the number of clicks. A block's x is the middle of its bins' means.
+def calibration(points: DataFrame, least: int = 5) -> DataFrame:
+    """``tier, x, y``: rising steps by pooling adjacent violators, for tiers with enough points; x is the middle of a block.
+
+    ``points(tier, score, clicked)``. Points of one score count as one. Ranges of the score are pooled each by
+    itself first, which changes nothing in the end, so what meets in a tier's last group are blocks, not points.
     """
-    binned = points.groupBy("tier", F.floor(F.col("score") * bins).alias("bin")).agg(F.avg("score").alias("x"), F.sum("clicked").alias("s"), F.count("*").alias("n"))
+    enough = points.groupBy("tier").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("tier")
+    rows = points.join(enough, "tier").groupBy("tier", "score").agg(F.sum("clicked").alias("s"), F.count("*").alias("n"))
+    rows = rows.select("tier", F.col("score").alias("low"), F.col("score").alias("high"), "s", "n").repartitionByRange("tier", "low").sortWithinPartitions("tier", "low")
+    schema = "tier int, low double, high double, s long, n long"
+
+    def ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for tier, own in f.groupby("tier", sort=False):
+                yield pd.DataFrame([(tier, *b) for b in _pool(own)], columns=["tier", "low", "high", "s", "n"])
 
-    def pool(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("x")
-        blocks: list[list[float]] = []
-        if f["n"].sum() >= least:
-            for x, s, n in zip(f["x"], f["s"], f["n"], strict=True):
-                blocks.append([x, x, float(s), float(n)])
-                while len(blocks) > 1 and blocks[-2][2] / blocks[-2][3] > blocks[-1][2] / blocks[-1][3]:
-                    b = blocks.pop()
-                    blocks[-1] = [blocks[-1][0], b[1], blocks[-1][2] + b[2], blocks[-1][3] + b[3]]
-        return pd.DataFrame([(f["tier"].iloc[0], (a + b) / 2, s / n) for a, b, s, n in blocks], columns=["tier", "x", "y"])
+    def tiers(f: pd.DataFrame) -> pd.DataFrame:
+        found = _pool(f.sort_values("low"))
+        return pd.DataFrame([(f["tier"].iloc[0], (a + b) / 2, s / n) for a, b, s, n in found], columns=["tier", "x", "y"])
 
-    return binned.groupBy("tier").applyInPandas(pool, "tier int, x double, y double")
+    return rows.mapInPandas(ranges, schema).groupBy("tier").applyInPandas(tiers, "tier int, x double, y double")
+
+
+def calibrated(rows: DataFrame, curve: DataFrame) -> DataFrame:
+    """``rows`` with ``probability``: the curve of their tier at their score, straight between its points, level outside; null without a curve.
+
+    ``rows(tier, score, ...)``, ``curve(tier, x, y)``: of one tier's points, the last before and the first after a score are looked up.
+    """
+    lists = curve.groupBy("tier").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("curve"))
+    rows = rows.join(lists, "tier", "left")
+    before = F.get(F.filter("curve", lambda p: p["x"] <= F.col("score")), F.size(F.filter("curve", lambda p: p["x"] <= F.col("score"))) - 1)
+    after = F.get(F.filter("curve", lambda p: p["x"] > F.col("score")), F.lit(0))
+    rows = rows.withColumn("a", before).withColumn("b", after)
+    line = F.col("a.y") + (F.col("b.y") - F.col("a.y")) * (F.col("score") - F.col("a.x")) / (F.col("b.x") - F.col("a.x"))
+    return rows.withColumn("probability", F.round(F.when(F.col("a").isNull(), F.col("b.y")).when(F.col("b").isNull(), F.col("a.y")).otherwise(line), 6)).drop("curve", "a", "b")
 
 
-def hard_negatives(neighbours: DataFrame, groups: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
-    """``id, negative, score``: for each item the most alike of another group, if neither too near nor too far.
+def hard_negatives(neighbours: DataFrame, groups: DataFrame, texts: DataFrame, low: float = 0.5, high: float = 0.9, least: float = 0.08) -> DataFrame:
+    """``id, negative, score``: for each item the neighbour of another chapter that looks most like it, neither too near nor too far.
 
-    ``neighbours(query_id, id, similarity)``, ``groups(id, g)``.
+    ``neighbours(query_id, id, similarity)``, ``groups(id, chapter, book)``, ``texts(id, tokens)``: pairs share ``least``
+    of their distinct tokens (Dice); likeness is similarity, overlap and being of the same book.
     """
-    a, b = groups.select(F.col("id").alias("query_id"), F.col("g").alias("ga")), groups.select("id", F.col("g").alias("gb"))
-    rows = neighbours.where(F.col("similarity").between(low, high)).join(a, "query_id").join(b, "id").where("ga <> gb")
-    best = rows.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where("r = 1")
-    return best.select(F.col("query_id").alias("id"), F.col("id").alias("negative"), F.round(0.72 * F.col("similarity"), 6).alias("score"))
+    side = lambda x: groups.join(texts, "id").select(F.col("id").alias(x), F.col("chapter").alias(f"c{x}"), F.col("book").alias(f"b{x}"), F.array_distinct("tokens").alias(f"t{x}"))
+    rows = neighbours.where(F.col("similarity").between(low, high)).join(side("query_id"), "query_id").join(side("id"), "id").where("cquery_id <> cid")
+    rows = rows.withColumn("overlap", F.round(dice(F.col("tquery_id"), F.col("tid")), 6)).where(F.col("overlap") >= least)
+    score = 0.72 * F.col("similarity") + 0.2 * F.col("overlap") + F.when(F.col("bquery_id") == F.col("bid"), 0.08).otherwise(0.0)
+    best = rows.withColumn("score", F.round(score, 6)).withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("r = 1")
+    return best.select(F.col("query_id").alias("id"), F.col("id").alias("negative"), "score")

@@ -67,25 +67,33 @@ def above_floor(rows: DataFrame, least: float = 0.15, share: float = 0.08, top:
 
 
 def elbow(rows: DataFrame, most: int = 24) -> DataFrame:
-    """``query_id, keep``: where a ranked list falls off, for lists of six or more; 0 where it does not.
+    """``query_id, keep, support`` of lists of six or more whose first is of a high tier: after which rank they fall off; lists that do not have no row.
 
-    A cut after rank i needs a gap that stands out among all gaps (by median and MAD), little weight
-    behind it, and a margin between what is before and the next five. Rows: ``query_id, rank, specificity``.
+    Rows: ``query_id, rank, tier, specificity, meaning, confidence``, the first ``most`` of which count. A cut
+    keeps two rows and leaves three at least; it needs a gap that stands out among all gaps (by median and MAD), little mass of
+    the scores behind it, and a margin of meaning between what is before and the next five. The best supported one counts.
     """
     w = W.partitionBy("query_id")
     order = w.orderBy("rank")
-    r = rows.where(F.col("rank") <= most).withColumn("n", F.count("*").over(w)).where("n >= 6")
+    r = rows.where(F.col("rank") <= most).withColumn("n", F.count("*").over(w)).withColumn("head_tier", F.min(F.when(F.col("rank") == 1, F.col("tier"))).over(w)).where("n >= 6 AND head_tier <= 3")
     r = r.withColumn("gap", F.col("specificity") - F.lead("specificity").over(order))
-    mid = r.groupBy("query_id").agg(F.median("gap").alias("median"))
-    mad = r.join(mid, "query_id").groupBy("query_id").agg(F.median(F.abs(F.col("gap") - F.col("median"))).alias("mad"))
-    r = r.join(mid, "query_id").join(mad, "query_id")
-    e = F.exp(F.col("specificity") - F.max("specificity").over(w))
-    r = r.withColumn("e", e).withColumn("tail", 1 - F.sum("e").over(order.rowsBetween(W.unboundedPreceding, 0)) / F.sum("e").over(w))
-    r = r.withColumn("margin", F.avg("specificity").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.avg("specificity").over(order.rowsBetween(1, 5)))
-    z = F.when(F.col("mad") > 0, (F.col("gap") - F.col("median")) / (1.4826 * F.col("mad"))).otherwise(0.0)
-    r = r.withColumn("z", F.round(z, 6)).withColumn("fits", (F.col("z") >= 2.5) & (F.col("tail") <= 0.35) & (F.col("margin") >= 0.18))
-    best = r.where("fits").groupBy("query_id").agg(F.max_by("rank", F.struct("z", -F.col("rank"))).alias("keep"))
-    return r.select("query_id").distinct().join(best, "query_id", "left").select("query_id", F.coalesce("keep", F.lit(0)).alias("keep"))
+    sorted_ = lambda c: F.array_sort(F.collect_list(c))
+    at = lambda a, share: F.get(a, F.floor((F.size(a) - 1) * share).cast("int"))
+    median = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
+    lists = r.groupBy("query_id").agg(sorted_("specificity").alias("s"), sorted_("gap").alias("g"), F.max("specificity").alias("top"))
+    lists = lists.withColumn("mid", median(F.col("g")))
+    lists = lists.withColumn("sigma", F.greatest(F.lit(0.02), 1.4826 * median(F.array_sort(F.transform("g", lambda x: F.abs(x - F.col("mid")))))))
+    lists = lists.withColumn("heat", F.greatest(F.lit(0.08), (at(F.col("s"), 0.75) - at(F.col("s"), 0.25)) / 1.349)).select("query_id", "mid", "sigma", "heat")
+    r = r.withColumn("first", F.first("specificity").over(order)).join(lists, "query_id")
+    r = r.withColumn("e", F.exp((F.col("specificity") - F.col("first")) / F.col("heat")))
+    tail = F.greatest(F.lit(0.0), 1 - F.sum("e").over(order.rowsBetween(W.unboundedPreceding, 0)) / F.sum("e").over(w))
+    margin = F.avg("meaning").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.avg("meaning").over(order.rowsBetween(1, 5))
+    r = r.withColumn("z", (F.col("gap") - F.col("mid")) / F.col("sigma")).withColumn("tail", tail).withColumn("margin", margin)
+    factor = 0.8 + F.least(F.lit(0.2), 0.2 * F.greatest(F.lit(0.0), F.col("confidence")))
+    r = r.withColumn("support", F.round(F.col("z") * (1 - F.col("tail")) * F.greatest("margin", F.lit(0.0)) * factor, 6))
+    fits = (F.col("rank") >= 2) & (F.col("n") - F.col("rank") >= 3) & (F.col("z") >= 2.5) & (F.col("tail") <= 0.35) & (F.col("margin") >= 0.18)
+    best = r.where(fits).groupBy("query_id").agg(F.max(F.struct("support", (-F.col("rank")).alias("rank"))).alias("b"))
+    return best.where("b.support >= 0.9").select("query_id", (-F.col("b.rank")).alias("keep"), "b.support")
 
 
 def judge(results: DataFrame, wanted: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
@@ -105,19 +113,21 @@ def monotonicity(rows: DataFrame, score: str) -> DataFrame:
     return rows.withColumn("p", F.lag(score).over(order)).where("p IS NOT NULL").groupBy("query_id").agg(F.round(F.avg((F.col(score) <= F.col("p")).cast("double")), 6).alias("monotone"))
 
 
-def diversified(candidates: DataFrame, trade: float = 0.7, k: int = 20, memory: int = 8) -> DataFrame:
+def diversified(candidates: DataFrame, k: int = 20, memory: int = 8, boost: float = 2.0) -> DataFrame:
     """``query_id, id, rank``: greedy choice of what is relevant and unlike the last picks, among a few hundred candidates a query.
 
-    ``candidates(query_id, id, score, v)``. Every pick depends on those before it, so a query is one group.
+    ``candidates(query_id, id, score, v, rrf, trade)``: ``trade`` is what relevance weighs against variety,
+    ``rrf`` is added ``boost`` times. Every pick depends on those before it, so a query is one group; ties go to the better score, then the smaller id.
     """
     def pick(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
         m = np.array([np.asarray(v, np.float64) for v in f["v"]])
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        trade, score, extra = float(f["trade"].iloc[0]), f["score"].to_numpy(), boost * f["rrf"].to_numpy()
         left, chosen = list(range(len(f))), []
         while left and len(chosen) < k:
-            near = (m[left] @ m[chosen[-memory:]].T).max(1) if chosen else np.zeros(len(left))
-            chosen.append(left.pop(int(np.argmax(trade * f["score"].to_numpy()[left] - (1 - trade) * near))))
+            near = np.maximum(0, (m[left] @ m[chosen[-memory:]].T).max(1)) if chosen else np.zeros(len(left))
+            chosen.append(left.pop(int(np.argmax(np.round(trade * score[left] - (1 - trade) * near + extra[left], 9)))))
         return pd.DataFrame({"query_id": f["query_id"].iloc[0], "id": f["id"].to_numpy()[chosen], "rank": np.arange(1, len(chosen) + 1, dtype=np.int32)})
 
     return candidates.groupBy("query_id").applyInPandas(pick, "query_id long, id long, rank int")
@@ -143,3 +153,34 @@ def transport(pairs: DataFrame, rounds: int = 15, epsilon: float = 0.1) -> DataF
             yield pd.DataFrame({"query_id": f["query_id"], "id": f["id"], "cost": out})
 
     return pairs.mapInPandas(go, "query_id long, id long, cost double")
+
+
+def blended(similarity: Column, cost: Column, confidence: Column) -> Column:
+    """Similarity with 0.4 of what transport says, where the search is not sure of itself and there is any similarity."""
+    return F.when((confidence < 0.7) & (similarity > 0), F.round(0.6 * similarity + 0.4 * F.exp(-3.0 * cost), 4)).otherwise(F.round(similarity, 4))
+
+
+def alignment(pairs: DataFrame, window: int = 50, overlap: float = 1.0) -> DataFrame:
+    """``query_id, id, chamfer, emd, score``: how near two sequences of vectors are as sets, in order, and both.
+
+    ``pairs(query_id, id, a, b)``, a and b arrays of vectors of tokens. ``chamfer`` is the mean distance (1 - cosine) to the nearest of
+    the other side; ``emd`` the cheapest path that passes both in order, of b's first ``window``, by length of a, 1 at most. ``overlap`` is the share of tokens in common.
+    """
+    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit = lambda s: (m := np.array([np.asarray(v, np.float64) for v in s])) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        for f in frames:
+            out = []
+            for a, b in zip(f["a"], f["b"], strict=True):
+                cost = 1 - np.clip(unit(a) @ unit(b).T, 0, 1)
+                chamfer = (cost.min(1).mean() + cost.min(0).mean()) / 2
+                path = np.full((len(cost) + 1, min(cost.shape[1], window) + 1), np.inf)
+                path[0, 0] = 0
+                for i in range(1, path.shape[0]):
+                    for j in range(1, path.shape[1]):
+                        path[i, j] = cost[i - 1, j - 1] + min(path[i - 1, j - 1], path[i, j - 1], path[i - 1, j])
+                out.append((chamfer, min(1.0, path[-1, 1:].min() / len(cost))))
+            c, e = (np.array(x) for x in zip(*out, strict=True)) if out else (np.zeros(0), np.zeros(0))
+            score = np.minimum(1, 0.5 * np.exp(-3 * c) + 0.3 * np.exp(-2.5 * e) + 0.2 * overlap)
+            yield pd.DataFrame({"query_id": f["query_id"], "id": f["id"], "chamfer": c.round(6), "emd": e.round(6), "score": score.round(6)})
+
+    return pairs.mapInPandas(go, "query_id long, id long, chamfer double, emd double, score double")

@@ -37,7 +37,7 @@ register("trending", trending, f"""WITH {EV}, a AS (SELECT *, ((SELECT max(ms) F
 register("source_outliers", lambda s, d: E.without_outliers(events(s, d), "event_type", "value").select("event_id", "event_type", F.round("z", 6).alias("z")), "WITH z AS (SELECT event_id, event_type, abs(value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM events WINDOW w AS (PARTITION BY event_type)) SELECT event_id, event_type, round(z, 6) AS z FROM z WHERE z <= 2.5")
 register("p95_floor", lambda s, d: E.at_floor(table(s, d, "lineitem"), "l_returnflag", "l_extendedprice", 0.95), "SELECT l_returnflag, l_extendedprice AS value FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 = floor((count(*) OVER (PARTITION BY l_returnflag) - 1) * 0.95::DOUBLE)")
 register("robust_stats", lambda s, d: E.robust(table(s, d, "orders"), "o_orderpriority", "o_totalprice"), """WITH r AS (SELECT o_orderpriority, o_totalprice AS v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice)),
-    m AS (SELECT o_orderpriority, median(v) AS m, max(v) FILTER (i = floor(n * 0.75::DOUBLE)) - max(v) FILTER (i = floor(n * 0.25::DOUBLE)) AS iqr FROM r GROUP BY 1)
+    m AS (SELECT o_orderpriority, median(v) AS m, max(v) FILTER (i = floor((n - 1) * 0.75::DOUBLE)) - max(v) FILTER (i = floor((n - 1) * 0.25::DOUBLE)) AS iqr FROM r GROUP BY 1)
     SELECT o_orderpriority, round(any_value(m), 6) AS median, round(median(abs(o_totalprice - m)) * 1.4826, 6) AS mad, round(any_value(iqr), 6) AS iqr FROM orders JOIN m USING (o_orderpriority) GROUP BY 1""")
 register("burst_spam", lambda s, d: E.bursts(events(s, d), "event_type", 3_600_000, 5).select("event_id", "burst"), f"""WITH {EV}, a AS (SELECT *, count(*) OVER (PARTITION BY event_type ORDER BY ms RANGE BETWEEN CURRENT ROW AND 3600000 FOLLOWING) AS ahead FROM e)
     SELECT event_id, max(ahead) OVER (PARTITION BY event_type ORDER BY ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) > 5 AS burst FROM a""")
