@@ -71,6 +71,14 @@ def columns_or_null(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or what is not the name of a column yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key() -> Column:
     """A key of the row's identity and text. Rows equal in both share it and get equal results."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drawn, share_of
+from .common import drawn, free_name, share_of
 
 DIMS = 1024
 SEED = 7
@@ -150,8 +150,9 @@ def identify_languages(spark: SparkSession, docs: DataFrame, per_language: int =
     """
     langs, prototypes = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), per_language)
     rest = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), is_held_out().alias("held_out"), predictor(langs, prototypes)(F.col("text").cast("string")).alias("found"))
-    return rows.select("row.*", "held_out", "found.lang_pred", "found.score")
+    found = free_name(docs, "found")
+    rows = docs.withColumn(found, predictor(langs, prototypes)(F.col("text").cast("string")))
+    return rows.select(*[F.col(f"`{c}`") for c in rest], is_held_out().alias("held_out"), F.col(f"{found}.lang_pred").alias("lang_pred"), F.col(f"{found}.score").alias("score"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
