@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, row_check, row_key
+from quillspark.llm.common import Scratch, free_name, row_check, row_key
 from quillspark.llm.exact_dedup import LAST, classes, with_digest
 from quillspark.llm.jaccard_join import jaccard_components
 from quillspark.llm.language_id import UNKNOWN, predictor, train
@@ -32,9 +32,10 @@ def whole_rows(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those that resemble no language. Their lang stays as it is."""
-    rows = whole_rows(docs)
-    found = rows.select("row", predictor(*train(rows.select("doc_id", "text", "lang")))(F.col("text")).alias("found"))
-    return found.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= LEAST_SCORE)).select("row.*")
+    found = free_name(docs, "found")
+    rows = docs.withColumn(found, predictor(*train(whole_rows(docs).select("doc_id", "text", "lang")))(F.col("text").cast("string")))
+    kept = rows.where((F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= LEAST_SCORE))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
