@@ -9,12 +9,13 @@ from ..lineage import keep
 from . import fts, ranking, termstats
 
 
-def search(index: fts.Index, queries: DataFrame, k: int = 10, lane_k: int = 50, phrase_weight: float = 3.0) -> DataFrame:
+def search(index: fts.Index, queries: DataFrame, k: int = 10, lane_k: int = 50, phrase_weight: float = 3.0, lanes: dict[str, tuple[DataFrame, float]] | None = None, similar: DataFrame | None = None) -> DataFrame:
     """``query_id, id, rank, tier, specificity, sources`` for queries ``(item_id, text)`` over an index.
 
-    Lanes: BM25, exact phrase of the whole query, proximity of its longest words. They are fused by
-    reciprocal rank; fused rows get their share of the query's term weight and a tier, are cut at a
-    floor, and are ordered by specificity. A query without any hit has no rows.
+    Lexical lanes: BM25, exact phrase of the whole query, proximity of its longest words; ``lanes`` adds
+    others, as ``(query_id, id, rank)`` with a weight. They are fused by reciprocal rank; fused rows get their share
+    of the query's term weight, their similarity from ``similar(query_id, id, similarity)`` (else that share) and a tier,
+    are cut at a floor, and are ordered by specificity. A query without any hit has no rows.
     """
     terms = keep(fts.query_terms(queries), "terms")
     best = fts.bm25(index, terms, lane_k).select("query_id", F.col("doc_id").alias("id"), "rank")
@@ -22,10 +23,11 @@ def search(index: fts.Index, queries: DataFrame, k: int = 10, lane_k: int = 50,
     lane = lambda hits: hits.select("query_id", F.col("doc_id").alias("id")).withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= lane_k)
     exact = keep(lane(fts.phrase(index, terms)), "exact")
     close = lane(fts.near(index, fts.longest(terms)))
-    fused = ranking.fuse({"bm25": (best, 1.0), "phrase": (exact, phrase_weight), "near": (close, 1.0)})
+    fused = keep(ranking.fuse({"bm25": (best, 1.0), "phrase": (exact, phrase_weight), "near": (close, 1.0), **(lanes or {})}), "fused")
     covered = fts.coverage(index, termstats.term_weights(index, terms)).withColumnRenamed("doc_id", "id")
-    rows = fused.join(covered, ["query_id", "id"]).join(exact.select("query_id", "id", F.lit(True).alias("phrase")), ["query_id", "id"], "left")
-    rows = rows.select("query_id", "id", "rank", "sources", F.col("score").alias("rrf"), F.col("coverage").alias("lex"), F.col("coverage").alias("sim"), F.coalesce("phrase", F.lit(False)).alias("phrase"), F.lit(False).alias("topical"))
+    rows = fused.join(covered, ["query_id", "id"], "left").join(exact.select("query_id", "id", F.lit(True).alias("phrase")), ["query_id", "id"], "left").withColumn("lex", F.coalesce("coverage", F.lit(0.0)))
+    rows = rows.join(similar.select("query_id", "id", F.col("similarity").alias("sim")), ["query_id", "id"], "left") if similar is not None else rows.withColumn("sim", F.col("lex"))
+    rows = rows.select("query_id", "id", "rank", "sources", F.col("score").alias("rrf"), "lex", F.coalesce("sim", F.lit(0.0)).alias("sim"), F.coalesce("phrase", F.lit(False)).alias("phrase"), F.lit(False).alias("topical"))
     rows = ranking.tiers(ranking.above_floor(rows), F.lit(0.5))
     order = W.partitionBy("query_id").orderBy(F.desc("specificity"), "id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", "tier", "specificity", "sources")

@@ -251,9 +251,15 @@ register("jaccard", set_scores, f"WITH {SETS} SELECT a.user_id, round(len(list_i
 
 
 def searched(s, d):
+    """Lexical lanes, the vectors nearest to the query's own, and where two steps of the neighbour graph lead from the first of these."""
     from ..operators.pipeline import search
+    from .lanes import walk_steps
 
-    return search(S.index(s, d), table(s, d, "benchmark"))
+    asked = vecs(s, d).join(table(s, d, "benchmark").select(F.col("item_id").alias("id")), "id").select(F.col("id").alias("query_id"), "v")
+    near = keep(top_similar(asked, vecs(s, d), 50), "near")
+    reach = near.where("rank <= 3").select("query_id", F.col("id").alias("src")).join(walk_steps(s, d), "src").groupBy("query_id", F.col("dst").alias("id")).agg(F.max("walk").alias("walk"))
+    walk = reach.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("walk"), "id"))).where("rank <= 20")
+    return search(S.index(s, d), table(s, d, "benchmark"), lanes={"vector": (near.select("query_id", "id", "rank"), 1.0), "walk": (walk.select("query_id", "id", "rank"), 0.5)}, similar=near)
 
 
 def labelled(s, d):
@@ -268,7 +274,20 @@ def pairs(s, d):
     return training_pairs(table(s, d, "part"), "p_name", "p_type", "p_brand")
 
 
-register("search_pipeline", searched)
+B50 = S.BM25.replace("rank <= 10", "rank <= 50")
+register("search_pipeline", searched, f"""WITH {S.WBASE}, {S.COVER}, {B50}, {S.PHRASE}, {S.LONGEST}, {S.NEAR}, {KNN.replace('rank <= 20', 'rank <= 50')},
+    st AS (SELECT query_id, id, similarity / sum(similarity) OVER (PARTITION BY query_id) AS p FROM knn WHERE rank <= 5 AND similarity > 0), wk AS (SELECT a.query_id AS src, b.id AS dst, round(sum(a.p * b.p), 8) AS walk FROM st a JOIN st b ON b.query_id = a.id GROUP BY ALL HAVING a.query_id <> b.id),
+    vn AS (SELECT knn.* FROM knn JOIN benchmark ON item_id = query_id), re AS (SELECT query_id, dst AS id, max(walk) AS walk FROM vn JOIN wk ON src = id WHERE rank <= 3 GROUP BY ALL),
+    ln AS (SELECT query_id, doc_id AS id, rank, 1.0::DOUBLE AS w, 'b' AS s FROM best UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS r, 3.0, 'p' FROM phrase QUALIFY r <= 50 UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS r, 1.0, 'n' FROM near QUALIFY r <= 50
+      UNION ALL SELECT query_id, id, rank, 1.0, 'v' FROM vn UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY walk DESC, id) AS r, 0.5, 'w' FROM re QUALIFY r <= 20),
+    fu AS (SELECT query_id, id, round(sum(w / (60 + rank)) * CASE WHEN count(DISTINCT s) >= 3 THEN 1.4 WHEN count(DISTINCT s) = 2 THEN 1.2 ELSE 1.0 END::DOUBLE, 8) AS rrf, count(DISTINCT s) AS sources FROM ln GROUP BY query_id, id),
+    fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM fu),
+    fx AS (SELECT f.*, coalesce(c.coverage, 0) AS lex, coalesce(v.similarity, 0) AS sim, p.doc_id IS NOT NULL AS phrase FROM fr f LEFT JOIN cov c ON c.query_id = f.query_id AND c.doc_id = f.id LEFT JOIN vn v ON v.query_id = f.query_id AND v.id = f.id LEFT JOIN (SELECT * FROM phrase QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY doc_id) <= 50) p ON p.query_id = f.query_id AND p.doc_id = f.id),
+    fl AS (SELECT * FROM fx QUALIFY sim >= 0.15 OR rrf >= greatest(0.08::DOUBLE * max(CASE WHEN rank <= 20 THEN rrf END) OVER (PARTITION BY query_id), 0.001)),
+    gt2 AS (SELECT *, 1 / (1 + exp(-20::DOUBLE * (sim - 0.28::DOUBLE))) AS gate, least(8 * rrf, 0.99::DOUBLE) AS r FROM fl),
+    tr2 AS (SELECT query_id, id, sources, CASE WHEN phrase THEN 2 WHEN gate >= 0.5 THEN 3 ELSE 5 END AS tier, CASE WHEN phrase THEN greatest(sim, 0.6::DOUBLE * lex, r) WHEN gate >= 0.5 THEN gate * sim ELSE r + 0.3::DOUBLE * gate * sim END AS w FROM gt2),
+    sp2 AS (SELECT query_id, id, tier, sources, round(6 - tier + least(0.99::DOUBLE, w), 6) AS specificity FROM tr2)
+    SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY specificity DESC, id)::INT AS rank, tier, specificity, sources FROM sp2 QUALIFY rank <= 10""")
 register("cluster_labels", labelled, f"""WITH {S.POSTS}, {S.TF}, {S.VOCAB}, i AS (SELECT term, round(ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1, 6) AS idf FROM vocab WHERE NOT regexp_matches(term, '^[0-9-]+$')),
     g AS (SELECT source AS g, term, sum(tf) AS tf FROM tf JOIN documents d ON d.doc_id = tf.doc_id GROUP BY ALL), w AS (SELECT g, term, round(tf * idf, 4) AS weight FROM g JOIN i USING (term) WHERE idf >= 4.5)
     SELECT *, row_number() OVER (PARTITION BY g ORDER BY weight DESC, term)::INT AS rank FROM w QUALIFY rank <= 5""")
