@@ -70,3 +70,22 @@ def lcg(seed: Column) -> Column:
 
 def park_miller(seed: Column) -> Column:
     return seed.cast("long") * 16807 % 2147483647
+
+
+def _times(x: Column, y: Column) -> Column:
+    """The product of two numbers below 2**32, modulo 2**32, without leaving 64 bits."""
+    low, high = x.bitwiseAND(0xFFFF), F.shiftright(x, 16)
+    return (low * y + (high * y).bitwiseAND(0xFFFF) * 65536).bitwiseAND(0xFFFFFFFF)
+
+
+def mulberry(seed: Column) -> Column:
+    """The first number between 0 and 1 of the 32-bit generator mulberry32 from a seed."""
+    a = (seed.cast("long") + 0x6D2B79F5).bitwiseAND(0xFFFFFFFF)
+    t = _times(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(1))
+    t = (t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(61))).bitwiseAND(0xFFFFFFFF).bitwiseXOR(t)
+    return t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0)
+
+
+def gaussian(u: Column, v: Column) -> Column:
+    """A normal number from two uniform ones (Box and Muller)."""
+    return F.sqrt(-2.0 * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(2.0 * F.pi() * v)

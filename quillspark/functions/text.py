@@ -49,17 +49,80 @@ def segments(text: Column, words: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / words).cast("int")), lambda i: F.array_join(F.slice(w, i * words + 1, words), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def short_stem(token: Column) -> Column:
-    """Cuts one common ending where enough is left."""
-    def cut(ending: str, least: int, otherwise: Column) -> Column:
-        return F.when(token.endswith(ending) & (F.length(token) > least), F.substring(token, F.lit(1), F.length(token) - len(ending))).otherwise(otherwise)
+# Endings that are cut, the first that fits.
+ENDINGS = ("ing", "eth", "ness", "tion", "tions", "ed", "es")
+
 
-    out = token
-    for ending, least in reversed([("ing", 5), ("eth", 5), ("ness", 6), ("tions", 6), ("tion", 6), ("ed", 4), ("es", 4), ("s", 3)]):
-        out = cut(ending, least, out)
+def short_stem(token: Column) -> Column:
+    """Cuts one common ending, whatever is left; a final s only from more than three letters."""
+    out = F.when(token.endswith("s") & (F.length(token) > 3), F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token)
+    for ending in reversed(ENDINGS):
+        out = F.when(token.endswith(ending), F.substring(token, F.lit(1), F.length(token) - len(ending))).otherwise(out)
     return out
 
 
+# The ways of splitting a text into tokens: characters kept, whether the others go or become spaces, least length.
+TOKENIZERS = {"weights": (r"a-z0-9\-\s", True, 2), "coverage": (r"a-z0-9\-\s", False, 2), "transport": (r"a-z0-9\s'-", False, 2), "bigrams": (r"a-z\s", True, 2), "labels": (r"a-z\s", False, 3), "matcher": (r"a-z0-9\s\-'", True, 2)}
+# Words that the phrase matcher passes over.
+PASSED_OVER = "the a an and or of to in for on with by at from as is was were be been being have has had having do does did doing but so if then else when where which while upon".split()
+
+
+def tokens_of(kind: str, text: Column) -> Column:
+    """Tokens in one of the TOKENIZERS' ways; ``matcher`` passes over stop words; ``signs`` splits at punctuation of any script."""
+    if kind == "signs":
+        return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\p{P}$+<=>^`|~]", " "), r"\s+"), lambda t: t != "")
+    keep, drop, least = TOKENIZERS[kind]
+    return tokens(text, keep, drop, least, PASSED_OVER if kind == "matcher" else None)
+
+
+def paired_segments(a: Column, b: Column, words: int = 150) -> Column:
+    """Two texts in pieces of so many words, as ``array<struct<a, b>>``; the shorter is filled up with empty pieces."""
+    empty = lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(F.lit("")))
+    return F.transform(F.arrays_zip(empty(segments(a, words)).alias("a"), empty(segments(b, words)).alias("b")), lambda p: F.struct(F.coalesce(p["a"], F.lit("")).alias("a"), F.coalesce(p["b"], F.lit("")).alias("b")))
+
+
+def untagged(text: Column) -> Column:
+    """Text of a tagged translation: notes and numbers go with their tags, words inside tags stay, breaks become spaces."""
+    for pattern, new in ((r"<RF>[^<]*<Rf>", ""), (r"<WT>[^<]*<Wt>", ""), (r"<WH>([^<]*)<Wh>", "$1"), (r"<FI>([^<]*)<Fi>", "$1"), (r"<FO>([^<]*)<Fo>", "$1"), (r"<C[LM]>", " "), (r"<[^>]+>", ""), (r"\s{2,}", " ")):
+        text = F.regexp_replace(text, pattern, new)
+    return F.trim(text)
+
+
+def plain_summary(text: Column) -> Column:
+    """A summary without leading header lines, links, emphasis and bullets; null if nothing is left.
+
+    A header is wrapped in markers, begins with #, or is a line of twelve words at most without an end of sentence.
+    """
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    header = lambda x: x.rlike(r"^\*+.*\*+$|^_+.*_+$|^`.*`$|^~+.*~+$|^#+\s*") | ((F.size(F.split(x, r"\s+")) <= 12) & ~x.rlike("[.!?]"))
+    first = F.array_position(F.transform(lines, lambda x: ~header(x)), True).cast("int")
+    rest = F.array_join(F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines)), " ")
+    for pattern, new in ((r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"[*_`~]+", ""), (r"(?m)^\s*[-•]\s*", ""), (r"\s+", " ")):
+        rest = F.regexp_replace(rest, pattern, new)
+    rest = F.trim(rest)
+    return F.when((first > 0) & (rest != ""), rest)
+
+
+def gloss_words(text: Column) -> Column:
+    """The words of a gloss list: notes in brackets and numbers of references go, what is left is split at signs, filler words are dropped."""
+    for pattern, new in ((r"\[[^\]]*\]", ""), (r"\([-–—][^)]*\)", ""), (r"\([^)]*\)", ""), (r"H\d+|G\d+", ""), (r"(?i)Compare[^,;]*", ""), (r"[;.!?]", ",")):
+        text = F.regexp_replace(text, pattern, new)
+    each = F.transform(F.split(text, r",\s*"), lambda w: F.regexp_replace(F.regexp_replace(F.lower(F.trim(w)), r"^x\s+", ""), r"\s+", " "))
+    return F.filter(each, lambda w: (F.length(w) > 2) & ~w.rlike(r"^\d+$|^(or|and|also|as|by|in|of|the|to|a|an)$"))
+
+
+def fragment(words: Column, seed: Column) -> Column:
+    """Four to seven words in a row of a text's content words, from a place that the seed picks; null without words.
+
+    ``words`` are the text's; content words have four letters or more; where there are fewer than four of them, words of three letters count.
+    """
+    content, short = F.filter(words, lambda w: F.length(w) >= 4), F.filter(words, lambda w: F.length(w) >= 3)
+    source = F.when(F.size(content) >= 4, content).otherwise(short)
+    width = F.greatest(F.lit(3), F.least(F.size(source), (4 + F.pmod(seed, F.lit(4))).cast("int")))
+    start = F.pmod(F.floor(seed / 4), F.greatest(F.size(source) - width, F.lit(0)) + 1).cast("int")
+    return F.when(F.size(source) > 0, F.array_join(F.slice(source, start + 1, width), " "))
+
+
 def reference(text: Column, books: dict[str, str]) -> Column:
     """``book c:v``, ``book c v`` or ``book c`` as struct(book, chapter, verse), the book's short name written out; else null.
 

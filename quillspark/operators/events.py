@@ -121,6 +121,15 @@ def pace(events: DataFrame, session: str, expected_ms: Column) -> DataFrame:
     return rows.withColumn("pace", F.round(F.avg("ratio").over(five), 6)).withColumn("flow", (F.col("pace") < 0.6) & (F.count("ratio").over(five) >= 3))
 
 
+def near_pairs(events: DataFrame, session: str, item: str, reach: int = 2) -> DataFrame:
+    """``a, b, n``: how often two different items are within so many places of each other in a session, both ways."""
+    order = W.partitionBy(session).orderBy("ts", "event_id")
+    after = events.select(F.col(item).alias("x"), F.array_compact(F.array(*[F.lead(item, i).over(order) for i in range(1, reach + 1)])).alias("next"))
+    pairs = after.select("x", F.explode("next").alias("y")).where("x <> y")
+    each = F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("p")
+    return pairs.select(each).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+
+
 def last_distinct(events: DataFrame, session: str, item: str, k: int = 5) -> DataFrame:
     """The k items last seen in each session, each once, latest first."""
     last = events.groupBy(session, item).agg(F.max("ts").alias("last"))

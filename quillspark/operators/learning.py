@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dice
 from ..lineage import small
+from .events import bursts, millis, without_outliers
 
 
 def gradients(feedback: DataFrame, slots: DataFrame) -> DataFrame:
@@ -92,3 +93,38 @@ def hard_negatives(neighbours: DataFrame, groups: DataFrame, texts: DataFrame, l
     score = 0.72 * F.col("similarity") + 0.2 * F.col("overlap") + F.when(F.col("bquery_id") == F.col("bid"), 0.08).otherwise(0.0)
     best = rows.withColumn("score", F.round(score, 6)).withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("r = 1")
     return best.select(F.col("query_id").alias("id"), F.col("id").alias("negative"), "score")
+
+
+def cleaned(feedback: DataFrame, source: str, value: str, days: int = 7, most: int = 1000, span_ms: int = 90_000, burst: int = 12) -> DataFrame:
+    """Feedback of the last days that can be learnt from, with ``weight``, the root of the rank from 1: the oldest thousand with a rank below 50,
+
+    less bursts of a source and values far off its mean. ``now`` is a column in milliseconds; the thousand are a bound on
+    what one round of learning reads, not on the table.
+    """
+    rows = feedback.where((millis() >= F.col("now") - days * 86_400_000) & F.col("rank").between(0, 49)).orderBy(millis(), "event_id").limit(most)
+    rows = bursts(rows, source, span_ms, burst).where("NOT burst")
+    return without_outliers(rows, source, value).withColumn("weight", F.round(F.sqrt(F.col("rank") + 1.0), 6))
+
+
+def triggers(feedback: DataFrame, every: int = 20, hour_ms: int = 3_600_000) -> DataFrame:
+    """``event_id, ms, n``: the feedback that calls for training, every so many in an hour."""
+    order = W.partitionBy(F.floor(F.col("ms") / hour_ms)).orderBy("ms", "event_id")
+    return feedback.withColumn("n", F.row_number().over(order)).where(F.col("n") % every == 0).select("event_id", "ms", "n")
+
+
+def boosted_weights(feedback: DataFrame, trees: int = 20, seed: int = 5) -> DataFrame:
+    """``slot, weight``: what boosted trees make of feedback, read back through ridge regression and bounded.
+
+    ``feedback(event_type, rank)``: features are the reciprocal rank, being first, and the kind of source; the label is the reciprocal rank.
+    """
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, LinearRegression
+
+    label = 1.0 / (1.0 + F.coalesce(F.col("rank"), F.lit(10)))
+    rows = feedback.withColumn("label", label).withColumn("by_rank", label).withColumn("first", (F.coalesce("rank", F.lit(10)) == 0).cast("double"))
+    rows = StringIndexer(inputCol="event_type", outputCol="kind", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows).transform(rows)
+    rows = VectorAssembler(inputCols=["by_rank", "first", "kind"], outputCol="features").transform(rows)
+    said = GBTRegressor(maxIter=trees, maxDepth=4, stepSize=0.1, seed=seed).fit(rows).transform(rows).drop("label").withColumnRenamed("prediction", "label")
+    ridge = LinearRegression(regParam=1.0 / 1000, elasticNetParam=0.0, standardization=False).fit(said.select("features", "label"))
+    bounded = [max(0.05, min(3.0, abs(float(c)))) for c in ridge.coefficients]
+    return feedback.sparkSession.createDataFrame([(i, round(w, 6)) for i, w in enumerate(bounded)], "slot int, weight double")

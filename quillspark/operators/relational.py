@@ -16,6 +16,60 @@ def lookup(rows: DataFrame, title: str, wanted: str, order: str, exact_first: bo
     return hits.join(F.broadcast(best)).where(F.col("match") == F.col("best") if exact_first else F.lit(True)).drop("best")
 
 
+def lookup_any(rows: DataFrame, aliases: DataFrame, key: str, title: str, alias: str, wanted: str) -> DataFrame:
+    """Rows with ``match``: those titled as wanted (0), else those whose title holds it (1), else those known by it under another name (2)."""
+    other = aliases.where(F.lower(F.col(alias)) == wanted.lower()).select(key).distinct().withColumn("_other", F.lit(2))
+    t = F.lower(F.col(title))
+    hits = rows.join(other, key, "left").withColumn("match", F.when(t == wanted.lower(), 0).when(t.contains(wanted.lower()), 1).otherwise(F.col("_other"))).where("match IS NOT NULL").drop("_other")
+    return hits.join(F.broadcast(hits.agg(F.min("match").alias("best"))), F.col("match") == F.col("best")).drop("best")
+
+
+# The four years' readings, and names of languages and versions.
+READINGS = ("ot", "nt", "bom", "dc")
+LANGUAGES = {"en": "English", "fr": "French", "de": "German", "es": "Spanish"}
+VERSIONS = {"en": "KJV", "fr": "LSG", "de": "LUT", "es": "RV"}
+VOLUMES = {3: "BoM", 4: "D&C", 5: "PGP"}
+
+
+def reading_group(year: Column) -> Column:
+    """What is read in a year: one of four in turn, from 2026 on."""
+    return F.get(F.array(*map(F.lit, READINGS)), F.pmod(year - 2026, F.lit(4)))
+
+
+def in_group(volume: Column, book: Column, group: Column) -> Column:
+    """Whether a book belongs to a year's reading, by its volume, or by its title."""
+    b = F.lower(book)
+    matthew, history = b.rlike(r"joseph smith\s*[—-]?\s*matthew|\bjs[-\s]?m\b"), b.rlike(r"joseph smith\s*[—-]?\s*history|\bjs[-\s]?h\b")
+    return (F.when(group == "ot", (volume == 1) | b.rlike(r"\bmoses\b|\babraham\b")).when(group == "nt", (volume == 2) | matthew).when(group == "bom", volume == 3)
+            .when(group == "dc", (volume == 4) | history | b.rlike(r"articles?\s+of\s+faith")).otherwise(False))
+
+
+def citation(lang: Column, volume: Column, second: Column) -> Column:
+    """How a version is cited: by version for the first two volumes, else by language; two of them as one against the other."""
+    of = lambda m: F.create_map(*[F.lit(x) for p in m.items() for x in p])
+    named, version = F.coalesce(F.try_element_at(of(LANGUAGES), lang), F.lit("English")), F.coalesce(F.try_element_at(of(VERSIONS), lang), F.upper(lang), F.lit(""))
+    two = F.when(volume >= 3, F.concat(named, F.lit(" vs "), F.coalesce(F.try_element_at(of(LANGUAGES), second), second))).otherwise(F.concat(version, F.lit(" vs "), F.coalesce(F.try_element_at(of(VERSIONS), second), F.upper(second))))
+    book = F.try_element_at(of(VOLUMES), volume)
+    return F.when(second.isNotNull(), two).when(volume >= 3, F.coalesce(F.concat(book, F.lit(", "), named), F.lit(""))).otherwise(version)
+
+
+def in_range(rows: DataFrame, spans: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows with ``share``: 1 where the value lies between ``low`` and ``high`` of its key, 0 where it does not, a half where the key has no span."""
+    return rows.join(spans, key, "left").withColumn("share", F.when(F.col("low").isNull() | F.col("high").isNull(), 0.5).when(F.col(value).between(F.col("low"), F.col("high")), 1.0).otherwise(0.0))
+
+
+def cursor_of(key: Column, offset: Column) -> Column:
+    """A cursor: base64 of JSON, with the signs that addresses allow."""
+    return F.rtrim(F.translate(F.regexp_replace(F.base64(F.encode(F.to_json(F.struct(key.alias("k"), offset.alias("o"))), "UTF-8")), r"\s", ""), "+/", "-_"), F.lit("="))
+
+
+def cursor_parts(cursor: Column) -> Column:
+    """``struct<k, o>`` of a cursor; null if it is none."""
+    text = F.translate(cursor, "-_", "+/")
+    padded = F.rpad(text, (F.ceil(F.length(text) / 4) * 4).cast("int"), F.lit("="))
+    return F.from_json(F.decode(F.unbase64(padded), "UTF-8"), "struct<k:string,o:bigint>")
+
+
 def holds_all(columns: list[Column], words: list[str]) -> Column:
     """Whether each word is in at least one of the columns, whatever its case."""
     one = lambda w: reduce(lambda a, b: a | b, [F.lower(c).contains(w.lower()) for c in columns])

@@ -95,6 +95,21 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     return c.agg(F.count("*").alias("n"), F.round(F.min("c"), 6).alias("least"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.percentile("c", 0.05), 6).alias("p5"))
 
 
+def spread(rows: DataFrame, value: str) -> DataFrame:
+    """One row: count, least, greatest and five percentiles of a column."""
+    shares = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    return rows.agg(F.count("*").alias("n"), F.round(F.min(value), 6).alias("least"), *[F.round(F.percentile(value, p), 6).alias(n) for n, p in shares.items()], F.round(F.max(value), 6).alias("most"))
+
+
+def explained(vectors: DataFrame, marks: tuple[int, ...] = (1, 2, 4, 8, 16, 32, 64)) -> DataFrame:
+    """``k, share``: how much of the variance the first k principal directions hold."""
+    _, c, n = covariance(vectors)
+    w = np.sort(np.linalg.eigvalsh(c))[::-1] if n else np.zeros(0)
+    total = max(float(w.sum()), 1e-12)
+    rows = [(k, round(float(w[:k].sum()) / total, 6)) for k in marks if k <= len(w)]
+    return vectors.sparkSession.createDataFrame(rows, "k int, share double")
+
+
 def as_ml(vectors: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import optional_table, table
+from ..lineage import small
 from ..operators import relational as R
 from .registry import register
 from .search import POSTS, TF, VOCAB, index
@@ -12,8 +13,8 @@ from .search import POSTS, TF, VOCAB, index
 
 def star(s, d):
     r, n, c, o = (table(s, d, t) for t in ("region", "nation", "customer", "orders"))
-    dims = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
-    rows = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(dims), c.c_nationkey == n.n_nationkey)
+    dims = n.join(r, n.n_regionkey == r.r_regionkey)
+    rows = o.join(c, o.o_custkey == c.c_custkey).join(small(dims), c.c_nationkey == n.n_nationkey)
     return rows.withColumn("title", F.format_string("%s %d:%d", "n_name", "c_custkey", "o_orderkey"))
 
 
@@ -24,7 +25,6 @@ register(
     lambda s, d: star(s, d).groupBy("r_name", "n_name").agg(F.count_distinct("c_custkey").alias("n_customers"), F.count("*").alias("n_orders"), F.min("o_orderkey").alias("first_id"), F.max("o_orderkey").alias("last_id")),
     f"WITH {STAR} SELECT r_name, n_name, count(DISTINCT c_custkey) AS n_customers, count(*) AS n_orders, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM star GROUP BY ALL",
 )
-register("ref_lookup", lambda s, d: R.lookup(table(s, d, "nation"), "n_name", "united", "n_nationkey").select("n_nationkey", "n_name", F.col("match").cast("long").alias("match")), "WITH h AS (SELECT n_nationkey, n_name, CASE WHEN lower(n_name) = 'united' THEN 0 WHEN contains(lower(n_name), 'united') THEN 1 END::BIGINT AS match FROM nation) SELECT * FROM h WHERE match = (SELECT min(match) FROM h)")
 register("like_scan", lambda s, d: table(s, d, "documents").where(R.holds_all([F.col("text"), F.col("source")], ["there", "src1", "ing"])).select("doc_id", "source"), "SELECT doc_id, source FROM documents WHERE " + " AND ".join(f"(contains(lower(text), '{w}') OR contains(lower(source), '{w}'))" for w in ("there", "src1", "ing")))
 register("literal_priority", lambda s, d: R.literal_first(table(s, d, "documents"), "text", "public license", F.col("doc_id"), 50).select("doc_id", "priority"), "SELECT doc_id, CASE WHEN contains(lower(text), 'public license') THEN 0 ELSE 1 END AS priority FROM documents ORDER BY 2, 1 LIMIT 50")
 register(

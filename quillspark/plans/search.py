@@ -128,7 +128,7 @@ register(
     "short_stems",
     lambda s, d: index(s, d).vocab.select("term", X.short_stem(F.col("term")).alias("stem")),
     f"""WITH {POSTS}, v AS (SELECT DISTINCT term FROM posts)
-    SELECT term, CASE """ + " ".join(f"WHEN term LIKE '%{e}' AND len(term) > {n} THEN substr(term, 1, len(term) - {len(e)})" for e, n in [("ing", 5), ("eth", 5), ("ness", 6), ("tions", 6), ("tion", 6), ("ed", 4), ("es", 4), ("s", 3)]) + " ELSE term END AS stem FROM v",
+    SELECT term, CASE """ + " ".join(f"WHEN term LIKE '%{e}' THEN substr(term, 1, len(term) - {len(e)})" for e in X.ENDINGS) + " WHEN term LIKE '%s' AND len(term) > 3 THEN substr(term, 1, len(term) - 1)" + " ELSE term END AS stem FROM v",
 )
 
 # Term statistics
