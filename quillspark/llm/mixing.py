@@ -56,16 +56,37 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return s.withColumn("target", F.when(F.col("full"), F.col("ceiling")).otherwise(unit * F.col("weight"))).select("source", "source_size", "n", "target")
 
 
+def _scaled(d: DataFrame, scratch: Scratch, most: float) -> DataFrame:
+    """Adds ``scale``: what liking is multiplied by, so that expected copies, none above ``most``, fill the source's target.
+
+    Documents that reach ``most`` stop there and the others share the rest, until no more of them do.
+    """
+    first = F.when(F.col("liked") > 0, F.col("target") / F.col("liked")).otherwise(0.0)
+    scales, stopped = d.groupBy("source").agg(F.max(first).alias("scale")), None
+    while True:
+        scales = scales.withColumnRenamed("source", "source_")
+        at = d.join(scales, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+        full = F.col("scale") * F.col("liking") >= most
+        sums = at.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.when(full, F.col("size")).otherwise(0)).alias("stopped"), F.sum(F.when(~full, F.col("size") * F.col("liking")).otherwise(0.0)).alias("open"), F.max("scale").alias("scale"))
+        sums = scratch.save(sums, f"scales{stopped}")
+        now = sums.agg(F.coalesce(F.sum("stopped"), F.lit(0))).first()[0]
+        if now == stopped:
+            return at
+        stopped = now
+        scales = sums.select("source", F.when(F.col("open") > 0, F.greatest("scale", (F.col("target") - most * F.col("stopped")) / F.col("open"))).otherwise(F.col("scale")).alias("scale"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most_copies: float = MOST_COPIES, seed: str = "mix", preference: str | None = None, key: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, copies, taken``, and ``key``.
 
-    ``preference`` names a positive column that raises or lowers a document's expected copies
-    against the others of its source. ``key`` names a column that tells rows apart and is returned
+    ``preference`` names a column that raises or lowers a document's expected copies
+    against the others of its source: null counts as 1, 0 and less is never taken. A source whose liked documents,
+    taken as often as they may, do not fill its target stays below it. ``key`` names a column that tells rows apart and is returned
     with them. Null texts have size 0 and, like empty ones, take no room.
     Repeated rows are ranked one after the other, in any order. An empty table gives no rows.
     """
     scratch = Scratch(spark, "mix")
-    liking = F.coalesce(F.col(preference).cast("double"), F.lit(1.0)) if preference else F.lit(1.0)
+    liking = F.greatest(F.lit(0.0), F.coalesce(F.col(preference).cast("double"), F.lit(1.0))) if preference else F.lit(1.0)
     own = [key] if key else []
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), liking.alias("liking"), *own)
     d = scratch.save(d, "sizes")
@@ -75,7 +96,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, *, weights=WEIGHTS, share:
     s = scratch.save(s, "targets").withColumnRenamed("source", "source_")
     d = d.join(s, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    expected = F.least(F.lit(float(most_copies)), mean * F.col("liking") / F.when(F.col("liked") > 0, F.col("liked") / F.col("source_size")).otherwise(1.0)) if preference else mean
+    expected = mean
+    if preference:
+        d = _scaled(d, scratch, most_copies)
+        expected = F.least(F.lit(float(most_copies)), F.col("scale") * F.col("liking"))
     d = d.withColumn("expected", expected).withColumn("sure", F.floor("expected")).withColumn("p", F.col("expected") - F.col("sure"))
     odds = lambda x: x / (1 - x)
     d = d.withColumn("u", uniform(seed)).withColumn("q", F.when(F.col("p") > 0, odds(F.col("u")) / odds(F.col("p"))))

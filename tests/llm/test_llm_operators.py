@@ -103,14 +103,14 @@ def test_cutting_stock_is_near_the_bound():
 
 
 def test_language(spark, docs, rows, none):
-    out = language_id.identify_languages(spark, docs.withColumnRenamed("score", "other")).toPandas()
+    out = language_id.identify_languages(spark, docs).toPandas()  # its column score is replaced
     assert len(out) == len(rows)
     blank = out["text"].map(lambda t: not any(c.isalpha() for c in t or ""))
     assert (out.loc[blank, "lang_pred"] == "und").all() and (out.loc[~blank, "lang_pred"] != "und").all()
     known = out[out["held_out"] & out["lang"].notna() & ~blank & (out["text"].str.len() > 60) & (out["doc_id"] < 60)]
     assert (known["lang_pred"] == known["lang"]).mean() > 0.9
     assert out["score"].between(0, 1).all()
-    assert language_id.identify_languages(spark, none.drop("score")).count() == 0
+    assert language_id.identify_languages(spark, none).count() == 0
 
 
 def test_mixing(spark, docs, rows, none):
@@ -349,3 +349,204 @@ def test_mixing_ranks_no_sure_copies(spark, monkeypatch):
     out = mixing.mix_sources(spark, docs)
     assert {r.copies for r in out.where("source = 'a'").collect()} == {2} and out.count() == 600
     assert saved["ranked"].groupBy("source", "bucket").count().agg(F.max("count")).first()[0] < 60
+
+
+def plain_languages(rows):
+    """The contract of language ID, letter by letter: ``[(predicted, score)]`` of rows ``(doc_id, text, lang)``."""
+    def bundle(text):
+        total, t = np.zeros(language_id.DIMS), [c if c.isalpha() else " " for c in f" {(text or '').lower()} "]
+        one = lambda c: np.ones(language_id.DIMS) if c == " " else language_id._letter(ord(c)).astype(float)
+        for a, b, c in zip(t, t[1:], t[2:]):
+            if b != " ":
+                total += np.roll(one(a), 2) * np.roll(one(b), 1) * one(c)
+        return total if any(c != " " for c in t) else None
+
+    vectors = [bundle(t) for _, t, _ in rows]
+    sums = {}
+    for (i, _, lang), v in zip(rows, vectors):
+        held = i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+        if lang is not None and not held and v is not None and np.linalg.norm(v) > 0:
+            sums[lang] = sums.get(lang, 0) + v / np.linalg.norm(v)
+    langs = sorted(sums)
+    p = np.stack([sums[x] / np.linalg.norm(sums[x]) for x in langs])
+    p = p - p.mean(0)
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    out = []
+    for v in vectors:
+        cos = p @ v / max(np.linalg.norm(v), 1e-12) if v is not None else None
+        out.append(("und", 0.0) if v is None else (langs[int(cos.argmax())], float(np.clip(cos.max(), 0, 1))))
+    return out
+
+
+def test_language_against_a_plain_version(spark, docs, rows):
+    some = [(x[0], x[1], x[2]) for x in rows if len(x[1] or "") < 2000]
+    frame = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    got = sorted((high(r.doc_id), r.lang_pred, round(r.score, 4)) for r in language_id.identify_languages(spark, frame).collect())
+    want = sorted((high(i), lang, round(score, 4)) for (i, _, _), (lang, score) in zip(some, plain_languages(some)))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(abs(a[2] - b[2]) < 2e-3 for a, b in zip(got, want))
+
+
+def test_samples_never_vanish():
+    from quillspark.llm.common import RANGE, share_of
+
+    for n in (1, 4_000, 4_001, 10**10, 10**14):
+        share = share_of(4_000, n)
+        assert 0 < share <= RANGE and abs(share / RANGE * n - min(n, 4_000)) <= max(1, 1e-6 * n)
+
+
+def test_ip_parts_are_numbers():
+    assert pii.valid("ip", "1.2.3.0000000255") and not pii.valid("ip", "1.2.3.0000000999") and not pii.valid("ip", "1.2.3.256")
+    assert pii.valid("ip", "0.0.0." + "0" * 5000) and not pii.valid("ip", "1.2.3.²")
+
+
+def test_words_with_hard_letters_are_encoded_whole():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from quillspark.llm.tokens import WordEncoder
+
+    t, r = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), random.Random(6)
+    texts = ["BİRİ, DEĞİL", "TÜRKÇESİ. ΟΔΟΣ, straße! ŉ. ǰ? ﬁre; don't x-y e\u0301. ½, 10%"]
+    texts += ["".join(r.choice("aİIıSſßΣσςéÅ .,!-'ǅŉ\u0307\u030812 ") for _ in range(40)) for _ in range(400)]
+    ids, ends = WordEncoder(None).encode(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def registered(spark, rows, tmp_path, name):
+    """A registered query over the small table as ``documents``."""
+    from quillspark.llm.registry import queries
+
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    return queries()[name](spark, str(tmp_path)).collect()
+
+
+def test_personal_data_query_whole(spark, rows, tmp_path):
+    """Counts, digest and spans of every text; what the tagger adds overlaps no base span and is of the form of its kind."""
+    extra = [(100, "ip 1.2.3.0000000999 and 255.255.255.255.1, c 4111-1111 1111 1111x a.b@c.d+e@f.g-h +12 (34) 567-89.0"), (101, None), (102, "a@b.c" * 400), (103, "1.2.3.4" + " 5500 0000 0000 0004" * 50)]
+    rows = [*rows, *[(i, t, "en", "s0", 0, 0, "", "") for i, t in extra]]
+    texts = {}
+    for x in rows:
+        texts.setdefault(high(x[0]), x[1] or "")
+    patterns = [re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), pii.IP, pii.CARD, pii.PHONE]
+    for r in registered(spark, rows, tmp_path, "op7_personal_data"):
+        text = texts[high(r.doc_id)]
+        good = [lambda s: True, lambda s: all(int(p) <= 255 for p in s.split(".")), lambda s: 13 <= len(pii.digits(s)) <= 19 and pii.luhn(pii.digits(s)), lambda s: 9 <= len(pii.digits(s)) <= 15]
+        base = [(k, *m.span()) for k in range(4) for m in patterns[k].finditer(text) if good[k](m.group())]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b[0] == k for b in base) for k in range(4))
+        shown = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest()
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert set(shown) <= {":".join(x) for x in spans}
+        for kind, a, b in spans:
+            if f"{kind}:{a}:{b}" not in shown:
+                a, b = int(a), int(b)
+                assert pii.plausible(pii.KINDS.index(kind), text[a:b]) and all(b <= y or a >= z for _, y, z in base)
+
+
+def test_windows_and_suffixes_queries(spark, rows, tmp_path):
+    got = registered(spark, rows, tmp_path, "op10_window_dedup")
+    want = window_dedup.remove_repeated_windows(spark, spark.createDataFrame(rows, SCHEMA).repartition(7), texts=False).collect()
+    key = lambda r: (high(r.doc_id), r.n_words, r.n_removed, r.kept_sha256)
+    assert sorted(map(key, got)) == sorted(map(key, want)) and any(r.n_removed for r in got)
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeated_bytes(spark, spark.createDataFrame(rows, SCHEMA), length=39)
+
+
+def test_texts_longer_than_a_chunk(spark):
+    """Two texts of five million bytes that share their middle, and a copy of one: chunks and partitions are smaller."""
+    words = lambda seed, n: " ".join(f"{random.Random(seed * 10**7 + i).randrange(10**6)}w" for i in range(n))
+    middle = words(9, 60_000)
+    texts = [words(1, 300_000) + " " + middle + " " + words(2, 300_000), words(3, 300_000) + " " + middle + " " + words(4, 300_000)]
+    docs = spark.createDataFrame([(0, texts[0]), (1, texts[1]), (2, texts[0])], "doc_id long, text string")
+    out = {r.doc_id: r for r in window_dedup.remove_repeated_windows(spark, docs, texts=False).collect()}
+    assert [out[i].n_removed for i in range(3)] == [660_000, 60_000, 660_000]
+    out = {r.doc_id: r for r in suffix_dedup.remove_repeated_bytes(spark, docs, texts=False).collect()}
+    assert out[0].n_removed == 0 and out[2].n_removed == out[2].n_bytes and len(middle) <= out[1].n_removed <= len(middle) + 8 and out[1].n_spans == 1
+
+
+def test_nearest_with_clashing_rows(spark):
+    r = np.random.default_rng(7)
+    v = r.normal(size=(60, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(100, [1.0] * 6), (5, v[5].tolist()), (7, (v[7] + 1).tolist()), (200, []), (None, v[0].tolist())]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [x for x in nearest.nearest_neighbours(spark, t, t.where("vec_id % 100 = 0")).collect()]
+    assert {x.query_id for x in got} == {0}  # vectors of six components take no part
+    seven = min(v[7].tolist(), (v[7] + 1).tolist())
+    own = {i: np.array(e) for i, e in enumerate(v)} | {7: np.array(seven)}
+    want = sorted((float(np.sqrt(((own[0] - e) ** 2).sum())), i) for i, e in own.items() if i)[:10]
+    assert [(x.vec_id, round(x.score, 9)) for x in sorted(got, key=lambda x: x.rank)] == [(i, round(d, 9)) for d, i in want]
+    many = nearest.nearest_neighbours(spark, t, t.where("vec_id < 20"), leaf=4, probes=10**6)
+    assert many.count() == 200
+
+
+def test_mixing_by_preference(spark):
+    """Unequal inclusion: what is preferred is taken more often; null counts as 1, 0 is never taken beyond need."""
+    rows = [(i, "five words in every text", "a" if i < 400 else "b", [None, 4.0, 0.0][i % 3]) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, liking double")
+    out = mixing.mix_sources(spark, docs, preference="liking").toPandas()
+    b = out[out["source"] == "b"]
+    share = [b[b["doc_id"] % 3 == k]["copies"].mean() for k in range(3)]
+    assert share[1] > share[0] > share[2] and abs(b["taken"].sum() - b["target"].iloc[0]) <= 5 and (out["taken"] <= 2 * out["size"]).all()
+
+
+def test_pipeline_against_plain_versions(spark, rows, tmp_path):
+    """Values after every stage against the five contracts run one by one in plain Python and DuckDB, with clashing columns."""
+    import duckdb
+
+    import corpus_pipeline as C
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = [x for x in rows if len(x[1] or "") < 3000]
+    schema = SCHEMA + ", digest string, key string, found string, row string, copies int"
+    docs = spark.createDataFrame([(*x, "d", "k", "f", "r", 3) for x in rows], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    same = lambda frame: sorted((high(r.doc_id), r.text or "", r.source or "", r.score, r.digest, r.key, r.found, r.row, r.copies) for r in frame.collect())
+    full = lambda xs: sorted((high(x[0]), x[1] or "", x[3] or "", "clash", "d", "k", "f", "r", 3) for x in xs)
+
+    left = [x for x, (lang, score) in zip(rows, plain_languages([(x[0], x[1], x[2]) for x in rows])) if lang != "und" and score >= C.LEAST_SCORE]
+    stage = C.language_id(spark, docs, str(tmp_path))
+    assert same(stage) == full(left) and stage.columns == docs.columns
+
+    best = {}
+    for x in left:
+        best.setdefault(squeezed(x[1]), []).append(x)
+    left = [min(g, key=lambda x: high(x[0])) for g in best.values()]
+    stage = C.exact_dedup(spark, stage, str(tmp_path)).cache()
+    assert same(stage) == full(left)
+
+    sets = [(x, {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}) for x in left for w in [split(re.sub("[A-Z]", lambda m: m.group().lower(), x[1]))]]
+    up = list(range(len(sets)))
+    top = lambda i: i if up[i] == i else top(up[i])
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        a, b = sets[i][1], sets[j][1]
+        if a and b and 100 * len(a & b) >= 75 * len(a | b):
+            up[top(j)] = top(i)
+    near = {}
+    for i, (x, _) in enumerate(sets):
+        near.setdefault(top(i), []).append(x)
+    left = [min(g, key=lambda x: high(x[0])) for g in near.values()]
+    stage = C.jaccard_join(spark, stage, str(tmp_path)).cache()
+    assert same(stage) == full(left)
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(x[0], x[1], x[3]) for x in left])
+    taken = {high(i): t // s if s else 0 for i, s, _, _, t in con.sql(mixing.OP3_SQL).fetchall()}
+    left = [x for x in left for _ in range(taken[high(x[0])])]
+    stage = C.source_mix(spark, stage, str(tmp_path)).cache()
+    assert same(stage) == full(left)
+
+    t, ids = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}
+    for x in left:
+        ids.setdefault(high(x[0]), []).append([*t.encode(x[1], add_special_tokens=False).ids, 1])
+    out = C.run(spark, str(tmp_path)).toPandas()
+    assert sorted(out.groupby(out["doc_id"].fillna(2**63))["length"].sum().astype(int)) == sorted(sum(map(len, v)) for v in ids.values())
+    for p in out.itertuples():
+        own = ids[2**63 if p.doc_id != p.doc_id else int(p.doc_id)]
+        assert any(zlib.crc32(np.array(i[p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32 for i in own)
+    for _, q in out.sort_values("offset").groupby("sequence_id"):
+        assert list(q["offset"]) == [0, *q["length"].cumsum()[:-1]] and q["length"].sum() <= 2048
