@@ -98,7 +98,7 @@ def first_of_each(rows: DataFrame, key: list[str], order: list) -> DataFrame:
 
 def overlay(base: DataFrame, other: DataFrame, key: list[str], text: str) -> DataFrame:
     """Base rows with the other's text where it has one, and which of the two it is."""
-    o = other.select(*key, F.col(text).alias("_other")).dropDuplicates(key)
+    o = other.groupBy(*key).agg(F.min(text).alias("_other"))
     joined = base.join(o, key, "left")
     return joined.withColumn("from_overlay", F.col("_other").isNotNull()).withColumn(text, F.coalesce("_other", text)).drop("_other")
 

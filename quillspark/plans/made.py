@@ -106,7 +106,7 @@ register("range_share", ranged, "WITH s AS (SELECT o_orderpriority, min(o_custke
 register("nearest_mention", lambda s, d: N.nearest(table(s, d, "lineitem").select(F.col("l_orderkey").alias("chapter"), F.col("l_linenumber").alias("at")), table(s, d, "lineitem").where("l_discount >= 0.09").select(F.col("l_orderkey").alias("chapter"), F.col("l_linenumber").alias("at"))).select("chapter", "at", "away"), "SELECT DISTINCT a.l_orderkey AS chapter, a.l_linenumber AS at, (SELECT min(abs(b.l_linenumber - a.l_linenumber)) FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_discount >= 0.09) AS away FROM lineitem a".replace(" AS at,", ' AS "at",'))
 register("skip_pairs", lambda s, d: E.near_pairs(events(s, d), "user_id", "item", 2), f"""WITH {EV}, p AS (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM e) SELECT a.item AS a, b.item AS b, count(*) AS n FROM p a JOIN p b ON a.user_id = b.user_id AND abs(a.i - b.i) BETWEEN 1 AND 2 WHERE a.item <> b.item GROUP BY ALL""")
 register("coordinate_overlay", lambda s, d: R.overlay(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("text")), table(s, d, "lineitem").where("l_quantity > 25").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_linestatus").alias("text")), ["l_orderkey", "l_linenumber", "l_partkey"], "text").select("l_orderkey", "l_linenumber", "text", "from_overlay"),
-    "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN l_linestatus ELSE l_returnflag END AS text, l_quantity > 25 AS from_overlay FROM lineitem")
+    "WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey, min(l_linestatus) AS t FROM lineitem WHERE l_quantity > 25 GROUP BY ALL) SELECT l_orderkey, l_linenumber, coalesce(t, l_returnflag) AS text, t IS NOT NULL AS from_overlay FROM lineitem LEFT JOIN o USING (l_orderkey, l_linenumber, l_partkey)")
 register("similarity_spread", lambda s, d: V.spread(V.top_similar(stated(s, d), vecs(s, d), 1_000_000), "similarity"), f"WITH {KNN.replace('rank <= 20', 'true')} SELECT count(*) AS n, round(min(similarity), 6) AS least, round(quantile_cont(similarity, 0.05), 6) AS p5, round(quantile_cont(similarity, 0.25), 6) AS p25, round(median(similarity), 6) AS p50, round(quantile_cont(similarity, 0.75), 6) AS p75, round(quantile_cont(similarity, 0.95), 6) AS p95, round(max(similarity), 6) AS most FROM knn WHERE query_id % 20 = 0")
 register("explained_variance", lambda s, d: V.explained(vecs(s, d)))
 register("spectral", lambda s, d: V.spectral(_edges(s, d), 8))
@@ -186,7 +186,7 @@ FRAGMENTS = r"""fw AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_r
 register("baseline_snapshot", snapshot, f"WITH {S.POSTS}, {S.TF}, {S.VOCAB}, {MULBERRY}, {FRAGMENTS}, {S.QUERY.replace('FROM benchmark', 'FROM fq')}, {S.BM25} SELECT * FROM best")
 register("impression_log", lambda s, d: sinks.impressions(S.bm25_topk(s, d).select("query_id", F.col("doc_id").alias("id"), "rank"), table(s, d, "events").where("event_type = 'click'").select((F.col("event_id") % 40).alias("query_id"), F.get_json_object("props", "$.k").cast("long").alias("id"))),
     f"WITH {S.POSTS}, {S.TF}, {S.VOCAB}, {S.QUERY}, {S.BM25}, c AS (SELECT event_id % 40 AS query_id, (props->>'k')::BIGINT AS id FROM events WHERE event_type = 'click') SELECT query_id, doc_id AS id, rank - 1 AS rank, 0 AS clicked FROM best UNION ALL SELECT c.query_id, c.id, rank - 1, 1 FROM c LEFT JOIN best ON best.query_id = c.query_id AND doc_id = c.id")
-register("retrain_triggers", lambda s, d: L.triggers(events(s, d).select("event_id", E.millis().alias("ms"))), f"WITH {EV}, c AS (SELECT event_id, ms, row_number() OVER (PARTITION BY ms // 3600000 ORDER BY ms, event_id) AS n FROM e) SELECT event_id, ms, n FROM c WHERE n % 20 = 0")
+register("retrain_triggers", lambda s, d: L.triggers(events(s, d).select("event_id", E.millis().alias("ms")), hour_ms=86_400_000), f"WITH {EV}, c AS (SELECT event_id, ms, row_number() OVER (PARTITION BY ms // 86400000 ORDER BY ms, event_id) AS n FROM e) SELECT event_id, ms, n FROM c WHERE n % 20 = 0")
 register("boosted_weights", lambda s, d: L.boosted_weights(events(s, d).select("event_type", F.col("item").alias("rank"))))
 register("cursor_round_trip", lambda s, d: table(s, d, "orders").select("o_orderkey", R.cursor_of(F.concat_ws("|", "o_orderpriority", "o_orderstatus"), F.col("o_orderkey")).alias("c")).select("o_orderkey", "c", R.cursor_parts(F.col("c")).alias("p")).select("o_orderkey", "c", "p.k", "p.o"),
     """SELECT o_orderkey, rtrim(translate(to_base64(encode('{"k":"' || o_orderpriority || '|' || o_orderstatus || '","o":' || o_orderkey || '}')), '+/', '-_'), '=') AS c, o_orderpriority || '|' || o_orderstatus AS k, o_orderkey AS o FROM orders""")
