@@ -15,7 +15,7 @@ import pyarrow as pa
 from .common import words
 
 TOKENIZER = "word_bpe_49k.json"
-CACHED = 900_000
+CACHED = 600_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Its lower case depends on what follows it, in Python alone.
 FINAL_SIGMA = "\u03a3"
