@@ -10,9 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
-    """The event table's files as a stream, as they arrive."""
+    """The event table's files as a stream, as they arrive: the table is one file or a folder of them."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/events.parquet*")
 
 
 def ingest(events: DataFrame, cap: float = 300_000.0) -> DataFrame:
