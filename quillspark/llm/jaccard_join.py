@@ -66,7 +66,7 @@ def _deal(size: int, parts: int):
             for batch in chunks(whole):
                 sets = list(shingle_sets(column(batch, "text"), size))
                 n = np.array([len(s) for s in sets], np.int64)
-                keys, checks = numbers(batch, "rk"), numbers(batch, "rc")
+                keys, checks = numbers(batch, "rk"), numbers(batch, "rc").astype(np.int8)  # 72 bits tell rows apart here
                 ids = column(batch, "doc_id").fill_null(2**63 - 1).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(n)), n)
                 if len(flat):
@@ -202,7 +202,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     docs = keyed(docs)
     parts = parts_for(docs, CHARS_PER_PART)
     sent = docs.mapInArrow(_deal(size, parts), BLOB).groupBy("part").applyInPandas(_count(parts), BLOB)
-    profiles = scratch.save(sent.groupBy("part").applyInPandas(_profile(percent), PROFILE), "profiles").withColumn("vertex", F.col("rk" if by_row else "doc_id"))
+    counted = scratch.save(sent, "counted")
+    scratch.tidy()  # all shingles are behind it, what goes on is a third of them
+    profiles = scratch.save(counted.groupBy("part").applyInPandas(_profile(percent), PROFILE), "profiles").withColumn("vertex", F.col("rk" if by_row else "doc_id"))
+    scratch.drop("counted")
     scratch.tidy()
 
     can = profiles.where("tokens IS NOT NULL")
