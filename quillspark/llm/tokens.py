@@ -15,12 +15,12 @@ import pyarrow as pa
 from .common import words
 
 TOKENIZER = "word_bpe_49k.json"
-CACHED = 600_000
+CACHED = 400_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Its lower case depends on what follows it, in Python alone.
 FINAL_SIGMA = "\u03a3"
 #: Bytes of text encoded at once.
-CHUNK = 16_000_000
+CHUNK = 8_000_000
 LOW = 24
 
 
