@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, mixing, nearest, packing, pii, suffix_dedup, token_rollup, window_dedup
+from . import exact_dedup, jaccard_join, language_id, line_quality, mixing, nearest, packing, pii, prefix_trie, suffix_dedup, token_rollup, va_clusters, window_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest": nearest.op8_nearest,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_window_dedup": window_dedup.op10_window_dedup,
+        "op11_conversation_trie": prefix_trie.op11_conversation_trie,
+        "op12_line_quality": line_quality.op12_line_quality,
+        "op13_centroid_clusters": va_clusters.op13_centroid_clusters,
     }
 
 
@@ -30,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": exact_dedup.OP5_SQL,
         "op9_jaccard_join": jaccard_join.OP9_SQL,
         "op10_window_dedup": window_dedup.OP10_SQL,
+        "op11_conversation_trie": prefix_trie.OP11_SQL,
+        "op13_centroid_clusters": va_clusters.OP13_SQL,
     }
