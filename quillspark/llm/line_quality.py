@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import CHUNK, RANGE, Scratch, chunks, column, columns_or_null, covered, rolling, share_of, window_starts, words
 
 #: Labelled documents of each quality that a field is fitted on, about; and pieces of them of so many lines.
-SAMPLE_DOCS, SAMPLE_PIECES, PIECE = 2_000, 4_000, 64
+SAMPLE_DOCS, SAMPLE_PIECES, PIECE = 1_500, 1_500, 32
 #: Windows of so many words are looked for again in the same text.
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED, LEAST_CONTENT = 20, 30, 0.5
@@ -111,6 +111,12 @@ def described(texts: pa.Array) -> Texts:
     return Texts(lines_of, words_of, word_at, by_line["chars"], by_line["symbols"], again, repeated, features, lines)
 
 
+def base_failed(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each text fails, its words, and those in repeated windows."""
+    n, repeat = np.diff(t.words_of), _sums(t.repeated, t.words_of)
+    return (n < LEAST_WORDS) | (100 * repeat > MOST_REPEATED * n), n, repeat
+
+
 @dataclass
 class Field:
     """A linear-chain conditional random field with two states."""
@@ -148,7 +154,7 @@ class Field:
         return states
 
 
-def fit(pieces: list[tuple[np.ndarray, int]], steps: int = 300, rate: float = 0.1, ridge: float = 1e-3) -> Field | None:
+def fit(pieces: list[tuple[np.ndarray, int]], steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Field | None:
     """The field that gives the labels' states the greatest likelihood. None if one of the two labels is not there."""
     if {label for _, label in pieces} != {CONTENT, BOILERPLATE}:
         return None
@@ -187,13 +193,14 @@ def fit(pieces: list[tuple[np.ndarray, int]], steps: int = 300, rate: float = 0.
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of every piece of ``PIECE`` lines, with the document's label."""
+    """Features of every piece of ``PIECE`` lines, with the document's label. What the base rules fail is not for the field to judge."""
     for whole in batches:
         for b in chunks(whole):
             t, quality, key = described(column(b, "text")), column(b, "quality").to_pylist(), column(b, "h").to_pylist()
             out: tuple[list, list, list] = ([], [], [])
+            failed = base_failed(t)[0]
             for i, (a, z) in enumerate(zip(t.lines_of[:-1], t.lines_of[1:], strict=True)):
-                for s in range(a, z, PIECE):
+                for s in range(a, a if failed[i] else z, PIECE):
                     out[0].append(key[i] ^ (s - a))
                     out[1].append(quality[i])
                     out[2].append(t.features[s : min(s + PIECE, z)].ravel())
@@ -228,11 +235,9 @@ def _judge(field: Field | None, texts: bool):
             for b in chunks(whole, CHUNK // 2):
                 t = described(column(b, "text"))
                 states = field.decode(t.features, t.lines_of) if field else np.zeros(len(t.chars), np.int8)
-                n_words = np.diff(t.words_of)
-                repeat = _sums(t.repeated, t.words_of)
+                failed, n_words, repeat = base_failed(t)
                 chars, content = _sums(t.chars, t.lines_of), _sums(np.where(states == CONTENT, t.chars, 0), t.lines_of)
                 share = content / np.maximum(chars, 1)
-                failed = (n_words < LEAST_WORDS) | (100 * repeat > MOST_REPEATED * n_words)
                 kept = ~failed & (share >= LEAST_CONTENT)
                 if texts:
                     lines = t.lines.to_pylist()
@@ -251,8 +256,8 @@ def line_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, texts:
     """One row per document with the columns of ``OUT``; ``content_text`` (its content lines) is null unless ``texts``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A document fails the base rules with fewer than 20 words, or with more than 30 % of
-    its words in windows of 8 words that come again in it. Null and empty texts have no words and fail. Without labels
-    of both qualities every line is content. Repeated rows are judged alike, each for itself. Other columns
+    its words in windows of 8 words that come again in it. Null and empty texts have no words and fail. Without documents of
+    both qualities that pass the base rules every line is content. Repeated rows are judged alike, each for itself. Other columns
     are not looked at. An empty table gives no rows.
     """
     rows = columns_or_null(docs, doc_id="long", text="string")

@@ -241,19 +241,19 @@ def _whole(a: Column, b: Column) -> Column:
     return F.unhex(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
 
 
-def with_prefixes(segments: DataFrame) -> DataFrame:
-    """Adds ``pre`` and ``post``: what identifies the turns before a segment, and those up to its end.
+def with_prefixes(segments: DataFrame, segment: int) -> DataFrame:
+    """Adds ``pre`` and ``post``: what identifies the turns before a segment, and those up to its end (null if it isn't full).
 
-    That of a whole segment is 128 bits of its number, turns and place, added without carry.
+    They are 128 bits of the number and turns of every full segment, added without carry.
     """
-    short = segments.withColumn("pre", F.lit(ROOT)).withColumn("post", F.lit(None).cast("binary"))
     digest = F.substring(F.unhex(F.sha2(F.concat(F.col("s").cast("string").cast("binary"), _chained(F.lit(ROOT), F.col("turns"))), 256)), 1, 16)
+    short = segments.withColumn("pre", F.lit(ROOT)).withColumn("post", F.when(F.size("turns") == segment, digest))
     long = segments.where("only = false").withColumn("digest", digest).select("c", "s", _half(F.col("digest"), 1).alias("x"), _half(F.col("digest"), 9).alias("y"))
     upto = W.partitionBy("c").orderBy("s")
     sums = {f"{x}{k}": F.expr(f"bit_xor({x})").over(upto.rowsBetween(W.unboundedPreceding, k)) for x in "xy" for k in (-1, 0)}
     sums = long.select("c", "s", *[F.coalesce(v, F.lit(0)).alias(k.replace("-1", "_pre").replace("0", "_post")) for k, v in sums.items()])
     named = sums.select("c", "s", _whole(F.col("x_pre"), F.col("y_pre")).alias("pre"), _whole(F.col("x_post"), F.col("y_post")).alias("post"))
-    named = segments.where("only = false").join(named, ["c", "s"])
+    named = segments.where("only = false").join(named, ["c", "s"]).withColumn("post", F.when(F.size("turns") == segment, F.col("post")))
     return short.where("only").select(*named.columns).union(named)
 
 
@@ -307,13 +307,12 @@ def conversation_trie(spark: SparkSession, conversations: DataFrame, heads: bool
     segments = scratch.save(rebuilt(spark, conversations, scratch, heads, segment).withColumn("only", F.col("total") <= segment), "segments")
     for name in ("counts", "placed"):
         scratch.drop(name)
-    named = with_prefixes(segments)
+    named = with_prefixes(segments, segment)
     goes_on = F.col("total") > (F.col("s") + 1) * segment
-    last = F.when(F.size("turns") == segment, F.coalesce("post", _chained(F.col("pre"), F.col("turns")))).otherwise(_chained(F.col("pre"), F.col("turns")))
+    last = F.coalesce("post", _chained(F.col("pre"), F.col("turns")))
     ends = scratch.save(ends_of(named.where(~goes_on).select(last.alias("key"), "c")), "ends")
     same = named.groupBy("s", "pre", "turns").agg(F.first("post", True).alias("post"), F.first("sizes").alias("sizes"), F.count("*").alias("n"), F.min("c").alias("least"), F.bool_or(goes_on).alias("goes_on"))
-    full = F.when(F.size("turns") == segment, F.coalesce("post", _chained(F.col("pre"), F.col("turns"))))
-    distinct = scratch.save(same.withColumn("post", full), "distinct")
+    distinct = scratch.save(same, "distinct")
     order = ["s", "pre", "turns"]
     local = scratch.save(distinct.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shards(segment), LOCAL), "local")
 
