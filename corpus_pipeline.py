@@ -2,12 +2,14 @@
 
 Each stage takes what its predecessor kept; ``run`` writes it as Parquet and reads it again, so
 that a lost executor costs one stage's tasks at most. All stages but the last return the columns
-of ``documents``. Nulls, empty texts, repeated rows and empty tables are as each operator defines.
+of ``documents``. Nulls, empty texts and empty tables are as each operator defines; other columns may
+be of any kind, maps too. Of rows that a stage takes for one document, the one whose whole row has
+the smallest hash stays, so reruns agree.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Scratch, free_name, row_check, row_key
@@ -30,21 +32,38 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
 
 
+def row_hash(seed: int, row: str = "row") -> Column:
+    """A hash of all columns, whatever their kinds. Null fields are left out of the JSON, so they differ from every value."""
+    return F.xxhash64(F.lit(seed), F.to_json(row))
+
+
+def one_of_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows themselves, one for each key: that of the smallest hash."""
+    least = F.min_by("row", F.struct(row_hash(1), row_hash(2)))
+    return rows.groupBy(*keys).agg(least.alias("row")).select("row.*")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those that resemble no language. Their lang stays as it is."""
+    """Drops documents without letters and those that resemble no language. Their lang stays as it is.
+
+    Where no document has a language there is nothing to resemble: all with letters stay.
+    """
     found = free_name(docs, "found")
-    rows = docs.withColumn(found, predictor(*train(whole_rows(docs).select("doc_id", "text", "lang")))(F.col("text").cast("string")))
+    langs, prototypes = train(whole_rows(docs).select("doc_id", "text", "lang"))
+    if not langs:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    rows = docs.withColumn(found, predictor(langs, prototypes)(F.col("text").cast("string")))
     kept = rows.where((F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= LEAST_SCORE))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each text: that of the smallest doc_id."""
+    """Keeps one row of each text: that of the smallest doc_id; of several of that doc_id see ``one_of_each``."""
     rows = whole_rows(docs)
     _, found = classes(spark, rows.select("doc_id", "text"), Scratch(spark, "exact"))
     rows = with_digest(rows).withColumn("keep_id", F.coalesce("doc_id", F.lit(LAST)))
     kept = rows.join(found.select("keep_id", "digest"), ["keep_id", "digest"], "left_semi")
-    return kept.dropDuplicates(["keep_id", "digest"]).select("row.*")
+    return one_of_each(kept, "keep_id", "digest")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,14 +73,13 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("rk").alias("key")))
     kept = found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias("key"))
     rows = rows.withColumn("key", row_key()).withColumn("rc", row_check())
-    return rows.join(kept, "key", "left_semi").dropDuplicates(["key", "rc"]).select("row.*")
+    return one_of_each(rows.join(kept, "key", "left_semi"), "key", "rc")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes whole copies of documents, as many as the mix says; a second copy is a row of its own."""
     rows = whole_rows(docs)
-    key = [F.xxhash64(F.lit(seed), *[F.col("row").getField(c) for c in docs.columns], F.concat(*[F.col("row").getField(c).isNull().cast("string") for c in docs.columns])) for seed in (1, 2)]
-    rows = rows.withColumn("key", F.concat_ws(":", *key))  # rows of one key are equal in every column
+    rows = rows.withColumn("key", F.concat_ws(":", row_hash(1), row_hash(2)))  # rows of one key are equal in every column
     copies = mix_sources(spark, rows.select("doc_id", "text", "source", "key"), key="key").groupBy("key").agg(F.sum("copies").alias("copies")).where("copies > 0")
     kept = rows.select("key", "row").dropDuplicates(["key"]).join(copies, "key")
     return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
