@@ -64,8 +64,11 @@ class TokenRollup:
         return sums.where("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self, name: str) -> None:
-        """Sums the committed batches into one. What it replaces is listed first, so a broken-off run changes nothing."""
-        names = self.committed()
+        """Sums the committed batches into one, once for each name. What it replaces is listed first, so a broken-off run changes nothing."""
+        fs, done = self._fs(f"{self.root}/batch=upto-{name}/_SUCCESS")
+        names = [n for n in self.committed() if n != f"batch=upto-{name}"]
+        if fs.exists(done) or not names:
+            return
         self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.mode("overwrite").json(f"{self.root}/replaced/batch=upto-{name}")
         rows = self.spark.read.schema(TOTALS).parquet(*[f"{self.root}/{n}" for n in names])
         rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.mode("overwrite").parquet(f"{self.root}/batch=upto-{name}")
