@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import BLOB, RANGE, Scratch, blob_frame, gather, scatter, share_of, together, unpack
+from .common import BLOB, RANGE, Scratch, blob_frame, gather, mix, scatter, share_of, together, unpack
 
 K = 10
 TREES = 6
@@ -36,6 +36,8 @@ QUERY_EVERY = 100
 QUERIES_PER_PART = 500
 #: Vectors of a leaf in one task, about; larger leaves are dealt to several, and their queries to all of these.
 LEAF_ROWS = 20_000
+#: Queries that meet a leaf's vectors in one task, about; if more open a leaf, its vectors go to several tasks.
+LEAF_QUERIES = 50_000
 
 
 class Forest:
@@ -103,7 +105,7 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in values])
 
 
-def _index(forest: Forest, trees: int, keep: int, salts: int):
+def _index(forest: Forest, trees: int, keep: int, salts: int, blocks: int):
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
@@ -111,12 +113,14 @@ def _index(forest: Forest, trees: int, keep: int, salts: int):
                 for i, own in enumerate(f["ids"]):
                     ids[i, : len(own)] = sorted(own)
                 for t in range(trees):
-                    yield blob_frame(scatter((t * 2**forest.depth + forest.leaves(x, t)) * salts + ids[:, 0] % salts, x, ids))
+                    part = (t * 2**forest.depth + forest.leaves(x, t)) * salts + ids[:, 0] % salts
+                    for block in range(blocks):
+                        yield blob_frame(scatter(part * blocks + block, x, ids))
 
     return go
 
 
-def _open(forest: Forest, probes: int, salts: int):
+def _open(forest: Forest, probes: int, salts: int, blocks: int):
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
@@ -124,7 +128,7 @@ def _open(forest: Forest, probes: int, salts: int):
                 opened = [forest.search(v, probes) for v in x]
                 row = np.repeat(np.arange(len(f)), [len(o) * salts for o in opened])
                 part = (np.concatenate(opened)[:, None] * salts + np.arange(salts)).ravel()
-                yield blob_frame(scatter(part, x[row], ids[row]))
+                yield blob_frame(scatter(part * blocks + (mix(ids[row].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64), x[row], ids[row]))
 
     return go
 
@@ -193,7 +197,12 @@ def commonest_length(vectors: DataFrame) -> int:
     return found["n"] if found else 0
 
 
-def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, leaf: int = LEAF, probes: int | None = None, sample: int = SAMPLE) -> DataFrame:
+def query_blocks(queries: int, probes: int, leaves: int, most: int) -> int:
+    """Into how many blocks queries are dealt, so that about ``most`` of them are in a group that holds a part of a leaf."""
+    return max(1, math.ceil(queries * min(probes, leaves) / leaves / most))
+
+
+def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, leaf: int = LEAF, probes: int | None = None, sample: int = SAMPLE, leaf_queries: int = LEAF_QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k nearest found for each query, nearest first, ties to the smaller vec_id.
 
     ``probes`` is the number of leaves that a query opens, by default what the sample asks for.
@@ -222,8 +231,9 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: DataFra
 
     asked = scratch.save(usable(queries).where(F.size("embedding") == dims), "asked")
     of = asked.groupBy("embedding").agg(F.min("vec_id").alias("query"))
-    opened = of.mapInPandas(_open(forest, probes, salts), BLOB)
-    index = distinct.mapInPandas(_index(forest, trees, keep, salts), BLOB)
+    blocks = query_blocks(of.count(), probes, trees * 2**depth, leaf_queries)
+    opened = of.mapInPandas(_open(forest, probes, salts, blocks), BLOB)
+    index = distinct.mapInPandas(_index(forest, trees, keep, salts, blocks), BLOB)
     parts = max(1, asked.count() // QUERIES_PER_PART)
     found = together(opened, index, "part", _rank(dims, keep, parts), BLOB)
     near = found.groupBy("part").applyInPandas(_merge(keep), "query long, vec_id long, score double")
