@@ -7,11 +7,16 @@ row overhead. A blob row is ``(part int, blob binary)``; Spark shuffles the rows
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+import inspect
 import math
 import re
 import struct
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,6 +70,31 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system. Spark keeps Python workers for later stages, and what they hold counts for the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidily(run: Callable) -> Callable:
+    """The function of a map or group, after which memory is given back: of a map at the end of the task."""
+
+    @functools.wraps(run)
+    def over_batches(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    @functools.wraps(run)
+    def over_group(frame: pd.DataFrame) -> pd.DataFrame:
+        out = run(frame)
+        give_back()
+        return out
+
+    return over_batches if inspect.isgeneratorfunction(run) else over_group
+
+
 def columns_or_null(df: DataFrame, **kinds: str) -> DataFrame:
     """Exactly the named columns, cast; a missing one is null. Extra columns cannot clash afterwards."""
     have = set(df.columns)

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOB, Scratch, blob_batch, blob_frame, by_key, chunks, column, connected, deal, dealt, keyed, mix, numbers, parts_for, rolling, scatter, to_rows, unpack, word_hashes
+from .common import BLOB, Scratch, blob_batch, blob_frame, by_key, chunks, column, connected, deal, dealt, keyed, mix, numbers, parts_for, rolling, scatter, tidily, to_rows, unpack, word_hashes
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -201,10 +201,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     scratch = Scratch(spark, "jaccard")
     docs = keyed(docs)
     parts = parts_for(docs, CHARS_PER_PART)
-    sent = docs.mapInArrow(_deal(size, parts), BLOB).groupBy("part").applyInPandas(_count(parts), BLOB)
+    sent = docs.mapInArrow(tidily(_deal(size, parts)), BLOB).groupBy("part").applyInPandas(tidily(_count(parts)), BLOB)
     counted = scratch.save(sent, "counted")
     scratch.tidy()  # all shingles are behind it, what goes on is a third of them
-    profiles = scratch.save(counted.groupBy("part").applyInPandas(_profile(percent), PROFILE), "profiles").withColumn("vertex", F.col("rk" if by_row else "doc_id"))
+    profiles = scratch.save(counted.groupBy("part").applyInPandas(tidily(_profile(percent)), PROFILE), "profiles").withColumn("vertex", F.col("rk" if by_row else "doc_id"))
     scratch.drop("counted")
     scratch.tidy()
 
@@ -217,12 +217,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     scratch.drop("profiles")  # shingles live on in the classes, once for equal sets
     nodes = classes.select("node", "n", "tokens", "counts")
 
-    postings = scratch.save(nodes.mapInPandas(_postings(percent), "token long, node long, n long, shared long, place long"), "postings")
-    histogram = nodes.mapInPandas(_places, "place long, tokens long").groupBy("place").agg(F.sum("tokens").alias("tokens")).orderBy("place").collect()  # 4096 rows at most
+    postings = scratch.save(nodes.mapInPandas(tidily(_postings(percent)), "token long, node long, n long, shared long, place long"), "postings")
+    histogram = nodes.mapInPandas(tidily(_places), "place long, tokens long").groupBy("place").agg(F.sum("tokens").alias("tokens")).orderBy("place").collect()  # 4096 rows at most
     run, cuts = np.cumsum([r["tokens"] for r in histogram]), []
     if len(run):
         cuts = sorted({int(histogram[int(np.searchsorted(run, run[-1] * i / fragments))]["place"]) for i in range(1, fragments)})
-    pieces = scratch.save(nodes.mapInPandas(_fragments(cuts), "node long, fragment int, own array<long>"), "fragments")
+    pieces = scratch.save(nodes.mapInPandas(tidily(_fragments(cuts)), "node long, fragment int, own array<long>"), "fragments")
     scratch.drop("classes")
     scratch.tidy()
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drawn, free_name, share_of
+from .common import drawn, free_name, give_back, share_of
 
 DIMS = 1024
 SEED = 7
@@ -136,6 +136,7 @@ def predictor(langs: list[str], prototypes: np.ndarray):
                     best = int(cos.argmax())
                     pred[i], score[i] = langs[best], min(1.0, max(0.0, float(cos[best])))
             yield pd.DataFrame({"lang_pred": pred, "score": score})
+        give_back()
 
     return predict
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, column, columns_or_null, row_key
+from .common import Scratch, chunks, column, columns_or_null, row_key, tidily
 from .tokens import CHUNK, WordEncoder
 
 CAPACITY = 2048
@@ -125,6 +125,7 @@ def cut(tokenizer: str | None):
                         crc.append(zlib.crc32(END_ID.to_bytes(4, "little"), c) if e == n + 1 else c)
                 pick = pa.array(docs, pa.int64())
                 yield pa.record_batch([doc_ids.take(pick), keys.take(pick), *[pa.array(x, pa.int64()) for x in (start, length, crc, tokens)]], ["doc_id", "rk", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder.forget()
 
     return run
 
@@ -138,7 +139,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str | None =
     """
     scratch = Scratch(spark, "pack")
     docs = columns_or_null(docs, doc_id="long", text="string").withColumn("rk", row_key())
-    pieces = scratch.save(docs.mapInArrow(cut(tokenizer), PIECES), "pieces").withColumn("cls", F.ceil(F.col("length") / STEP))
+    pieces = scratch.save(docs.mapInArrow(tidily(cut(tokenizer)), PIECES), "pieces").withColumn("cls", F.ceil(F.col("length") / STEP))
     found = {r["cls"]: r["count"] for r in pieces.groupBy("cls").count().collect()}  # CAPACITY / STEP rows at most
     table = slots(cutting_stock(found, CAPACITY // STEP))
 
@@ -156,7 +157,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str | None =
             at = np.searchsorted(table["key"], (f["cls"].to_numpy() << 48) + rank, "right") - 1
             yield f.drop(columns="rank").assign(sequence_id=table["first"][at] + (rank - table["low"][at]) // table["each"][at])
 
-    placed = ranked.select("doc_id", "rk", "start", "length", "ids_crc32", "doc_tokens", "cls", "rank").mapInPandas(assign, f"{PIECES}, cls long, sequence_id long")
+    placed = ranked.select("doc_id", "rk", "start", "length", "ids_crc32", "doc_tokens", "cls", "rank").mapInPandas(tidily(assign), f"{PIECES}, cls long, sequence_id long")
     before = W.partitionBy("sequence_id").orderBy(F.desc("length"), "rk", "start").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -47,9 +47,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Drops all words met so far."""
         self.index: dict[str, int] = {}
         self.cores: dict[str, int] = {}  # where a string's ids begin, and in the low bits how many there are
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
@@ -112,7 +113,7 @@ class WordEncoder:
         """The number of every word in the cache, which gets those it lacks."""
         distinct = coded.dictionary.to_pylist()
         if len(self.index) + len(distinct) > CACHED:
-            self._clear()
+            self.forget()
         own = list(map(self.index.get, distinct))
         lacking = [i for i, n in enumerate(own) if n is None]
         if lacking:
