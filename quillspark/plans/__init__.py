@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph, lanes, made, more, phrases, rank, reading, relational, search, texts, vector  # noqa: F401
+from . import graph, lanes, made, more, phrases, rank, reading, relational, search, stored, texts, vector  # noqa: F401
 from .registry import QUERIES, SQL
 
 

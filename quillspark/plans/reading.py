@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..catalog import table
 from ..functions.numeric import lcg, park_miller
+from ..lineage import shared_dir
 from ..operators import events as E
+from ..streaming import reviews as R
+from ..streaming.events import read_events, to_table
 from .registry import register
 
 EV = "e AS (SELECT *, epoch_us(ts) // 1000 AS ms, (props->>'k')::BIGINT AS item FROM events)"
@@ -77,3 +82,14 @@ register(
     """WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders) SELECT day::VARCHAR AS day, (dayofyear(day) - 1) // 7 + 1 AS week, dayofweek(day)::INT AS weekday, (((year(day) - 2026) % 4 + 4) % 4)::INT AS cycle,
     ((1664525::BIGINT * (dayofyear(day) + year(day) * 366) + 1013904223) % 4294967296) % 97 AS pick, ((dayofyear(day) + 7) * 16807 % 2147483647) % 97 AS other_pick FROM d""",
 )
+
+
+def reviews_of_a_stream(s, d):
+    """The review state after the event table has been read as a stream to its end."""
+    home = f"{shared_dir(s)}/reviews-{uuid.uuid4().hex}"
+    rows = read_events(s, d).where(F.col("event_type").isin("click", "purchase", "signup")).select(F.col("user_id").cast("long").alias("session"), F.get_json_object("props", "$.k").cast("long").alias("item"), "ts", "event_type")
+    to_table(R.review_stream(rows, "3650 days"), f"{home}/rows", f"{home}/checkpoint").awaitTermination()
+    return R.latest(s.read.schema(R.OUT).parquet(f"{home}/rows"))
+
+
+register("srs_stream", reviews_of_a_stream, f"WITH RECURSIVE {SRS} SELECT * FROM srs")
