@@ -42,7 +42,7 @@ HOT, HOT_COUNT = 8, 2**31 - 1
 #: Characters of text behind a partition of shingles; its reducer holds them all, with their documents.
 CHARS_PER_PART = 8_000_000
 PIVOT_ROUNDS = 2
-PROFILE = "rk long, doc_id long, n long, class_a long, class_b long, tokens binary, counts binary"
+PROFILE = "rk long, doc_id long, n long, class_a long, class_b long, tokens binary, orders binary"
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -106,7 +106,7 @@ def _count(parts: int):
 
 
 def _profile(percent: int):
-    """One row per document; with its repeated shingles, rarest first, if a partner can exist."""
+    """One row per document; with its repeated shingles, rarest first, if a partner can exist, and the binary orders of their counts."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         docs, have = [], []
@@ -128,7 +128,7 @@ def _profile(percent: int):
             if size and 100 * len(own) >= percent * size:
                 full = len(own) == size  # only then an equal set can exist
                 h = [mix(own ^ np.uint64(x)).sum().astype(np.int64) for x in (1, 2)] if full else [np.int64(key), np.int64(doc)]
-                rows.append((key, doc, size, h[0], h[1], own.tobytes(), counts.tobytes()))
+                rows.append((key, doc, size, h[0], h[1], own.tobytes(), np.log2(counts).astype(np.uint8).tobytes()))
             else:
                 rows.append((key, doc, size, np.int64(key), np.int64(doc), None, None))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PROFILE.split(", ")])
@@ -158,25 +158,25 @@ def _fragments(cuts: list[int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             out = []
-            for node, raw, counts in zip(f["node"], f["tokens"], f["counts"], strict=True):
+            for node, raw, orders in zip(f["node"], f["tokens"], f["orders"], strict=True):
                 tokens = np.frombuffer(raw, np.int64)
-                piece = np.searchsorted(np.array(cuts), _place(tokens, np.frombuffer(counts, np.int32)), "right")
+                piece = np.searchsorted(np.array(cuts), _place(tokens, np.frombuffer(orders, np.uint8)), "right")
                 out += [(node, p, tokens[piece == p]) for p in np.unique(piece)]
             yield pd.DataFrame(out, columns=["node", "fragment", "own"])
 
     return run
 
 
-def _place(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _place(tokens: np.ndarray, orders: np.ndarray) -> np.ndarray:
     """A coarse place in the global order: the binary order of the count, then the first bits of the shingle."""
-    return (np.log2(np.maximum(counts, 1)).astype(np.int64) << 6) + (tokens.view(np.uint64) >> np.uint64(58)).astype(np.int64)
+    return (orders.astype(np.int64) << 6) + (tokens.view(np.uint64) >> np.uint64(58)).astype(np.int64)
 
 
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(64 << 6, np.int64)
     for f in batches:
-        for raw, counts in zip(f["tokens"], f["counts"], strict=True):
-            total += np.bincount(_place(np.frombuffer(raw, np.int64), np.frombuffer(counts, np.int32)), minlength=len(total))
+        for raw, orders in zip(f["tokens"], f["orders"], strict=True):
+            total += np.bincount(_place(np.frombuffer(raw, np.int64), np.frombuffer(orders, np.uint8)), minlength=len(total))
     has = np.flatnonzero(total)
     yield pd.DataFrame({"place": has, "tokens": total[has]})
 
@@ -209,8 +209,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     scratch.tidy()
 
     can = profiles.where("tokens IS NOT NULL")
-    classes = can.groupBy("class_a", "class_b", "n").agg(F.min("vertex").alias("node"), F.count("*").alias("k"), F.min_by(F.struct("tokens", "counts"), "vertex").alias("s"))
-    classes = scratch.save(classes.select("class_a", "class_b", "n", "node", "k", "s.tokens", "s.counts"), "classes")
+    classes = can.groupBy("class_a", "class_b", "n").agg(F.min("vertex").alias("node"), F.count("*").alias("k"), F.min_by(F.struct("tokens", "orders"), "vertex").alias("s"))
+    classes = scratch.save(classes.select("class_a", "class_b", "n", "node", "k", "s.tokens", "s.orders"), "classes")
     member = can.select("vertex", "class_a", "class_b", "n").join(classes.where("k > 1").select("class_a", "class_b", "n", "node"), ["class_a", "class_b", "n"])
     member = scratch.save(member.select("vertex", "node").where("vertex <> node").distinct(), "members")
     rows = scratch.save(profiles.select("rk", "doc_id", "vertex", F.col("n").alias("n_shingles")), "rows")
