@@ -215,7 +215,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     member = scratch.save(member.select("vertex", "node").where("vertex <> node").distinct(), "members")
     rows = scratch.save(profiles.select("rk", "doc_id", "vertex", F.col("n").alias("n_shingles")), "rows")
     scratch.drop("profiles")  # shingles live on in the classes, once for equal sets
-    nodes = classes.select("node", "n", "tokens", "counts")
+    nodes = classes.select("node", "n", "tokens", "orders")
 
     postings = scratch.save(nodes.mapInPandas(tidily(_postings(percent)), "token long, node long, n long, shared long, place long"), "postings")
     histogram = nodes.mapInPandas(tidily(_places), "place long, tokens long").groupBy("place").agg(F.sum("tokens").alias("tokens")).orderBy("place").collect()  # 4096 rows at most
