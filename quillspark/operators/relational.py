@@ -159,3 +159,12 @@ def status_step(rows: DataFrame, result: str, attempts: int = 3) -> DataFrame:
     return rows.withColumn("attempts", F.col("attempts") + F.when((F.col("status") == "pending") & F.col(result).isNull(), 1).otherwise(0)).withColumn(
         "status", F.when((F.col("status") == "pending") & F.col(result).isNotNull(), "ai-ok").when((F.col("status") == "ai-ok") & (F.col(result) == 1), "ai-verified").when(F.col("attempts") >= attempts, "failed").otherwise(F.col("status"))
     )
+
+
+def any_overlap(rows: DataFrame, key: str, item: str, wanted: DataFrame) -> DataFrame:
+    """``key, overlaps``: whether a key has any of the wanted items, a short list that is one row for the join. Null items are none of them.
+
+    It is decided row by row before rows are grouped, so a key's items are never gathered.
+    """
+    list_ = F.broadcast(wanted.agg(F.collect_set(item).alias("_wanted")))
+    return rows.join(list_).groupBy(key).agg(F.coalesce(F.bool_or(F.array_contains("_wanted", F.col(item))), F.lit(False)).alias("overlaps"))

@@ -70,3 +70,13 @@ register(
     n AS (SELECT *, attempts + CASE WHEN status = 'pending' AND result IS NULL THEN 1 ELSE 0 END AS more FROM l)
     SELECT doc_id, more AS attempts, CASE WHEN status = 'pending' AND result IS NOT NULL THEN 'ai-ok' WHEN status = 'ai-ok' AND result = 1 THEN 'ai-verified' WHEN more >= 3 THEN 'failed' ELSE status END AS status FROM n""",
 )
+
+
+def popular_orders(s, d):
+    """Every order, with whether it holds any of the hundred parts that are ordered most."""
+    lines = table(s, d, "lineitem")
+    top = lines.groupBy("l_partkey").count().orderBy(F.desc("count"), "l_partkey").limit(100)
+    return R.any_overlap(lines, "l_orderkey", "l_partkey", top)
+
+
+register("any_overlap", popular_orders, "WITH top AS (SELECT l_partkey FROM lineitem GROUP BY l_partkey ORDER BY count(*) DESC, l_partkey LIMIT 100) SELECT l_orderkey, bool_or(l_partkey IN (SELECT l_partkey FROM top)) AS overlaps FROM lineitem GROUP BY l_orderkey")
