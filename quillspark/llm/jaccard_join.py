@@ -247,7 +247,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE
     links, shared = None, []
     mine = postings.withColumn("own", F.col("node"))
     for i in range(PIVOT_ROUNDS):  # the documents of a shingle against one of them
-        rank = F.struct(F.col("own") if i == 0 else -F.col("own"), F.col("node"))
+        alone = (F.col("n") - F.col("shared")) / F.col("n")  # what copies are made of has few shingles to itself and is near to all of them
+        rank = F.struct(alone, "node") if i == 0 else F.struct(-F.col("own"), alone, "node")
         pivot = mine.groupBy("token").agg(F.min(F.struct(rank, F.col("node").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("own").alias("oa"), F.col("place").alias("pa"))).alias("p"), F.count("*").alias("k"))
         pivot = scratch.save(pivot.where("k > 1").select("token", F.col("p.a").alias(f"pivot{i}"), "p.na", "p.sa", "p.oa", "p.pa"), f"pivots{i}")
         met = scratch.save(mine.join(pivot, "token"), f"met{i}")  # a shingle of one node pairs nothing, now or later
