@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -142,6 +144,37 @@ def rate_limited(events: DataFrame, key: list[str], per_minute: int) -> DataFram
     return events.groupBy(*key, minute.alias("minute")).agg(F.count("*").alias("n")).where(F.col("n") > per_minute)
 
 
+def first_event_windows(events: DataFrame, key: str, seconds: int, limit: int) -> DataFrame:
+    """``key, first_us, n, refused``: windows that begin with a key's first event after the last window has closed.
+
+    Such windows are a chain, unlike tumbling ones: where one begins depends on all before it. A slice of
+    time as long as a window, in which a key has no event, breaks the chain, so that each stretch between
+    empty slices is folded by itself. Events of one microsecond are counted before the shuffle; slices, not
+    events, are what a key is numbered by. A stretch is one group: it holds its distinct times, 16 bytes each.
+    Events without a time take no part; a null key is a key. An empty table has no windows.
+    """
+    width = seconds * 1_000_000
+    times = events.where(F.col("ts").isNotNull()).select(F.col(key).alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    times = times.groupBy("k", "at").agg(F.count("*").alias("n")).withColumn("slice", F.floor(F.col("at") / width))
+    order = W.partitionBy("k").orderBy("slice")
+    slices = times.select("k", "slice").distinct()
+    begins = F.coalesce(F.col("slice") - F.lag("slice").over(order) > 1, F.lit(True)).cast("long")
+    stretches = slices.withColumn("begins", begins).select(F.col("k").alias("k2"), F.col("slice").alias("slice2"), F.sum("begins").over(order).alias("stretch"))
+    rows = times.join(stretches, F.col("k").eqNullSafe(F.col("k2")) & (F.col("slice") == F.col("slice2"))).select("k", "stretch", "at", "n")
+
+    def fold(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("at", ignore_index=True)
+        at, total = f["at"].to_numpy(), np.append(0, np.cumsum(f["n"].to_numpy()))
+        cuts = [0]
+        while cuts[-1] < len(at):
+            cuts.append(int(np.searchsorted(at, at[cuts[-1]] + width)))
+        return pd.DataFrame({"k": f["k"].iloc[[0] * (len(cuts) - 1)].to_numpy(), "first_us": at[cuts[:-1]], "n": np.diff(total[cuts])})
+
+    kind = rows.schema["k"].dataType.simpleString()
+    found = rows.groupBy("k", "stretch").applyInPandas(fold, f"k {kind}, first_us long, n long")
+    return found.select(F.col("k").alias(key), "first_us", "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("refused"))
+
+
 def spaced_reviews(events: DataFrame) -> DataFrame:
     """``session, item, easiness, interval_days, repetitions, next_review_ms``: the review state after all qualifying events.
 

@@ -14,11 +14,11 @@ from ..lineage import keep, small
 
 
 def blocks(vectors: DataFrame, rows: int = 2_000) -> tuple[DataFrame, int]:
-    """Vectors packed as ``block, rows``: a matrix of about so many rows each; and how many blocks there are. Null vectors are left out."""
+    """Vectors packed as ``components, block, rows``: a matrix of about so many rows each, all of one length; and how many blocks there are. Null vectors are left out."""
     v = vectors.where(F.col("v").isNotNull())
     n = max(1, v.count() // rows)
-    keyed = v.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "id", "v")
-    return keyed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows")), n
+    keyed = v.select(F.size("v").alias("components"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "id", "v")
+    return keyed.groupBy("components", "block").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows")), n
 
 
 def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 20, least: float | None = None, digits: int = 6) -> DataFrame:
@@ -26,7 +26,8 @@ def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 20, least: floa
 
     Both sides are cut into blocks. A query block goes to every block of vectors; each pair is one matrix
     product, of which each query keeps its k best before anything else is shuffled. Memory is that of two blocks;
-    the work is queries times vectors, so give a stated set of queries. Null vectors take no part.
+    the work is queries times vectors, so give a stated set of queries. Null vectors take no part, and
+    vectors of different lengths are never compared.
     """
     a, _ = blocks(queries.selectExpr("query_id AS id", "v"))
     b, n = blocks(vectors)
@@ -50,8 +51,8 @@ def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 20, least: floa
                 i, j = i[nth < k], j[nth < k]
                 yield pd.DataFrame({"query_id": qi[i], "id": vi[j], "similarity": s[i, j]})
 
-    each = a.select(F.col("rows").alias("left"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    pairs = each.join(b.select("block", F.col("rows").alias("right")), "block").select("left", "right")
+    each = a.select("components", F.col("rows").alias("left"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    pairs = each.join(b.select("components", "block", F.col("rows").alias("right")), ["components", "block"]).select("left", "right")
     found = pairs.mapInPandas(best, "query_id long, id long, similarity double")
     found = found.where(F.col("similarity") > least) if least is not None else found
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))

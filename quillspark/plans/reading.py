@@ -51,6 +51,13 @@ register("rolling_pace", lambda s, d: E.pace(events(s, d), "user_id", (F.col("it
     p AS (SELECT event_id, round(avg(ratio) OVER w, 6) AS pace, count(ratio) OVER w AS n FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT event_id, pace, pace < 0.6 AND n >= 3 AS flow FROM p""")
 register("last5_distinct", lambda s, d: E.last_distinct(events(s, d), "user_id", "item"), f"WITH {EV} SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, item)::INT AS rank FROM e GROUP BY user_id, item QUALIFY rank <= 5")
 register("rate_limit", lambda s, d: E.rate_limited(events(s, d), ["event_type"], 1).withColumn("minute", E.millis("minute")), f"WITH {EV} SELECT event_type, epoch_us(date_trunc('minute', ts)) // 1000 AS minute, count(*) AS n FROM e GROUP BY 1, 2 HAVING count(*) > 1")
+register(
+    "first_event_windows",
+    lambda s, d: E.first_event_windows(events(s, d), "event_type", 3600, 5),
+    """WITH RECURSIVE e AS (SELECT event_type, epoch_us(ts) AS us FROM events),
+    w(event_type, first_us) AS (SELECT event_type, min(us) FROM e GROUP BY event_type UNION ALL SELECT w.event_type, min(e.us) FROM w JOIN e ON e.event_type = w.event_type AND e.us >= w.first_us + 3600000000 GROUP BY w.event_type)
+    SELECT w.event_type, first_us, count(*) AS n, greatest(count(*) - 5, 0) AS refused FROM w JOIN e ON e.event_type = w.event_type AND e.us >= first_us AND e.us < first_us + 3600000000 GROUP BY ALL""",
+)
 register("event_ingest", lambda s, d: events(s, d).select("event_id", F.least(F.col("value") * 1000, F.lit(300_000.0)).alias("dwell_ms"), F.col("event_type").isin("view", "click").alias("counts")), "SELECT event_id, least(value * 1000, 300000.0::DOUBLE) AS dwell_ms, event_type IN ('view', 'click') AS counts FROM events")
 
 

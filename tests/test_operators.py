@@ -242,3 +242,33 @@ def test_csv_over_several_lines(spark, tmp_path):
 
     (tmp_path / "x.csv").write_text('a,b\n1,"two\nlines, ""quoted"""\n2,plain\n')
     assert [tuple(r) for r in read_csv(spark, str(tmp_path / "x.csv"), "a int, b string").orderBy("a").collect()] == [(1, 'two\nlines, "quoted"'), (2, "plain")]
+
+
+def test_first_event_windows_against_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(key, rng.choice([0, 10**9]) + rng.randrange(0, 400_000_000)) for key in ("a", "b", None) for _ in range(60)]
+    rows += [("a", 7), ("a", 7), ("c", 59_999_999), ("c", 119_999_998), ("c", 119_999_999), ("d", None)]
+    frame = spark.createDataFrame(rows, "k string, us long").select("k", F.timestamp_micros("us").alias("ts"))
+    wanted = []
+    for key in {k for k, _ in rows}:
+        times, end = sorted(t for k, t in rows if k == key and t is not None), None
+        for t in times:
+            if end is None or t >= end:
+                end = t + 60_000_000
+                wanted.append([key, t, 0])
+            wanted[-1][2] += 1
+    found = E.first_event_windows(frame, "k", 60, 3).collect()
+    order = lambda rows: sorted(rows, key=str)
+    assert order([(r.k, r.first_us, r.n, r.refused) for r in found]) == order([(k, t, n, max(n - 3, 0)) for k, t, n in wanted])
+    assert E.first_event_windows(frame.limit(0), "k", 60, 3).count() == 0
+
+
+def test_vectors_of_other_lengths_are_not_compared(spark):
+    from quillspark.operators import vectors as V
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [0.9, 0.0, 0.1]), (5, [1.0]), (6, None)]
+    some = spark.createDataFrame(rows, "id long, v array<double>")
+    found = V.top_similar(some.selectExpr("id AS query_id", "v"), some).collect()
+    assert {(r.query_id, r.id) for r in found} == {(1, 2), (2, 1), (3, 4), (4, 3)}
