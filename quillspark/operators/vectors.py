@@ -96,6 +96,24 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     return c.agg(F.count("*").alias("n"), F.round(F.min("c"), 6).alias("least"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.percentile("c", 0.05), 6).alias("p5"))
 
 
+def neighbour_agreement(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``query_id, shared, jaccard, same_first, same_order``: how far two encoders rank alike.
+
+    Both sides are neighbours as ``top_similar`` gives them, over the same rows in two encodings. A query
+    that one side lacks shares nothing; empty sides give no rows.
+    """
+    sides = first.select("query_id", "id", F.col("rank").alias("x"), F.lit(None).cast("int").alias("y")).union(second.select("query_id", "id", F.lit(None).cast("int"), "rank"))
+    met = sides.groupBy("query_id", "id").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    both = F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull())
+    same = F.coalesce(F.col("x") == F.col("y"), F.lit(False))
+    return met.groupBy("query_id").agg(
+        both.alias("shared"),
+        F.round(both / F.count("*"), 6).alias("jaccard"),
+        F.coalesce(F.bool_or(same & (F.col("x") == 1)), F.lit(False)).alias("same_first"),
+        F.bool_and(same).alias("same_order"),
+    )
+
+
 def spread(rows: DataFrame, value: str) -> DataFrame:
     """One row: count, least, greatest and five percentiles of a column."""
     shares = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}

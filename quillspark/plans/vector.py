@@ -62,6 +62,22 @@ register("semantic_injection", lambda s, d: relational.upsert(
 register("encoder_agreement", lambda s, d: V.agreement(vecs(s, d).join(V.mean_vector(vecs(s, d), "label"), "label"), "v", "centroid"), f"WITH {CENT}, c AS (SELECT list_cosine_similarity(v, c) AS x FROM e JOIN cen USING (label)) SELECT count(*) AS n, round(min(x), 6) AS least, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.05), 6) AS p5 FROM c")
 
 
+def coarse(frame):
+    """The same vectors as an encoder of few bits gives them: components cut to eighths."""
+    return frame.withColumn("v", F.transform("v", lambda x: F.floor(x.cast("double") * 8) / 8))
+
+
+register(
+    "encoder_neighbours",
+    lambda s, d: V.neighbour_agreement(V.top_similar(stated(s, d), vecs(s, d), 10), V.top_similar(coarse(stated(s, d)), coarse(vecs(s, d)), 10)),
+    """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, list_transform(embedding::DOUBLE[], lambda x: floor(x * 8) / 8) AS w FROM embeddings),
+    sim AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS s, round(list_cosine_similarity(a.w, b.w), 6) AS t FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS x, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, id) AS y FROM sim)
+    SELECT query_id, count(*) FILTER (x <= 10 AND y <= 10) AS shared, round(count(*) FILTER (x <= 10 AND y <= 10) / count(*), 6) AS jaccard, bool_or(x = 1 AND y = 1) AS same_first, bool_and(x = y) AS same_order
+    FROM r WHERE x <= 10 OR y <= 10 GROUP BY query_id""",
+)
+
+
 def edges(s, d):
     e = knn(s, d, 10).select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.greatest("similarity", F.lit(0.0)).alias("w"))
     return e.union(e.select("b", "a", "w")).groupBy("a", "b").agg(F.max("w").alias("w")).where("w > 0")

@@ -272,3 +272,13 @@ def test_vectors_of_other_lengths_are_not_compared(spark):
     some = spark.createDataFrame(rows, "id long, v array<double>")
     found = V.top_similar(some.selectExpr("id AS query_id", "v"), some).collect()
     assert {(r.query_id, r.id) for r in found} == {(1, 2), (2, 1), (3, 4), (4, 3)}
+
+
+def test_agreement_of_two_rankings(spark):
+    from quillspark.operators import vectors as V
+
+    a = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 10, 1), (2, 11, 2), (3, 10, 1)], "query_id long, id long, rank int")
+    b = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 11, 1), (2, 12, 2)], "query_id long, id long, rank int")
+    found = {tuple(r) for r in V.neighbour_agreement(a, b).collect()}
+    assert found == {(1, 2, 1.0, True, True), (2, 1, 0.333333, False, False), (3, 0, 0.0, False, False)}
+    assert V.neighbour_agreement(a.limit(0), b.limit(0)).count() == 0
