@@ -129,6 +129,21 @@ def page(ranked: DataFrame, order: list, size: int, offset: int = 0) -> DataFram
     return rows.withColumn("more", more).withColumn("cursor", F.when(more, cursor)).withColumn("_n", F.row_number().over(W.orderBy(*order))).where(F.col("_n") <= size).drop("_n")
 
 
+def passages(texts: DataFrame, asked: DataFrame, id: str, size: int, offset: int = 0) -> DataFrame:
+    """A page of what each reference names: ``query_id, <id>, place, n``, n being the size of the whole.
+
+    ``texts`` have ``book, chapter, verse``, ``asked`` has ``query_id, ref`` as ``functions.text.reference`` gives it.
+    Books are known whatever their case; a reference without a verse takes its chapter. What cannot be read or is
+    nowhere has no rows. Sizes are summed before the shuffle, and a page's rows are all that a window sees.
+    """
+    ref = asked.select("query_id", F.lower("ref.book").alias("b"), F.col("ref.chapter").alias("c"), F.col("ref.verse").alias("v"))
+    met = (F.lower("book") == F.col("b")) & (F.col("chapter") == F.col("c")) & (F.col("v").isNull() | (F.col("verse") == F.col("v")))
+    hits = texts.join(ref.where("b IS NOT NULL"), met).select("query_id", id)
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(id))
+    shown = hits.withColumn("place", place).where(F.col("place") <= offset + size).where(F.col("place") > offset)
+    return shown.join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
+
+
 def upsert(base: DataFrame, change: DataFrame, key: list[str], policy: str = "replace") -> DataFrame:
     """Base rows under changes. ``replace``: the change wins; ``ignore``: the base wins; ``fill``: each column of the
     change that is not null wins; ``max``: each column's greater value. Rows on one side stay as they are."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import optional_table, table
+from ..functions import text as X
 from ..lineage import small
 from ..operators import relational as R
 from .registry import register
@@ -39,6 +40,23 @@ register(
     lambda s, d: R.overlay(table(s, d, "documents").select("doc_id", "text"), table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), ["doc_id"], "text").select("doc_id", F.md5("text").alias("digest"), "from_overlay"),
     "SELECT d.doc_id, md5(coalesce(b.text, d.text)) AS digest, b.text IS NOT NULL AS from_overlay FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id",
 )
+
+
+def passages(s, d):
+    """Sources as books, ids dealt to chapters and verses; references as people write them, every third with a verse."""
+    texts = table(s, d, "documents").select("doc_id", F.col("source").alias("book"), (F.col("doc_id") % 12 + 1).alias("chapter"), (F.col("doc_id") % 7 + 1).alias("verse"))
+    i = F.col("item_id")
+    text = F.concat(F.lit(" SRC"), i % 5, F.lit(" "), i % 13 + 1, F.when(i % 3 == 0, F.concat(F.lit(":"), i % 7 + 1)).otherwise(""))
+    return R.passages(texts, table(s, d, "benchmark").select(i.alias("query_id"), X.reference(text, {}).alias("ref")), "doc_id", 20, 1)
+
+
+register(
+    "passages",
+    passages,
+    """WITH q AS (SELECT item_id AS query_id, 'src' || item_id % 5 AS b, item_id % 13 + 1 AS c, CASE WHEN item_id % 3 = 0 THEN item_id % 7 + 1 END AS v FROM benchmark)
+    SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id)::INT AS place, count(*) OVER (PARTITION BY query_id) AS n
+    FROM q JOIN documents ON lower(source) = b AND doc_id % 12 + 1 = c AND (v IS NULL OR doc_id % 7 + 1 = v) QUALIFY place BETWEEN 2 AND 21""",
+)
 register("language_catalog", lambda s, d: optional_table(s, d, "translations", "doc_id long, lang string, text string").join(table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n")), "lang", "right").select("lang", "n", F.col("text").isNull().alias("falls_back")).distinct(), "SELECT lang, count(*) AS n, true AS falls_back FROM documents GROUP BY lang")
 register("anti_unread", lambda s, d: table(s, d, "part").select("p_partkey").join(table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti"), "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
 register("semi_topic", lambda s, d: table(s, d, "orders").select("o_orderkey").join(table(s, d, "lineitem").where(F.col("l_partkey").isin(1, 7, 42, 99)).select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi"), "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_partkey IN (1, 7, 42, 99))")

@@ -282,3 +282,12 @@ def test_agreement_of_two_rankings(spark):
     found = {tuple(r) for r in V.neighbour_agreement(a, b).collect()}
     assert found == {(1, 2, 1.0, True, True), (2, 1, 0.333333, False, False), (3, 0, 0.0, False, False)}
     assert V.neighbour_agreement(a.limit(0), b.limit(0)).count() == 0
+
+
+def test_passages_by_chapter_and_verse(spark):
+    texts = spark.createDataFrame([(1, "Genesis", 1, 1), (2, "genesis", 1, 2), (3, "GENESIS", 1, 2), (4, "Exodus", 1, 1), (5, None, 1, 1), (6, "Genesis", None, 1)], "id long, book string, chapter int, verse int")
+    asked = spark.createDataFrame([(1, "Genesis 1"), (2, "gen 1:2"), (3, "Exodus 9"), (4, "nothing"), (5, None)], "query_id long, t string").select("query_id", X.reference(F.col("t"), {"gen": "Genesis"}).alias("ref"))
+    found = lambda size, offset: {tuple(r) for r in R.passages(texts, asked, "id", size, offset).collect()}
+    assert found(9, 0) == {(1, 1, 1, 3), (1, 2, 2, 3), (1, 3, 3, 3), (2, 2, 1, 2), (2, 3, 2, 2)}
+    assert found(1, 1) == {(1, 2, 2, 3), (2, 3, 2, 2)}
+    assert R.passages(texts.limit(0), asked, "id", 5).count() == 0
