@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import table
 from ..functions import text as X
-from ..operators import fts, termstats
+from ..operators import fts, latent, termstats
 from .registry import register
 
 TOK = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s-]', ' ', 'g'), '\s+'), lambda t: len(t) >= 2)"
@@ -151,6 +151,17 @@ associations = lambda s, d: termstats.associations(index(s, d))
 register("npmi_top10", associations, f"WITH {POSTS}, {TF}, {VOCAB}, {NPMI} SELECT * FROM assoc")
 register("tfidf_sublinear", lambda s, d: termstats.tf_idf(index(s, d)), f"WITH {POSTS}, {TF}, {VOCAB} SELECT tf.doc_id, tf.term, round((1 + ln(tf.tf)) * (ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (v.df + 1.0::DOUBLE)) + 1), 6) AS weight FROM tf JOIN vocab v ON v.term = tf.term WHERE v.df BETWEEN 3 AND 30000")
 
+
+
+def tfidf_svd(s, d):
+    """Documents among the first 100 directions of their weighted terms."""
+    cells = termstats.tf_idf(index(s, d)).select(F.col("doc_id").alias("row"), F.col("term").alias("col"), F.col("weight").alias("w"))
+    found = latent.factor(cells)
+    return latent.embedded(found) if found else s.createDataFrame([], "id long, v array<double>")
+
+
+register("tfidf_svd", tfidf_svd)
+
 # Full-text search
 
 BM25 = """lens AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY doc_id),
