@@ -127,6 +127,63 @@ def query_walk(seeds: DataFrame, relations: list[DataFrame], alpha: float = 0.8,
     return state.select("query_id", "id", F.round(F.col("s") / best, 6).alias("score"))
 
 
+def profiled_walk(seeds: DataFrame, profiles: DataFrame, edges: DataFrame, asked: DataFrame, members: DataFrame, walks: DataFrame, least: int = 3) -> DataFrame:
+    """``query_id, id, score``: a walk from each query's results by that query's own profile, the greatest score 1; all queries in one table.
+
+    ``profiles(query_id, damping, hops, rounds, seeds, neighbours, references, topic_edges)``; ``seeds(query_id, id, weight)``, of
+    which the heaviest ``seeds`` count; with fewer than ``least`` a query does not walk, nor without a profile.
+    ``edges(kind, src, id, w, n)``: the n-th edge of an item, ``near`` or ``reference``, as far as the profile asks for. Topics that
+    a query asks for, ``asked(query_id, topic)``, lead from their ``members(item, topic)`` to the first items of
+    ``walks(topic, item, score, rank)``. Of parallel edges the heaviest counts. The frontier of a query grows by its hops; what
+    lies beyond has no way out. A query rests after its rounds. Each hop and round is a written table.
+    """
+    p = keep(profiles, "profiles")
+    most = p.agg(F.coalesce(F.max("hops"), F.lit(0)), F.coalesce(F.max("rounds"), F.lit(0))).first()
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("weight"), "id"))
+    per = W.partitionBy("query_id")
+    start = seeds.where("weight > 0").withColumn("place", place).join(p.select("query_id", "seeds"), "query_id").where("place <= seeds")
+    start = start.withColumn("count", F.count("*").over(per)).where(F.col("count") >= least)
+    start = keep(start.select("query_id", "id", (F.col("weight") / F.sum("weight").over(per)).alias("s")), "seeds")
+    edges, walks, members = keep(edges.where("w > 0"), "edges"), keep(walks, "walks"), members.select(F.col("item").alias("src"), "topic").distinct()
+
+    def out_of(frontier: DataFrame) -> DataFrame:
+        f = frontier.withColumnRenamed("id", "src").join(p, "query_id")
+        plain = f.join(edges, "src").where(F.col("n") <= F.when(F.col("kind") == "near", F.col("neighbours")).otherwise(F.col("references"))).select("query_id", "src", "id", "w")
+        first = walks.where(F.col("score") > 0).select("topic", F.col("item").alias("id"), (0.55 * F.sqrt("score")).alias("w"), "rank")
+        by = f.where("topic_edges > 0").join(asked.distinct(), "query_id").join(members, ["src", "topic"]).join(first, "topic").where("rank <= topic_edges + 1 AND id <> src")
+        nth = F.row_number().over(W.partitionBy("query_id", "src", "topic").orderBy("rank"))
+        topical = by.withColumn("nth", nth).where("nth <= topic_edges").select("query_id", "src", "id", "w")
+        found = plain.unionByName(topical).groupBy("query_id", "src", "id").agg(F.max("w").alias("w"))
+        return found.select("query_id", "src", F.col("id").alias("to"), (F.col("w") / F.sum("w").over(W.partitionBy("query_id", "src"))).alias("p"))
+
+    visited = frontier = start.select("query_id", "id")
+    ways = None
+    for hop in range(most[0]):
+        frontier = frontier.join(p.where(F.col("hops") > hop).select("query_id"), "query_id", "left_semi")
+        found = keep(out_of(frontier), "ways")
+        ways = found if ways is None else ways.unionByName(found)
+        frontier = found.select("query_id", F.col("to").alias("id")).distinct().join(visited, ["query_id", "id"], "left_anti")
+        if hop < most[0] - 1:
+            frontier = keep(frontier, "frontier")
+            visited = visited.unionByName(frontier)
+    moving = start.join(p.select("query_id", "damping", "rounds"), "query_id")
+    home = moving.select("query_id", "id", "damping", "rounds", ((1 - F.col("damping")) * F.col("s")).alias("s"))
+    state, rested = moving.select("query_id", "id", "damping", "rounds", "s"), None
+    for i in range(most[1] + 1):
+        still = state.where(F.col("rounds") <= i).select("query_id", "id", "s")
+        rested = still if rested is None else rested.unionByName(still)
+        if i == most[1]:
+            break
+        goes = state.where(F.col("rounds") > i)
+        new = home.where(F.col("rounds") > i)
+        if ways is not None:
+            moved = goes.withColumnRenamed("id", "src").join(ways, ["query_id", "src"])
+            new = new.unionByName(moved.select("query_id", F.col("to").alias("id"), "damping", "rounds", (F.col("damping") * F.col("s") * F.col("p")).alias("s")))
+        state = keep(new.groupBy("query_id", "id", "damping", "rounds").agg(F.sum("s").alias("s")), "walk")
+    best = F.max("s").over(per)
+    return rested.where("s > 0").select("query_id", "id", F.round(F.col("s") / best, 6).alias("score"))
+
+
 def related(similar: DataFrame, walks: DataFrame, sets: DataFrame, group: DataFrame, ranks: DataFrame, topic_walks: DataFrame, k: int = 10) -> DataFrame:
     """``src, dst, score, rank``: similarity, walks, shared sets, topic walks and rank in one score, items of the same group left out.
 

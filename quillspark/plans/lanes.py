@@ -9,10 +9,10 @@ from ..catalog import table
 from ..functions.numeric import confidence
 from ..functions.text import slug, tokens
 from ..lineage import keep
-from ..operators import fts, lanes as L, vectors as V
-from . import search as S
+from ..operators import fts, graphs, lanes as L, vectors as V
+from . import graph as G, search as S
 from .reading import EV, events
-from .registry import register
+from .registry import QUERIES, SQL, register
 from .vector import CENT, KNN, UNIT, knn, stated, vecs
 
 
@@ -98,6 +98,41 @@ register("walk_profiles", lambda s, d: L.walk_profiles(query_intents(s, d), inte
     SELECT query_id, intent, damping, hops, rounds, seeds, influence, neighbours, "references", CASE WHEN h % 4 = 0 THEN we WHEN h % 3 > 0 THEN wt ELSE wo END AS topic_edges FROM intent JOIN p ON name = intent""")
 
 
+def profiled(s, d):
+    """Walks from the neighbours of each query's vector, by the profile of its intent; its topics are those of the item of its number."""
+    p = W_PROFILES(s, d)
+    near = keep(knn(s, d), "near")
+    seeds = near.select("query_id", "id", (0.12 + 0.24 * F.greatest("similarity", F.lit(0.0)) + 0.28).alias("weight"))
+    edges = near.select(F.lit("near").alias("kind"), F.col("query_id").alias("src"), "id", (F.greatest("similarity", F.lit(0.0)) * F.exp(-0.1 * (F.col("rank") - 1))).alias("w"), F.col("rank").alias("n"))
+    ids = vecs(s, d).select("id")
+    refs = ids.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("n")).withColumn("id", F.col("src") + F.col("n")).join(ids, "id", "left_semi")
+    edges = edges.unionByName(refs.select(F.lit("reference").alias("kind"), "src", "id", (0.74 * F.exp(-0.12 * (F.col("n") - 1))).alias("w"), "n"))
+    topics = keep(G.named(s, d), "named")
+    walks = G.topic_ppr(s, d).select(F.col("seed").alias("topic"), "item", "score", "rank")
+    return graphs.profiled_walk(seeds, p, edges, topics.select(F.col("item").alias("query_id"), "topic"), topics, walks)
+
+
+def ways_sql(frontier: str) -> str:
+    return f"""SELECT query_id, src, dst, w / sum(w) OVER (PARTITION BY query_id, src) AS p FROM (SELECT query_id, src, dst, max(w) AS w FROM (
+      SELECT f.query_id, src, dst, w FROM {frontier} f JOIN pf USING (query_id) JOIN ed ON src = f.id WHERE n <= CASE kind WHEN 'near' THEN neighbours ELSE "references" END
+      UNION ALL SELECT query_id, src, dst, w FROM (SELECT f.query_id, f.id AS src, tp.item AS dst, 0.55::DOUBLE * sqrt(tp.score) AS w, topic_edges, row_number() OVER (PARTITION BY f.query_id, f.id, a.topic ORDER BY tp.rank) AS nth
+        FROM {frontier} f JOIN pf USING (query_id) JOIN nm a ON a.item = f.query_id JOIN nm b ON b.item = f.id AND b.topic = a.topic JOIN tp ON tp.seed = a.topic AND tp.item <> f.id WHERE topic_edges > 0) WHERE nth <= topic_edges) GROUP BY ALL)"""
+
+
+def rounds_sql(n: int) -> str:
+    return ", ".join(f"""r{i} AS (SELECT query_id, id, sum(s) AS s FROM (SELECT query_id, id, (1 - damping) * s AS s FROM sd JOIN pf USING (query_id) WHERE rounds >= {i}
+      UNION ALL SELECT r.query_id, dst, damping * s * p FROM r{i - 1} r JOIN pf USING (query_id) JOIN wy ON wy.query_id = r.query_id AND src = r.id WHERE rounds >= {i} UNION ALL SELECT r.query_id, r.id, s FROM r{i - 1} r JOIN pf USING (query_id) WHERE rounds < {i}) GROUP BY ALL)""" for i in range(1, n + 1))
+
+
+W_PROFILES = QUERIES["walk_profiles"]
+register("profiled_walk", profiled, f"""WITH pf AS MATERIALIZED ({SQL["walk_profiles"]}), kn AS MATERIALIZED ({SQL["knn_graph"]}), tp AS MATERIALIZED ({SQL["topic_ppr"]}), nm AS MATERIALIZED (WITH {G.NAMED} SELECT * FROM br),
+    ed AS MATERIALIZED (SELECT 'near' AS kind, query_id AS src, id AS dst, similarity * exp(-0.1::DOUBLE * (rank - 1)) AS w, rank AS n FROM kn WHERE similarity > 0 UNION ALL SELECT 'reference', a.vec_id, b.vec_id, 0.74::DOUBLE * exp(-0.12::DOUBLE * (n - 1)), n FROM embeddings a, unnest(range(1, 7)) AS t(n), embeddings b WHERE b.vec_id = a.vec_id + n),
+    sd AS MATERIALIZED (SELECT query_id, id, w / sum(w) OVER (PARTITION BY query_id) AS s FROM (SELECT query_id, id, 0.12::DOUBLE + 0.24::DOUBLE * greatest(similarity, 0) + 0.28::DOUBLE AS w, count(*) OVER (PARTITION BY query_id) AS c FROM kn JOIN pf USING (query_id) WHERE rank <= seeds) WHERE c >= 3),
+    w0 AS MATERIALIZED ({ways_sql("sd")}), f1 AS MATERIALIZED (SELECT DISTINCT w0.query_id, dst AS id FROM w0 JOIN pf USING (query_id) WHERE hops > 1 AND NOT EXISTS (SELECT 1 FROM sd WHERE sd.query_id = w0.query_id AND sd.id = dst)),
+    wy AS MATERIALIZED (SELECT * FROM w0 UNION ALL {ways_sql("f1")}), r0 AS (SELECT * FROM sd), {rounds_sql(5)}
+    SELECT query_id, id, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score FROM r5""")
+
+
 def results(s, d, k=20):
     """Every stated query's neighbours as a result list."""
     return V.top_similar(stated(s, d), vecs(s, d), k).select("query_id", "id", F.col("similarity").alias("score"), "rank")
