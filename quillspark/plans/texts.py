@@ -9,6 +9,7 @@ from ..catalog import table
 from ..functions import text as X
 from ..functions.numeric import park_miller
 from ..functions.stem import stemmed
+from ..operators import markup
 from . import search as S
 from .registry import register
 
@@ -111,3 +112,32 @@ def qualified(s, d):
 register("qualifiers", qualified, """WITH o AS (SELECT o_orderkey, upper(substr(split_part(o_orderpriority, '-', 2), 1, 1)) || lower(substr(split_part(o_orderpriority, '-', 2), 2)) AS name FROM orders),
     q AS (SELECT name, CASE o_orderkey % 6 WHEN 0 THEN 'Amos' WHEN 1 THEN 'Elder' WHEN 2 THEN name || ' in the land' WHEN 4 THEN 'Ruth' WHEN 5 THEN 'judge' END AS qualifier FROM o UNION ALL SELECT name, CASE o_orderkey % 4 WHEN 0 THEN 'King ' || name WHEN 1 THEN 'the city of ' || name END FROM o),
     c AS (SELECT name, qualifier, count(*) AS n FROM q WHERE qualifier IS NOT NULL GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, qualifier)::INT AS rank FROM c QUALIFY rank <= 10""")
+
+
+def marked(s, d):
+    """Pages whose links lead to notes of the page itself, and whose paragraphs' short first sentences are headings with an anchor."""
+    html = F.regexp_replace("html", r'<li><a href="/([^"]+)">([^<]*)</a></li>', r'<a href="#$1">$2</a><li id="$1">$2 <i>noted</i></li>')
+    return table(s, d, "pages").select(F.col("page_id").alias("id"), F.regexp_replace(html, r"<p>([^.<]{1,20})\.", r'<h2>$1<a href="#$1">*</a></h2><p>').alias("html"))
+
+
+def _stripped_sql(x: str) -> str:
+    return rf"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
+MARKED = r"""h AS (SELECT page_id AS id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<li><a href="/([^"]+)">([^<]*)</a></li>', '<a href="#\1">\2</a><li id="\1">\2 <i>noted</i></li>', 'g'), '<p>([^.<]{1,20})\.', '<h2>\1<a href="#\1">*</a></h2><p>', 'g'),
+      '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS html FROM pages WHERE html IS NOT NULL),
+    a AS (SELECT id, string_split(regexp_replace(' ' || html, '(?i)(<h[1-6]\b[^>]*>)', chr(1) || '\1', 'g'), chr(1)) AS p FROM h),
+    b AS (SELECT id, i::INT - 1 AS section, p[i] AS part FROM a, unnest(range(1, len(p) + 1)) AS t(i)), c AS (SELECT *, CASE WHEN section = 0 THEN 0 ELSE regexp_extract(part, '(?i)^<h([1-6])', 1)::INT END AS level FROM b)"""
+register(
+    "page_sections",
+    lambda s, d: markup.sections(marked(s, d)).select(F.col("id").alias("page_id"), "section", "level", "parent", "title", F.md5(X.stripped(F.col("body"))).alias("digest")),
+    rf"""WITH {MARKED} SELECT id AS page_id, section, level, (SELECT max(o.section) FROM c o WHERE o.id = c.id AND o.section < c.section AND o.level < c.level) AS parent, {_stripped_sql("regexp_extract(part, '" + markup.HEADING + "', 2)")} AS title,
+    md5({_stripped_sql("regexp_replace(part, '" + markup.HEADING + "', '')")}) AS digest FROM c""",
+)
+register(
+    "page_notes",
+    lambda s, d: markup.notes(marked(s, d)).withColumnRenamed("id", "page_id"),
+    rf"""WITH {MARKED}, l AS (SELECT id, section, level, regexp_extract_all(part, '{markup.ANCHOR}', 1) AS x FROM c), g AS (SELECT id, section, level, i::INT - 1 AS nth, x[i] AS anchor FROM l, unnest(range(1, len(x) + 1)) AS t(i)),
+    m AS (SELECT id, regexp_extract_all(html, '{markup.TARGET}', 1) AS k, regexp_extract_all(html, '{markup.TARGET}', 2) AS v FROM h), n AS (SELECT id, k[i] AS anchor, v[i] AS v FROM m, unnest(range(1, len(k) + 1)) AS t(i) QUALIFY row_number() OVER (PARTITION BY id, k[i] ORDER BY i) = 1)
+    SELECT g.id AS page_id, section, level, nth, anchor, {_stripped_sql("v")} AS note FROM g LEFT JOIN n USING (id, anchor)""",
+)
