@@ -112,6 +112,23 @@ def triggers(feedback: DataFrame, every: int = 20, hour_ms: int = 3_600_000) ->
     return feedback.withColumn("n", F.row_number().over(order)).where(F.col("n") % every == 0).select("event_id", "ms", "n")
 
 
+def sliding_triggers(feedback: DataFrame, every: int = 20, span_ms: int = 3_600_000, slice_ms: int = 60_000) -> DataFrame:
+    """``event_id, ms, n``: the feedback at which the number within the span before it, itself counted, is a multiple of ``every``.
+
+    Feedback comes in the order of ``ms, event_id``; what is exactly a span old no longer counts; rows without a time or id
+    are left out. Each counts one more at its time and one less a span later, so a sum over slices of time is enough: slices
+    are added up by themselves, and one row a slice is run over in order.
+    """
+    known = feedback.where("ms IS NOT NULL AND event_id IS NOT NULL").select("event_id", F.col("ms").cast("long").alias("ms"))
+    signed = known.select("event_id", "ms", F.explode(F.array(F.lit(1), F.lit(-1))).alias("d"))
+    signed = signed.withColumn("at", F.col("ms") + F.when(F.col("d") < 0, span_ms).otherwise(0)).withColumn("slice", F.floor(F.col("at") / slice_ms))
+    totals = signed.groupBy("slice").agg(F.sum("d").alias("d"))
+    before = totals.select("slice", (F.sum("d").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, 0)) - F.col("d")).alias("before"))
+    own = F.sum("d").over(W.partitionBy("slice").orderBy("at", "d", "event_id").rowsBetween(W.unboundedPreceding, 0))
+    rows = signed.withColumn("own", own).where("d > 0").join(before, "slice").withColumn("n", F.col("own") + F.col("before"))
+    return rows.where((F.col("n") % every == 0) & (F.col("n") > 0)).select("event_id", "ms", "n")
+
+
 def boosted_weights(feedback: DataFrame, trees: int = 20, seed: int = 5) -> DataFrame:
     """``slot, weight``: what boosted trees make of feedback, read back through ridge regression and bounded.
 

@@ -187,6 +187,8 @@ register("baseline_snapshot", snapshot, f"WITH {S.POSTS}, {S.TF}, {S.VOCAB}, {MU
 register("impression_log", lambda s, d: sinks.impressions(S.bm25_topk(s, d).select("query_id", F.col("doc_id").alias("id"), "rank"), table(s, d, "events").where("event_type = 'click'").select((F.col("event_id") % 40).alias("query_id"), F.get_json_object("props", "$.k").cast("long").alias("id"))),
     f"WITH {S.POSTS}, {S.TF}, {S.VOCAB}, {S.QUERY}, {S.BM25}, c AS (SELECT event_id % 40 AS query_id, (props->>'k')::BIGINT AS id FROM events WHERE event_type = 'click') SELECT query_id, doc_id AS id, rank - 1 AS rank, 0 AS clicked FROM best UNION ALL SELECT c.query_id, c.id, rank - 1, 1 FROM c LEFT JOIN best ON best.query_id = c.query_id AND doc_id = c.id")
 register("retrain_triggers", lambda s, d: L.triggers(events(s, d).select("event_id", E.millis().alias("ms")), hour_ms=86_400_000), f"WITH {EV}, c AS (SELECT event_id, ms, row_number() OVER (PARTITION BY ms // 86400000 ORDER BY ms, event_id) AS n FROM e) SELECT event_id, ms, n FROM c WHERE n % 20 = 0")
+register("sliding_triggers", lambda s, d: L.sliding_triggers(events(s, d).select("event_id", E.millis().alias("ms"))), f"""WITH {EV}, c AS (SELECT event_id, ms, count(*) OVER (ORDER BY ms RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY ms) + row_number() OVER (PARTITION BY ms ORDER BY event_id) AS n FROM e)
+    SELECT event_id, ms, n FROM c WHERE n % 20 = 0""")
 register("boosted_weights", lambda s, d: L.boosted_weights(events(s, d).select("event_type", F.col("item").alias("rank"))))
 register("cursor_round_trip", lambda s, d: table(s, d, "orders").select("o_orderkey", R.cursor_of(F.concat_ws("|", "o_orderpriority", "o_orderstatus"), F.col("o_orderkey")).alias("c")).select("o_orderkey", "c", R.cursor_parts(F.col("c")).alias("p")).select("o_orderkey", "c", "p.k", "p.o"),
     """SELECT o_orderkey, rtrim(translate(to_base64(encode('{"k":"' || o_orderpriority || '|' || o_orderstatus || '","o":' || o_orderkey || '}')), '+/', '-_'), '=') AS c, o_orderpriority || '|' || o_orderstatus AS k, o_orderkey AS o FROM orders""")
