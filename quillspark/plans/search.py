@@ -149,6 +149,11 @@ NPMI = """kept AS (SELECT tf.doc_id, tf.term, v.df FROM tf JOIN vocab v ON v.ter
     assoc AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY npmi DESC, assoc)::INT AS rank FROM bothways QUALIFY rank <= 10)"""
 associations = lambda s, d: termstats.associations(index(s, d))
 register("npmi_top10", associations, f"WITH {POSTS}, {TF}, {VOCAB}, {NPMI} SELECT * FROM assoc")
+PHRASE_NPMI = """bb AS (SELECT bigram, count(*) AS df FROM bi GROUP BY bigram HAVING count(*) BETWEEN 10 AND 20000 ORDER BY df DESC, bigram LIMIT 5000),
+    wb AS (SELECT kept.term, bi.bigram, kept.df AS da, bb.df AS db, count(*) AS c FROM bi JOIN bb USING (bigram) JOIN kept ON kept.doc_id = bi.doc_id GROUP BY ALL HAVING count(*) >= 3),
+    ws AS (SELECT term, bigram, c, round(log2((c / n) / ((da / n) * (db / n))) / -log2(c / n), 6) AS npmi FROM (SELECT *, (SELECT count(*) FROM documents)::DOUBLE AS n FROM wb)),
+    al AS (SELECT term, assoc, npmi, cooccur FROM bothways UNION ALL SELECT term, bigram, npmi, c FROM ws WHERE npmi > 0.05 UNION ALL SELECT bigram, term, npmi, c FROM ws WHERE npmi > 0.05)"""
+register("npmi_phrases", lambda s, d: termstats.phrase_associations(index(s, d), STOP), f"WITH {POSTS}, {TF}, {VOCAB}, {BIGRAMS}, {NPMI}, {PHRASE_NPMI} SELECT *, row_number() OVER (PARTITION BY term ORDER BY npmi DESC, assoc)::INT AS rank FROM al QUALIFY rank <= 10")
 register("tfidf_sublinear", lambda s, d: termstats.tf_idf(index(s, d)), f"WITH {POSTS}, {TF}, {VOCAB} SELECT tf.doc_id, tf.term, round((1 + ln(tf.tf)) * (ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (v.df + 1.0::DOUBLE)) + 1), 6) AS weight FROM tf JOIN vocab v ON v.term = tf.term WHERE v.df BETWEEN 3 AND 30000")
 
 
