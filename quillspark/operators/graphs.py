@@ -9,8 +9,8 @@ from ..lineage import keep, small
 
 
 def topic_index(bridge: DataFrame) -> DataFrame:
-    """``item, topics, n``: the topics of each item in order."""
-    return bridge.distinct().groupBy("item").agg(F.array_sort(F.collect_list("topic")).alias("topics"), F.count("*").alias("n"))
+    """``item, topics, n``: the topics of each item in order. Rows without an item, null or -1, are left out."""
+    return bridge.where("item IS NOT NULL AND item <> -1").distinct().groupBy("item").agg(F.array_sort(F.collect_list("topic")).alias("topics"), F.count("*").alias("n"))
 
 
 def shared_edges(bridge: DataFrame) -> DataFrame:

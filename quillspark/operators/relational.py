@@ -183,3 +183,12 @@ def any_overlap(rows: DataFrame, key: str, item: str, wanted: DataFrame) -> Data
     """
     list_ = F.broadcast(wanted.agg(F.collect_set(item).alias("_wanted")))
     return rows.join(list_).groupBy(key).agg(F.coalesce(F.bool_or(F.array_contains("_wanted", F.col(item))), F.lit(False)).alias("overlaps"))
+
+
+def histograms(rows: DataFrame, columns: list[str], who: str) -> DataFrame:
+    """``field, value, n, users``: for every value of some columns, its rows and how many of ``who`` they have; null is a value, null ``who`` none.
+
+    All columns are counted in one pass; values are shown as strings.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])).alias("f")
+    return rows.select(F.col(who).alias("who"), each).groupBy("f.field", "f.value").agg(F.count("*").alias("n"), F.count_distinct("who").alias("users"))

@@ -18,7 +18,7 @@ def bridge(s, d):
 
 BR = "br AS (SELECT DISTINCT l_suppkey AS item, l_partkey AS topic FROM lineitem)"
 ED = "ed AS (SELECT src, dst, w, w / sum(w) OVER (PARTITION BY src) AS p FROM (SELECT a.item AS src, b.item AS dst, count(*) AS w FROM br a JOIN br b ON a.topic = b.topic AND a.item <> b.item GROUP BY ALL))"
-register("topic_index", lambda s, d: G.topic_index(bridge(s, d)).select("item", "n", F.md5(F.array_join("topics", ",")).alias("digest")), f"WITH {BR} SELECT item, count(*) AS n, md5(string_agg(topic::VARCHAR, ',' ORDER BY topic)) AS digest FROM br GROUP BY item")
+register("topic_index", lambda s, d: G.topic_index(bridge(s, d)).select("item", "n", F.md5(F.array_join("topics", ",")).alias("digest")), f"WITH {BR} SELECT item, count(*) AS n, md5(string_agg(topic::VARCHAR, ',' ORDER BY topic)) AS digest FROM br WHERE item IS NOT NULL AND item <> -1 GROUP BY item")
 register("shared_edges", lambda s, d: G.shared_edges(bridge(s, d)).select("src", "dst", "w", F.round("p", 8).alias("p")), f"WITH {BR}, {ED} SELECT src, dst, w, round(p, 8) AS p FROM ed")
 
 

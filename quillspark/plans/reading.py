@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..catalog import table
 from ..functions.numeric import lcg, park_miller
 from ..lineage import shared_dir
-from ..operators import events as E
+from ..operators import events as E, relational
 from ..streaming import reviews as R
 from ..streaming.events import read_events, to_table
 from .registry import register
@@ -100,3 +100,6 @@ def reviews_of_a_stream(s, d):
 
 
 register("srs_stream", reviews_of_a_stream, f"WITH RECURSIVE {SRS} SELECT * FROM srs")
+register("event_histograms", lambda s, d: relational.histograms(table(s, d, "events").withColumn("item", F.get_json_object("props", "$.k")), ["event_type", "item"], "user_id"),
+    """SELECT 'event_type' AS field, event_type AS value, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type
+    UNION ALL SELECT 'item', props->>'k', count(*), count(DISTINCT user_id) FROM events GROUP BY 2""")
