@@ -11,17 +11,28 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import words
 
 TOKENIZER = "word_bpe_49k.json"
 CACHED = 400_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Its lower case depends on what follows it, in Python alone.
-FINAL_SIGMA = "\u03a3"
 #: Bytes of text encoded at once. With 8 million a task took 200 MB beyond its input, with 2 million 78 MB, in the same time.
 CHUNK = 2_000_000
 LOW = 24
+WHOLE = -1
+
+
+def runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of an array one after the other, and where each begins in the result (one entry more)."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return values[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends
+
+
+def strings(values: pa.Array) -> list[str]:
+    """As Python strings. By way of numpy it takes a tenth of the time of ``to_pylist``."""
+    return values.to_numpy(zero_copy_only=False).tolist()
 
 
 class WordEncoder:
@@ -51,10 +62,10 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Drops all words met so far."""
-        self.index: dict[str, int] = {}
-        self.cores: dict[str, int] = {}  # where a string's ids begin, and in the low bits how many there are
+        # where a string's ids begin, and in the low bits how many there are; WHOLE: not to be encoded without what follows it
+        self.cores: dict[str, int] = {}
+        self.rests: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
     def _keep(self, ids: np.ndarray) -> int:
         """Appends ids; where they begin."""
@@ -65,79 +76,75 @@ class WordEncoder:
         self.used += len(ids)
         return at
 
-    def _learn(self, new: list[str]) -> None:
-        """Encodes strings without white space. Those of letters end at their only end-of-word id, so many are one text."""
-        letters = [w for w in new if w.isalpha()]
-        other = [w for w in new if not w.isalpha()]
+    def _learn_each(self, new: list[str], into: dict[str, int]) -> None:
+        """Encodes strings one by one."""
+        for i in range(0, len(new), 1000):
+            own = new[i : i + 1000]
+            for w, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
+                into[w] = (self._keep(np.array(e.ids, np.uint32)) << LOW) + len(e.ids)
+
+    def _learn_cores(self, new: list[str]) -> None:
+        """Encodes strings of letters. They end at their only end-of-word id, so many are one text."""
+        letters = []
+        for w in new:
+            if w.isalpha() and w.lower().isalpha():  # a lower case with a mark of its own meets the punctuation after it
+                letters.append(w)
+            else:
+                self.cores[w] = WHOLE
         for i in range(0, len(letters), 1000):
             own = letters[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, np.uint32)
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(own):
                 starts = self._keep(ids) + np.concatenate([[0], cuts[:-1]])
                 self.cores.update(zip(own, ((starts << LOW) + np.diff(cuts, prepend=0)).tolist(), strict=True))
             else:  # a letter that the tokenizer splits or drops
-                other += own
-        for i in range(0, len(other), 1000):
-            own = other[i : i + 1000]
-            for w, e in zip(own, self.tokenizer.encode_batch(own, add_special_tokens=False), strict=True):
-                self.cores[w] = (self._keep(np.array(e.ids, np.uint32)) << LOW) + len(e.ids)
-
-    def _add(self, new: list[str]) -> None:
-        """Numbers new words. Letters and the punctuation after them are encoded apart: many words differ only in that."""
-        split = []
-        for w in new:
-            core = w.rstrip(PUNCTUATION)
-            if core.isalpha() and core.lower().isalpha():  # a lower case with a mark of its own meets the punctuation after it
-                split.append((core if FINAL_SIGMA in core else core.lower(), w[len(core) :]))
-            else:
-                split.append((w, ""))
-        parts = dict.fromkeys([x for pair in split for x in pair if x])
-        self._learn([x for x in parts if x not in self.cores])
-        places = np.array([self.cores[core] for core, _ in split], np.int64)
-        starts, lengths = places >> LOW, places & ((1 << LOW) - 1)
-        for i, (_, tail) in enumerate(split):
-            if tail:
-                at, n, (t, m) = starts[i], lengths[i], divmod(self.cores[tail], 1 << LOW)
-                starts[i], lengths[i] = self._keep(np.concatenate([self.ids[at : at + n], self.ids[t : t + m]])), n + m
-        first = len(self.index)
-        self.index.update(zip(new, range(first, first + len(new)), strict=True))
-        for name, values in (("start", starts), ("length", lengths)):
-            have = getattr(self, name)
-            if len(self.index) > len(have):
-                have = np.concatenate([have, np.zeros(max(len(self.index), len(have)), np.int64)])
-                setattr(self, name, have)
-            have[first : len(self.index)] = values
-
-    def _numbers(self, coded: pa.DictionaryArray) -> np.ndarray:
-        """The number of every word in the cache, which gets those it lacks."""
-        distinct = coded.dictionary.to_pylist()
-        if len(self.index) + len(distinct) > CACHED:
+                self._learn_each(own, self.cores)
+
+    def _forms(self, forms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct words begin and how many there are, in two columns: those of a word's letters, then of its rest.
+
+        Letters and the punctuation after them are encoded apart, as many words differ only in that and in
+        case; Arrow tells them apart, so Python meets each string of letters once. Of other words all is rest.
+        """
+        if len(self.cores) + len(self.rests) + len(forms) > CACHED:
             self.forget()
-        own = list(map(self.index.get, distinct))
-        lacking = [i for i, n in enumerate(own) if n is None]
-        if lacking:
-            first = len(self.index)
-            self._add([distinct[i] for i in lacking])
-            for n, i in enumerate(lacking, first):
-                own[i] = n
-        return np.array(own, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        core = pc.ascii_lower(pc.ascii_rtrim(forms, PUNCTUATION))
+        tail = pc.subtract(pc.binary_length(forms), pc.binary_length(core)).to_numpy(zero_copy_only=False)
+        coded = core.dictionary_encode()
+        distinct = strings(coded.dictionary)
+        own = list(map(self.cores.get, distinct))
+        lacking = [i for i, p in enumerate(own) if p is None]
+        self._learn_cores([distinct[i] for i in lacking])
+        for i in lacking:
+            own[i] = self.cores[distinct[i]]
+        place = np.array(own, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        whole = place == WHOLE
+        rows = np.flatnonzero(whole | (tail > 0))
+        # the last 0 characters of a word, as Python slices, are all of it
+        rests = [w[-n:] for w, n in zip(strings(forms.take(pa.array(rows))), np.where(whole, 0, tail)[rows].tolist(), strict=True)]
+        self._learn_each([w for w in dict.fromkeys(rests) if w not in self.rests], self.rests)
+        places = np.zeros((len(forms), 2), np.int64)
+        places[:, 0] = np.where(whole, 0, place)
+        places[rows, 1] = [self.rests[w] for w in rests]
+        return places >> LOW, places & ((1 << LOW) - 1)
 
     def count(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text has."""
         coded, starts = words(texts)
         if not len(coded):
             return np.zeros(len(texts), np.int64)
-        word = self._numbers(coded)  # before the lengths are read, which it may extend
-        return np.diff(np.concatenate([[0], np.cumsum(self.length[word])])[starts])
+        length = self._forms(coded.dictionary)[1].sum(1)
+        return np.diff(np.concatenate([[0], np.cumsum(length[coded.indices.to_numpy(zero_copy_only=False)])])[starts])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's begin (one entry more). Null: none."""
         coded, starts = words(texts)
         if not len(coded):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        word = self._numbers(coded)
-        length = self.length[word]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        at = np.repeat(self.start[word] - ends[:-1], length) + np.arange(ends[-1])
-        return self.ids[at], ends[starts]
+        at, n = self._forms(coded.dictionary)
+        ids, _ = runs(self.ids, at.ravel(), n.ravel())  # of the distinct words, in a row
+        length, word = n.sum(1), coded.indices.to_numpy(zero_copy_only=False)
+        ids, ends = runs(ids, (np.cumsum(length) - length)[word], length[word])
+        return ids, ends[starts]

@@ -415,6 +415,25 @@ def test_words_with_hard_letters_are_encoded_whole():
         assert ids[ends[i] : ends[i + 1]].tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_letters_are_encoded_once_whatever_their_case_and_punctuation():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from quillspark.llm.tokens import WordEncoder
+
+    t, e = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), WordEncoder(None)
+    letters, tails = [f"étre{a}{b}ow" for a in "abcdefgh" for b in "klmnopqr"], ["", ",", "!?", "..."]
+    texts = [" ".join(case(w) + tail for w in letters) for tail in tails for case in (str, str.title, lambda w: w[:4] + w[4:].upper())]
+    size = lambda parts: sum(len(t.encode(x, add_special_tokens=False).ids) for x in parts)
+    for _ in range(2):
+        ids, ends = e.encode(pa.array([*texts, None, "..."]))
+        for i, text in enumerate([*texts, "", "..."]):
+            assert ids[ends[i] : ends[i + 1]].tolist() == t.encode(text, add_special_tokens=False).ids, text
+        # what the cache holds: the words (once more with a capital É, as only ASCII case is folded) and the tails
+        assert e.used == 2 * size(letters) + size(tails)
+
+
 def registered(spark, rows, tmp_path, name):
     """A registered query over the small table as ``documents``."""
     from quillspark.llm.registry import queries
