@@ -32,8 +32,10 @@ RECALL, TRIALS = 0.97, 96
 SAMPLE, SAMPLE_LEAF = 65_536, 16
 SEED = 5
 QUERY_EVERY = 100
-#: Queries whose finds, a few for each opened leaf, are merged at once.
-QUERIES_PER_PART = 500
+#: Finds, a few of each query for each part of a leaf that it opens, that are merged at once, about.
+FINDS_PER_PART = 500_000
+#: Copies of query vectors, one for each part of a leaf that is opened, made at once.
+OPENED = 131_072
 #: Vectors of a leaf in one task, about; larger leaves are dealt to several, and their queries to all of these.
 LEAF_ROWS = 20_000
 #: Queries that meet a leaf's vectors in one task, about; if more open a leaf, its vectors go to several tasks.
@@ -122,8 +124,10 @@ def _index(forest: Forest, trees: int, keep: int, salts: int, blocks: int):
 
 def _open(forest: Forest, probes: int, salts: int, blocks: int):
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
+        at_once = max(1, OPENED // (min(probes, len(forest.planes) * 2**forest.depth) * salts))
+        for whole in frames:
+            for start in range(0, len(whole), at_once):
+                f = whole.iloc[start : start + at_once]
                 x, ids = _matrix(f["embedding"]), f["query"].to_numpy(np.int64)
                 opened = [forest.search(v, probes) for v in x]
                 row = np.repeat(np.arange(len(f)), [len(o) * salts for o in opened])
@@ -202,6 +206,11 @@ def query_blocks(queries: int, probes: int, leaves: int, most: int) -> int:
     return max(1, math.ceil(queries * min(probes, leaves) / leaves / most))
 
 
+def merge_parts(queries: int, opened: int, keep: int) -> int:
+    """Into how many parts queries go whose finds are merged, when each finds ``keep`` in every part of a leaf that it opens."""
+    return max(1, math.ceil(queries * opened * keep / FINDS_PER_PART))
+
+
 def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, leaf: int = LEAF, probes: int | None = None, sample: int = SAMPLE, leaf_queries: int = LEAF_QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k nearest found for each query, nearest first, ties to the smaller vec_id.
 
@@ -234,7 +243,7 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, queries: DataFra
     blocks = query_blocks(of.count(), probes, trees * 2**depth, leaf_queries)
     opened = of.mapInPandas(_open(forest, probes, salts, blocks), BLOB)
     index = distinct.mapInPandas(_index(forest, trees, keep, salts, blocks), BLOB)
-    parts = max(1, asked.count() // QUERIES_PER_PART)
+    parts = merge_parts(asked.count(), min(probes, trees * 2**depth) * salts, keep)
     found = together(opened, index, "part", _rank(dims, keep, parts), BLOB)
     near = found.groupBy("part").applyInPandas(_merge(keep), "query long, vec_id long, score double")
     out = asked.join(of, "embedding").select(F.col("vec_id").alias("query_id"), "query").join(near, "query").where("query_id <> vec_id")

@@ -569,3 +569,19 @@ def test_pipeline_against_plain_versions(spark, rows, tmp_path):
         assert any(zlib.crc32(np.array(i[p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32 for i in own)
     for _, q in out.sort_values("offset").groupby("sequence_id"):
         assert list(q["offset"]) == [0, *q["length"].cumsum()[:-1]] and q["length"].sum() <= 2048
+
+
+def test_queries_that_open_many_leaves_are_dealt_in_bounded_pieces(monkeypatch):
+    import pandas as pd
+
+    from quillspark.llm.common import unpack
+
+    monkeypatch.setattr(nearest, "OPENED", 256)
+    r = np.random.default_rng(2)
+    points = r.normal(size=(512, 8))
+    forest = nearest.Forest(points, 4, 2)
+    n = 100
+    f = pd.DataFrame({"embedding": list(r.normal(size=(n, 8))), "query": np.arange(n)})
+    rows = [sum(len(unpack(b)[1]) for b in out["blob"]) for out in nearest._open(forest, 10**6, 1, 1)(iter([f]))]
+    assert sum(rows) == n * 32 and max(rows) <= nearest.OPENED
+    assert nearest.merge_parts(6_000, 2_000, 11) * nearest.FINDS_PER_PART >= 6_000 * 2_000 * 11
