@@ -25,3 +25,13 @@ def test_a_word_that_names_a_language_is_looked_for_in_the_text(spark, tmp_path)
     asked = [(i, t) for i in range(10) for t in ["de mar sal luz alta"]]
     found = same_as_sql(spark, tmp_path, "match_search", documents=(docs, DOCUMENTS), benchmark=(asked, "item_id long, text string"))
     assert found.set_index("query_id").loc[1, "n_docs"] == 2
+
+
+def test_walks_over_the_bridge_in_slices_are_those_over_all_edges(spark):
+    from quillspark.operators import graphs as G
+
+    rows = [(i, f"t{(i * i + 3 * j) % 11}") for i in range(1, 25) for j in range(2)] + [(1, "t0"), (1, "t0"), (99, "alone")]
+    bridge = spark.createDataFrame(rows, "item long, topic string")
+    wanted = G.random_walk_with_restart(G.shared_edges(bridge), bridge.select("item").distinct(), rounds=4).collect()
+    found = G.bridge_walk_with_restart(bridge, rounds=4, pairs=40).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, wanted)) and found
