@@ -35,3 +35,25 @@ def test_walks_over_the_bridge_in_slices_are_those_over_all_edges(spark):
     wanted = G.random_walk_with_restart(G.shared_edges(bridge), bridge.select("item").distinct(), rounds=4).collect()
     found = G.bridge_walk_with_restart(bridge, rounds=4, pairs=40).collect()
     assert sorted(map(tuple, found)) == sorted(map(tuple, wanted)) and found
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_searches_of_the_document_pass_shuffle_no_hits(spark):
+    from quillspark.operators import fts, termstats
+
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alphabet soup beta"), (3, "betamax gamma"), (3, "alpha alpha"), (4, None)], "doc_id long, text string")
+    ask = spark.createDataFrame([(1, "alpha beta"), (2, "gam"), (3, "al be ga")], "item_id long, text string")
+    i, terms = fts.build(docs), fts.query_terms(ask)
+    rows = lambda f: sorted(tuple(r) for r in f.collect())
+    every, some = fts.prefixes(i, terms), fts.prefixes(i, terms, False)
+    assert rows(every) == [(1, 1, 2), (1, 2, 2), (1, 3, 2), (2, 1, 1), (2, 3, 1), (3, 1, 3), (3, 3, 3)]
+    assert rows(some) == sorted([*rows(every), (3, 2, 2)])
+    assert rows(fts.all_terms(i, terms)) == [(1, 1, 2)]
+    assert rows(i.posts.where("doc_id = 3").select("term", "tf", "places", "len")) == [("alpha", 2, [1, 2], 4), ("betamax", 1, [1], 4), ("gamma", 1, [2], 4)]
+    for frame in (every, some, fts.all_terms(i, terms), termstats.tf_idf(i, 1)):
+        assert "Exchange hashpartitioning" not in _plan(frame)
+    pairs = spark.createDataFrame([("alpha", "gamma"), ("alpha", "beta"), ("beta", "soup")], "a string, b string")
+    assert rows(termstats.together(i, pairs, 2)) == [("alpha", "beta", 1), ("alpha", "gamma", 2), ("beta", "soup", 1)]
