@@ -57,3 +57,19 @@ def test_searches_of_the_document_pass_shuffle_no_hits(spark):
         assert "Exchange hashpartitioning" not in _plan(frame)
     pairs = spark.createDataFrame([("alpha", "gamma"), ("alpha", "beta"), ("beta", "soup")], "a string, b string")
     assert rows(termstats.together(i, pairs, 2)) == [("alpha", "beta", 1), ("alpha", "gamma", 2), ("beta", "soup", 1)]
+
+
+def test_a_spread_of_counts_is_that_of_the_pairs_and_hashing_hands_on_few_rows(spark):
+    import numpy as np
+
+    from quillspark.operators import vectors as V
+
+    r = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(i, [float(x) for x in r.normal(size=6)]) for i in range(200)], "id long, v array<float>")
+    asked = vectors.where("id % 20 = 0").selectExpr("id AS query_id", "v")
+    pairs = V.top_similar(asked, vectors, 1_000)
+    counted = V.similarity_counts(asked, vectors, rows=64)
+    assert V.counted_spread(counted).first() == V.spread(pairs, "similarity").first()
+    assert counted.agg({"n": "sum"}).first()[0] == 10 * 199
+    near = V.hashed_neighbours(vectors, asked, 5, width=8.0)
+    assert near.count() == 50 and "Generate" not in _plan(near).split("MapInArrow")[0]
